@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CELL_RE = r"^\s*([A-Za-z]+)([0-9]+)\s*$"
-RANGE_RE = r"^\s*([A-Za-z]+)([0-9]+)\s*(?::\s*([A-Za-z]+)([0-9]+)\s*)?$"
-ROW_TOKEN_RE = r"^\s*([A-Za-z]{1,3})([0-9]+)\s*(?::\s*([A-Za-z]{1,3})([0-9]+)\s*)?$"
+RANGE_RE = r"^\s*([A-Za-z]+)([0-9]+)\s*:\s*([A-Za-z]+)([0-9]+)\s*$"
+ROW_TOKEN_RE = r"^\s*([A-Za-z]{1,3})([0-9]+)\s*:\s*([A-Za-z]{1,3})([0-9]+)\s*$"
 
 
 def _c(x) -> Column:
@@ -25,6 +25,11 @@ def round_even(x, digits: int) -> Column:
     return F.rint(_c(x) * F.lit(scale)) / F.lit(scale)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trunc_int(x) -> Column:
     """Truncate toward zero to int; null when the value does not fit."""
     return _c(x).try_cast("int")
@@ -53,15 +58,14 @@ def column_letters(col) -> Column:
 
 
 def letters_to_column(letters: Column) -> Column:
-    """Column number of a letter group; null when empty or longer than six letters."""
-    up = F.upper(letters)
-    size = F.length(up)
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        F.lit(0).cast("bigint"),
-        lambda acc, i: acc * 26 + F.ascii(F.substr(up, i, F.lit(1))) - 64,
-    )
-    return F.when((size > 0) & (size <= 6), folded).cast("int")
+    """Column number of a letter group; null when empty or longer than four letters."""
+    padded = F.lpad(F.upper(letters), 4, "@")  # "@" sits just before "A", so it counts as 0
+
+    def digit(i: int) -> Column:
+        return F.ascii(F.substring(padded, i, 1)) - 64
+
+    number = ((digit(1) * 26 + digit(2)) * 26 + digit(3)) * 26 + digit(4)
+    return F.when(F.length(letters).between(1, 4), number)
 
 
 def cell_id(row, col) -> Column:
@@ -86,41 +90,38 @@ def rect_range_id(r1, c1, r2, c2) -> Column:
     return range_id(cell_id(r1, c1), cell_id(r2, c2))
 
 
-def _corners(token: Column, pattern: str) -> tuple[Column, Column, Column, Column]:
-    has_second = F.regexp_extract(token, pattern, 3) != ""
-    ca = letters_to_column(F.regexp_extract(token, pattern, 1))
-    ra = F.regexp_extract(token, pattern, 2).try_cast("int")
-    cb = F.when(has_second, letters_to_column(F.regexp_extract(token, pattern, 3))).otherwise(ca)
-    rb = F.when(has_second, F.regexp_extract(token, pattern, 4).try_cast("int")).otherwise(ra)
-    return ra, ca, rb, cb
+def _corners(token: Column, pattern: str) -> Column:
+    """struct(ra, ca, rb, cb) of the two corners as written; parts that do not parse are null."""
+    # a single cell is the range from itself to itself
+    pair = F.when(F.instr(token, ":") > 0, token).otherwise(F.concat(token, F.lit(":"), token))
+
+    def parts(p: Column) -> Column:
+        return F.struct(*[F.regexp_extract(p, pattern, k).alias(f"g{k}") for k in (1, 2, 3, 4)])
+
+    return let(let(pair, parts), lambda g: F.struct(
+        g["g2"].try_cast("int").alias("ra"), letters_to_column(g["g1"]).alias("ca"),
+        g["g4"].try_cast("int").alias("rb"), letters_to_column(g["g3"]).alias("cb")))
+
+
+def _parsed(k: Column) -> Column:
+    return k["ra"].isNotNull() & k["ca"].isNotNull() & k["rb"].isNotNull() & k["cb"].isNotNull()
 
 
 def range_bounds(token) -> Column:
     """struct(r1, c1, r2, c2) of a range; corners may be swapped; null if unparseable."""
-    t = _c(token)
-    ra, ca, rb, cb = _corners(t, RANGE_RE)
-    whole = F.struct(
-        F.least(ra, rb).alias("r1"), F.least(ca, cb).alias("c1"),
-        F.greatest(ra, rb).alias("r2"), F.greatest(ca, cb).alias("c2"),
-    )
-    ok = ra.isNotNull() & ca.isNotNull() & rb.isNotNull() & cb.isNotNull()
-    return F.when(ok, whole)
+    return let(_corners(_c(token), RANGE_RE), lambda k: F.when(_parsed(k), F.struct(
+        F.least(k["ra"], k["rb"]).alias("r1"), F.least(k["ca"], k["cb"]).alias("c1"),
+        F.greatest(k["ra"], k["rb"]).alias("r2"), F.greatest(k["ca"], k["cb"]).alias("c2"))))
 
 
 def expand_range(token) -> Column:
     """array<struct(row, col)> of a range in row-major order; null if unparseable."""
-    b = range_bounds(token)
-    return F.when(
-        b.isNotNull(),
-        F.flatten(
-            F.transform(
-                F.sequence(b["r1"], b["r2"]),
-                lambda r: F.transform(
-                    F.sequence(b["c1"], b["c2"]), lambda c: F.struct(r.alias("row"), c.alias("col"))
-                ),
-            )
-        ),
-    )
+    def cells(b: Column) -> Column:
+        return F.flatten(F.transform(
+            F.sequence(b["r1"], b["r2"]),
+            lambda r: F.transform(F.sequence(b["c1"], b["c2"]), lambda c: F.struct(r.alias("row"), c.alias("col")))))
+
+    return let(range_bounds(token), lambda b: F.when(b.isNotNull(), cells(b)))
 
 
 def row_token(token) -> Column:
@@ -128,36 +129,40 @@ def row_token(token) -> Column:
 
     At most three letters; a token whose two ends lie on different rows is null.
     """
-    t = _c(token)
-    ra, ca, rb, cb = _corners(t, ROW_TOKEN_RE)
-    whole = F.struct(ra.alias("row"), F.least(ca, cb).alias("c1"), F.greatest(ca, cb).alias("c2"))
-    return F.when((ra == rb) & ca.isNotNull() & cb.isNotNull(), whole)
+    return let(_corners(_c(token), ROW_TOKEN_RE), lambda k: F.when(_parsed(k) & (k["ra"] == k["rb"]), F.struct(
+        k["ra"].alias("row"), F.least(k["ca"], k["cb"]).alias("c1"), F.greatest(k["ca"], k["cb"]).alias("c2"))))
 
 
 def row_token_error(token, rows, cols) -> Column:
     """Why a comment row token is unusable, or null when it is fine."""
     t, nr, nc = _c(token), _c(rows), _c(cols)
-    tok = row_token(t)
     is_range = F.instr(t, ":") > 0
-    row_bad = (tok["row"] < 1) | (tok["row"] > nr)
-    col_bad = (tok["c1"] < 1) | (tok["c2"] > nc)
-    return (
-        F.when(t.isNull() | (F.trim(t) == ""), "empty")
-        .when(tok.isNull(), "unparseable")
-        .when(is_range & row_bad, "row_oob")
-        .when(is_range & col_bad, "col_oob")
-        .when(~is_range & (row_bad | col_bad), "oob")
-    )
 
+    def check(tok: Column) -> Column:
+        row_bad = (tok["row"] < 1) | (tok["row"] > nr)
+        col_bad = (tok["c1"] < 1) | (tok["c2"] > nc)
+        return (
+            F.when(t.isNull() | (F.trim(t) == ""), "empty")
+            .when(tok.isNull(), "unparseable")
+            .when(is_range & row_bad, "row_oob")
+            .when(is_range & col_bad, "col_oob")
+            .when(~is_range & (row_bad | col_bad), "oob")
+        )
 
-def clipped_token(token, rows, cols) -> Column:
-    """row_token() clipped to the grid; null when no cell is left."""
-    tok, nr, nc = row_token(token), _c(rows), _c(cols)
-    lo, hi = F.greatest(tok["c1"], F.lit(1)), F.least(tok["c2"], nc)
-    inside = (tok["row"] >= 1) & (tok["row"] <= nr) & (lo <= hi)
+    return let(row_token(t), check)
+
+
+def clip_row(tok: Column, rows, cols) -> Column:
+    """A row_token() struct clipped to the grid; null when no cell is left."""
+    lo, hi = F.greatest(tok["c1"], F.lit(1)), F.least(tok["c2"], _c(cols))
+    inside = (tok["row"] >= 1) & (tok["row"] <= _c(rows)) & (lo <= hi)
     return F.when(inside, F.struct(tok["row"].alias("row"), lo.alias("c1"), hi.alias("c2")))
 
 
+def clipped_token(token, rows, cols) -> Column:
+    return let(row_token(token), lambda tok: clip_row(tok, rows, cols))
+
+
 def valid_tokens(tokens, rows, cols) -> Column:
     """Keep the tokens that cover at least one cell of the grid (order kept)."""
     return F.filter(_c(tokens), lambda t: clipped_token(t, rows, cols).isNotNull())
@@ -165,16 +170,10 @@ def valid_tokens(tokens, rows, cols) -> Column:
 
 def token_cells(tokens, rows, cols) -> Column:
     """Distinct in-grid cells of a token array, row-major: array<struct(row, col)>."""
+    clipped = F.filter(F.transform(_c(tokens), lambda t: clipped_token(t, rows, cols)), lambda k: k.isNotNull())
     pieces = F.transform(
-        _c(tokens),
-        lambda t: F.coalesce(
-            F.transform(
-                F.sequence(clipped_token(t, rows, cols)["c1"], clipped_token(t, rows, cols)["c2"]),
-                lambda c: F.struct(clipped_token(t, rows, cols)["row"].alias("row"), c.alias("col")),
-            ),
-            F.array().cast("array<struct<row:int,col:int>>"),
-        ),
-    )
+        clipped,
+        lambda k: F.transform(F.sequence(k["c1"], k["c2"]), lambda c: F.struct(k["row"].alias("row"), c.alias("col"))))
     return F.array_sort(F.array_distinct(F.flatten(pieces)))
 
 

@@ -78,8 +78,8 @@ FROM fx_page_grid @seq(e,1,2) WHERE e = 1 OR page % 4 = 0"""
 
 VIEWS["fx_annotations"] = """
 SELECT g.doc_id, g.page AS question_id, g.page - 1 AS item_index, k - 1 AS annotation_index, g.page,
- concat(chr(CAST(65 + (g.page_id * 3 + k * 5) % 15 AS INT)), 3 + (g.page_id + k * 11) % 30, ':',
-  chr(CAST(65 + (g.page_id * 3 + k * 5) % 15 + 3 + k * 2 AS INT)), 4 + (g.page_id + k * 11) % 30) AS comment_range,
+ concat(chr(CAST(65 + (g.page_id * 3 + k * 5) % 15 AS INT)), 3 + (g.page_id + k * (g.page_id % 4)) % 30, ':',
+  chr(CAST(65 + (g.page_id * 3 + k * 5) % 15 + 3 + k * 2 AS INT)), 4 + (g.page_id + k * (g.page_id % 4)) % 30) AS comment_range,
  CAST(12 + (g.page_id + k) % 6 AS DOUBLE) AS comment_font_pts, concat('remark number ', g.page_id, ' part ', k) AS comment,
  CAST((g.page_id * 13 + k * 29) % 100 AS DOUBLE) AS y_position_percent,
  CAST((g.page_id * 17 + k * 23) % 80 AS DOUBLE) AS x_start_percent,
@@ -198,6 +198,8 @@ _SEQ = re.compile(r"@seq\((\w+),(-?\d+),(-?\d+)\)")
 def spark_sql_text(text: str) -> str:
     # Spark drops VARCHAR lengths to STRING in casts
     text = re.sub(r"VARCHAR\(\d+\)", "STRING", text)
+    # plain decimal literals would make Spark divide in decimals
+    text = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w'])", r"\1D", text)
     return _SEQ.sub(r"LATERAL VIEW explode(sequence(\2, \3)) \1_t AS \1", text)
 
 
@@ -250,6 +252,10 @@ class Tables:
                 for dep in _uses(text) + [b for b in BASE if re.search(rf"\b(FROM|JOIN)\s+{b}\b", text)]:
                     getattr(self, dep)
                 df = self.spark.sql(spark_sql_text(text))
+                if name == "fx_page_grid":
+                    # spread the small page table first: everything exploded from it is then already
+                    # partitioned by page, and no cell-grain shuffle is needed later
+                    df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "page")
             else:
                 raise AttributeError(name)
             df.createOrReplaceTempView(name)
