@@ -7,18 +7,19 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradelake.functions.coords import _c
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """2 * matches / total length of two strings; 0 when one is empty."""
     out = [SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)]
     return pd.Series(out, index=a.index, dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _ratio_reaches(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     """ratio(a, b) >= limit; bounds are tried first and null inputs are False."""
 

@@ -20,9 +20,9 @@ P = ["doc_id", "page"]
 # On these pages a near copy is an equal text, so equality stands in for the similarity ratio.
 _DEDUP = """(WITH c AS (SELECT doc_id, page, page_type, text, coalesce(text = lag(text) OVER (PARTITION BY doc_id ORDER BY page) AND page - 1 = lag(page) OVER (PARTITION BY doc_id ORDER BY page), FALSE) AS sim FROM fx_ocr_pages),
  r AS (SELECT *, page_type = 'DUPLICATE' AND page > 1 AS dup FROM c),
- s AS (SELECT *, max(CASE WHEN dup OR NOT sim THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS at FROM r),
- o AS (SELECT s.*, d.dup AS start_dup FROM s JOIN r d ON d.doc_id = s.doc_id AND d.page = s.at)
- SELECT doc_id, page, page_type, text, CASE WHEN (page - at) % 2 = 1 THEN NOT start_dup ELSE start_dup END AS omitted, dup FROM o)"""
+ s AS (SELECT *, max(CASE WHEN dup OR NOT sim THEN page END) OVER (PARTITION BY doc_id ORDER BY page) AS st FROM r),
+ o AS (SELECT s.*, d.dup AS start_dup FROM s JOIN r d ON d.doc_id = s.doc_id AND d.page = s.st)
+ SELECT doc_id, page, page_type, text, CASE WHEN (page - st) % 2 = 1 THEN NOT start_dup ELSE start_dup END AS omitted, dup FROM o)"""
 
 
 @query("w7_dedup_pages", f"""
