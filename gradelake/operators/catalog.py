@@ -122,21 +122,22 @@ def default_pages_marks(questions: DataFrame) -> DataFrame:
 
 
 def question_order_key(question_no) -> Column:
-    """Sortable tokens of a label: numbers before letters, prefix Q ignored."""
+    """Sort string of a label: numbers before letters, prefix Q ignored.
+
+    Each token becomes ``0`` and the zero-padded number, or ``1`` and the
+    lower-case letters, closed by a character that sorts before all of them; so
+    comparing the strings compares the token lists.
+    """
     label = F.trim(_c(question_no))
     bare = F.regexp_replace(label, r"(?i)^Q\s*", "")
     tokens = F.regexp_extract_all(bare, F.lit(r"([0-9]+|[a-zA-Z]+)"), 1)
 
     def part(t: Column) -> Column:
-        number = t.try_cast("bigint")
-        return F.struct(number.isNull().alias("is_text"), F.coalesce(number, F.lit(0)).alias("num"),
-                        F.when(number.isNull(), F.lower(t)).otherwise("").alias("text"))
+        shown = F.when(t.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(t, 40, "0"))).otherwise(F.concat(F.lit("1"), F.lower(t)))
+        return F.concat(shown, F.lit("\u0001"))
 
-    blank = F.array(
-        F.struct(F.lit(False).alias("is_text"), F.lit(999999).cast("bigint").alias("num"), F.lit("").alias("text")),
-        F.struct(F.lit(True).alias("is_text"), F.lit(0).cast("bigint").alias("num"), F.lower(label).alias("text")),
-    )
-    return F.when(F.size(tokens) > 0, F.transform(tokens, part)).otherwise(blank)
+    blank = F.concat(F.lit("0" + "999999".zfill(40) + "\u00011"), F.lower(label))
+    return F.when(F.size(tokens) > 0, F.array_join(F.transform(tokens, part), "")).otherwise(blank)
 
 
 def logical_order(questions: DataFrame) -> DataFrame:
@@ -267,6 +268,14 @@ def review_rows(results: DataFrame, questions: DataFrame) -> DataFrame:
         F.coalesce("title", F.lit("")).alias("title"), F.coalesce("marks_total", F.lit(0)).alias("marks_total"))
 
 
+def stamp(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """New rows get a random id and the creation time.
+
+    Both differ from run to run: write the result before using it twice.
+    """
+    return df.withColumn(id_col, F.uuid()).withColumn("created_at", F.current_timestamp())
+
+
 # ---- writes ---------------------------------------------------------------
 
 def delete_keys(keys: DataFrame, models: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions import coords as X
 from gradelake.operators.grid import P
-from gradelake.operators.keyed import top_k
+from gradelake.operators.keyed import split_rank, top_k
 
 ZONE_FIELDS = ["x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent", "score", "row0", "col0"]
 
@@ -114,14 +114,16 @@ def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap
 
     As long as any zone has room an annotation is placed, so exactly the first
     cap x zones annotations of a group are. Only those enter the sequential
-    step; all later ones are unsnapped without further work.
+    step; all later ones are unsnapped without further work. The turn of an
+    annotation is counted in bands of its height on the page, so a group with
+    very many annotations is never sorted in one task.
     """
     keys = ["doc_id", scope, "page"]
+    cols = ["annotation_index", "y_position_percent"]
+    slim = annotations.select(*keys, *cols).withColumn("_y", F.coalesce("y_position_percent", F.lit(50.0)))
+    ranked = split_rank(slim, keys, ["_y", "annotation_index"], [F.floor(F.col("_y") * 10.0)], "_turn")
     bundle = zones_by_page(zones).withColumn("_room", F.size("zones") * cap)
-    j = annotations.join(bundle, P, "left").withColumn("_room", F.coalesce("_room", F.lit(0)))
-    order = [F.coalesce("y_position_percent", F.lit(50.0)), F.col("annotation_index")]
-    ranked = j.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    first = ranked.filter((F.col("_turn") <= _zone_limit(cap)) & (F.col("_turn") <= F.col("_room")))
+    first = ranked.join(bundle, P).filter(F.col("_turn") <= F.col("_room"))
     types = dict(annotations.dtypes)
     names = [*keys, "annotation_index", "z_y", "z_x1", "z_x2", "z_score"]
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "annotation_index"]) + ", z_y double, z_x1 double, z_x2 double, z_score double"
@@ -131,8 +133,7 @@ def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap
         zs = sorted(pdf["zones"].iloc[0], key=lambda z: (z["y_start_percent"], z["zone_pos"]))
         used, ys, out = [0] * len(zs), [], []
         for row in pdf.itertuples(index=False):
-            y = 50.0 if pd.isna(row.y_position_percent) else row.y_position_percent
-            k = choose_zone(zs, used, ys, y, gap, cap, max_shift)
+            k = choose_zone(zs, used, ys, row.y, gap, cap, max_shift)
             used[k] += 1
             ys.append(zs[k]["y"])
             z = zs[k]
@@ -140,7 +141,8 @@ def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap
                         z["x_end_percent"], round(z["score"], 4)))
         return pd.DataFrame(out, columns=names)
 
-    placed = first.select(*keys, "annotation_index", "y_position_percent", "zones", "_turn").groupBy(*keys).applyInPandas(place, schema)
+    turns = first.select(*keys, "annotation_index", F.col("_y").alias("y"), "zones", "_turn")
+    placed = turns.groupBy(*keys).applyInPandas(place, schema)
     hit = F.col("z_y").isNotNull()
     return annotations.join(placed, [*keys, "annotation_index"], "left").withColumns({
         "y_position_percent": F.coalesce("z_y", "y_position_percent"),
@@ -148,11 +150,6 @@ def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap
         "snapped": hit, "snap_score": F.col("z_score")}).drop("z_y", "z_x1", "z_x2", "z_score")
 
 
-def _zone_limit(cap: int) -> int:
-    """Upper bound of placements per group: a coarse grid has at most 40 x 20 zones."""
-    return 800 * cap
-
-
 def _third(y: float) -> int:
     return 0 if y < 33.0 else (2 if y > 67.0 else 1)
 

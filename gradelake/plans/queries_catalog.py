@@ -379,3 +379,9 @@ def _(t):
 @query("pf4_instruction_default", "SELECT model_id, id, coalesce(instruction_name, '') AS instruction_name FROM fx_questions")
 def _(t):
     return t.fx_questions.select("model_id", "id", C.instruction_default().alias("instruction_name"))
+
+
+@query("c30_stamp", "SELECT count(*) AS n, count(*) AS ids, TRUE AS stamped FROM customer")
+def _(t):
+    out = C.stamp(t.customer.select("c_name"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(F.col("created_at").isNotNull()).alias("stamped"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,32 @@ def merge_placements(current: DataFrame, batch: DataFrame) -> DataFrame:
     return last_wins(current.unionByName(batch), ["session_id", "key"], "ord")
 
 
+def stream_placements(actions: DataFrame) -> DataFrame:
+    """Running latest action per (session, key) of a stream; emits a row on every change.
+
+    The state is one row per key, kept in the state store: a removal is a
+    tombstone, and an action older than the kept one changes nothing.
+    ``actions``: session_id, key, ord, action, page, x, y.
+    """
+    cols = ["ord", "action", "page", "x", "y"]
+    types = dict(actions.dtypes)
+    state = ", ".join(f"{c} {types[c]}" for c in cols)
+    schema = f"session_id {types['session_id']}, key {types['key']}, {state}"
+
+    def latest(key, frames: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
+        best = kept.get if kept.exists else None
+        changed = False
+        for pdf in frames:
+            row = pdf.loc[pdf["ord"].idxmax(), cols]
+            if best is None or row["ord"] > best[0]:
+                best, changed = tuple(v.item() if hasattr(v, "item") else v for v in row), True
+        if changed:
+            kept.update(best)
+            yield pd.DataFrame([(*key, *best)], columns=["session_id", "key", *cols])
+
+    return actions.groupBy("session_id", "key").applyInPandasWithState(latest, schema, state, "update", "NoTimeout")
+
+
 def placements_batch(path: str):
     """foreachBatch sink keeping the latest placement per (session, key) in versioned tables.
 
