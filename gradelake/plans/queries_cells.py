@@ -353,9 +353,9 @@ def _(t):
 @query("c12_zone_score", """
 SELECT a.doc_id, a.page, a.annotation_index, z.row0, z.col0, CASE WHEN b1 = b2 THEN 15.0::DOUBLE ELSE 0.0::DOUBLE END + (35.0::DOUBLE - abs(zy - y)) + z.score * 5.0::DOUBLE AS score FROM (
  SELECT *, y_position_percent AS y, CASE WHEN y_position_percent < 33 THEN 't' WHEN y_position_percent > 67 THEN 'b' ELSE 'm' END AS b2 FROM fx_annotations) a
- JOIN (SELECT *, row0 * 5.0 + 2.5 AS zy, CASE WHEN row0 * 5.0 + 2.5 < 33 THEN 't' WHEN row0 * 5.0 + 2.5 > 67 THEN 'b' ELSE 'm' END AS b1 FROM fx_coarse WHERE col0 = 7) z ON z.doc_id = a.doc_id AND z.page = a.page""")
+ JOIN (SELECT *, row0 * 5.0 + 2.5 AS zy, CASE WHEN row0 * 5.0 + 2.5 < 33 THEN 't' WHEN row0 * 5.0 + 2.5 > 67 THEN 'b' ELSE 'm' END AS b1 FROM fx_coarse) z ON z.doc_id = a.doc_id AND z.page = a.page""")
 def _(t):
-    z = t.fx_coarse.filter("col0 = 7").select(*P, "row0", "col0", F.col("score").alias("zs"), (F.col("row0") * 5.0 + 2.5).alias("zy"))
+    z = t.fx_coarse.select(*P, "row0", "col0", F.col("score").alias("zs"), (F.col("row0") * 5.0 + 2.5).alias("zy"))
     return t.fx_annotations.join(z, P).select(*P, "annotation_index", "row0", "col0", S.zone_score("zy", "y_position_percent", "zs").alias("score"))
 
 

@@ -12,6 +12,7 @@ from gradelake.operators import layout as LA
 from gradelake.operators import placement as PL
 from gradelake.operators import raster as RA
 from gradelake.operators import zones as Z
+from gradelake.operators.keyed import split_rank, top_k
 from gradelake.plans.queries_cells import _CELL_AT, _PIX_CELLS, _metrics_sql, _regions
 from gradelake.plans.queries_quality import marking_items
 from gradelake.plans.registry import query
@@ -176,8 +177,6 @@ def _(t):
 @query("s4_remark_order", """
 SELECT doc_id, page, pos, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE type WHEN 'score_circle' THEN 0 WHEN 'tick' THEN 1 WHEN 'curly_brace' THEN 2 WHEN 'underline_remark' THEN 3 WHEN 'exponent_insert' THEN 5 ELSE 9 END, line, pos) AS INT) AS n FROM fx_remarks""")
 def _(t):
-    from gradelake.operators.keyed import split_rank
-
     ranked = LA.remark_rank(t.fx_remarks)
     return split_rank(ranked, P, ["priority", "line", "pos"], [F.col("priority"), F.col("line")], "n").select(*P, "pos", "n")
 
@@ -369,7 +368,7 @@ def _(t):
 
 
 def _boxes(t):
-    z = Z.page_free_zones(t.fx_coarse).filter("doc_id = 0 AND zone_pos <= 10")
+    z = top_k(Z.page_free_zones(t.fx_coarse), ["page"], [F.col("score").desc(), F.col("doc_id"), F.col("zone_pos")], 10)
     return z.select("page", "x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent", "score")
 
 

@@ -30,11 +30,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made and set.
+    (local tests) a temporary folder is made, once per application.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()

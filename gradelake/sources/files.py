@@ -27,6 +27,8 @@ def judge_pdfs(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame,
 
 
 def scan_pdfs(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected files under a folder. Spark's file source leaves out zero-byte
+    files by itself, so those are neither accepted nor listed as rejects."""
     return judge_pdfs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)
 
 
