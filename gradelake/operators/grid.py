@@ -179,8 +179,15 @@ def maximal_rectangles(free: np.ndarray, min_cells: int, min_dim: int) -> np.nda
     grows_down = blocked[r2 + 1, c2 + 1] == blocked[r2 + 1, c1]
     wide = c2 - c1 + 1
     keep = ~grows_down & (h >= min_dim) & (wide >= min_dim) & (h * wide >= min_cells)
-    found = np.stack([r2 - h + 2, r2 + 1, c1 + 1, c2 + 1], axis=1)[keep]
-    return np.unique(found, axis=0) if len(found) else found
+    return np.unique(np.stack([r2 - h + 2, r2 + 1, c1 + 1, c2 + 1], axis=1)[keep], axis=0)
+
+
+def largest_rectangles(free: np.ndarray, min_cells: int = 2, min_dim: int = 2, top: int = 32) -> np.ndarray:
+    """The largest maximal rectangles as rows (r1, r2, c1, c2, area), largest first, ties by position."""
+    rects = maximal_rectangles(free, min_cells, min_dim)
+    area = (rects[:, 1] - rects[:, 0] + 1) * (rects[:, 3] - rects[:, 2] + 1)
+    order = np.lexsort((rects[:, 3], rects[:, 1], rects[:, 2], rects[:, 0], -area))[:top]
+    return np.column_stack([rects[order], area[order]])
 
 
 def writable_regions(masks: DataFrame, min_cells: int = 2, min_dim: int = 2, top: int = 32) -> DataFrame:
@@ -190,11 +197,8 @@ def writable_regions(masks: DataFrame, min_cells: int = 2, min_dim: int = 2, top
         for pdf in batches:
             out = []
             for doc, page, mask in zip(pdf["doc_id"], pdf["page"], pdf["mask"]):
-                rects = maximal_rectangles(mask_array(mask), min_cells, min_dim)
-                area = (rects[:, 1] - rects[:, 0] + 1) * (rects[:, 3] - rects[:, 2] + 1)
-                order = np.lexsort((rects[:, 3], rects[:, 1], rects[:, 2], rects[:, 0], -area))[:top]
-                for n, k in enumerate(order, start=1):
-                    out.append((doc, page, f"R{n}", n, *(int(v) for v in rects[k]), int(area[k])))
+                for n, rect in enumerate(largest_rectangles(mask_array(mask), min_cells, min_dim, top).tolist(), start=1):
+                    out.append((doc, page, f"R{n}", n, *rect))
             yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "page", "region_id", "region_no", "row_start", "row_end", "col_start", "col_end", "cell_count"]

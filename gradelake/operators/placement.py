@@ -8,15 +8,19 @@ page; within one the rows are streamed (see stateful.run_sequential).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gradelake.functions import coords as X
 from gradelake.functions.glyphs import cells_needed
 from gradelake.functions.scoring import layout_positions
-from gradelake.operators.grid import GRID_COLUMNS, P, mask_array
+from gradelake.operators.grid import P, largest_rectangles, mask_array
 from gradelake.operators.keyed import block_of, first_wins, split_rank
 from gradelake.operators.stateful import run_sequential
 
@@ -62,6 +66,14 @@ class PageState:
         self.cx, self.cy = (self.ex[:-1] + self.ex[1:]) / 2.0, (self.ey[:-1] + self.ey[1:]) / 2.0
         self.runs = row_runs(self.free)
         self.slots = None
+        self._regions = None
+
+    @property
+    def regions(self) -> np.ndarray:
+        """Largest free rectangles (r1, r2, c1, c2, area), 1-based, found when first needed."""
+        if self._regions is None:
+            self._regions = largest_rectangles(self.free)
+        return self._regions
 
     def in_rect(self, x1, y1, x2, y2):
         """Rows and columns of cells whose centre lies in a percent rectangle."""
@@ -219,6 +231,32 @@ def _events(items: DataFrame, annotations: DataFrame, page_grid: DataFrame, boxe
     return box.unionByName(ann)
 
 
+def run_cells(annotations: DataFrame, masks: DataFrame, font: float = 11.0) -> DataFrame:
+    """Cells by runs only, every annotation on its own: nothing is reserved between them.
+
+    There is no state, so a page with very many annotations may be split over tasks.
+    """
+    types = dict(annotations.dtypes)
+    keys = [*P, "item_index", "annotation_index"]
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cell_ids array<string>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    j = annotations.join(masks, P).select(
+        *keys, F.coalesce("x_start_percent", F.lit(50.0)).alias("x"), F.coalesce("y_position_percent", F.lit(50.0)).alias("y"),
+        cells_needed("comment", font, "cell_size_pts").alias("need"), F.struct(*[c for c in masks.columns if c not in P]).alias("h"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, state = None, None
+        for batch in batches:
+            out = []
+            for e in batch.to_pylist():
+                if (e["doc_id"], e["page"]) != page:
+                    page, state = (e["doc_id"], e["page"]), PageState(e["h"])
+                out.append({**{k: e[k] for k in keys}, "cell_ids": _ids(state.by_runs(e["need"], e["x"], e["y"]))})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return j.mapInArrow(place, schema)
+
+
 def place_boxes(items: DataFrame, annotations: DataFrame, masks: DataFrame, page_grid: DataFrame, font: float = 11.0) -> DataFrame:
     """A box for every annotation: free cells (1), a horizontal strip (2), or its own position (3).
 
@@ -252,8 +290,9 @@ def place_boxes(items: DataFrame, annotations: DataFrame, masks: DataFrame, page
 
 def _carve(state: PageState, taken_sum, rg, ar, ac, nr, nc):
     """Best nr x nc block of a region near the anchor that avoids taken cells: (score, row, col), 1-based."""
-    r_lo, r_hi = max(rg["row_start"], ar - nr + 1), rg["row_end"] - nr + 1
-    c_lo, c_hi = max(rg["col_start"], ac - nc + 1), rg["col_end"] - nc + 1
+    r1, r2, c1, c2 = (int(v) for v in rg[:4])
+    r_lo, r_hi = max(r1, ar - nr + 1), r2 - nr + 1
+    c_lo, c_hi = max(c1, ac - nc + 1), c2 - nc + 1
     if r_lo > r_hi or c_lo > c_hi:
         return None
     r, c = np.arange(r_lo, r_hi + 1)[:, None], np.arange(c_lo, c_hi + 1)[None, :]
@@ -272,11 +311,13 @@ def region_cells(state: PageState, need: int, ar: int, ac: int):
     taken_sum = np.zeros((state.rows + 1, state.cols + 1), dtype=np.int64)
     taken_sum[1:, 1:] = state.taken.cumsum(axis=0).cumsum(axis=1)
     best = None
+    shapes = state.regions
+    dist = np.hypot((shapes[:, 0] + shapes[:, 1]) / 2.0 - ar, (shapes[:, 2] + shapes[:, 3]) / 2.0 - ac)
+    nearest_first = shapes[np.argsort(dist, kind="stable")]
     for nr in range(1, WRAP_ROWS + 1):
         nc = max(1, math.ceil(max(1, need) / nr))
-        fits = [g for g in state.h["regions"] or [] if g["row_end"] - g["row_start"] + 1 >= nr and g["col_end"] - g["col_start"] + 1 >= nc]
-        fits.sort(key=lambda g: (math.hypot((g["row_start"] + g["row_end"]) / 2.0 - ar, (g["col_start"] + g["col_end"]) / 2.0 - ac), g["region_no"]))
-        for g in fits[:NEAR_SHAPES]:
+        high, wide = nearest_first[:, 1] - nearest_first[:, 0] + 1, nearest_first[:, 3] - nearest_first[:, 2] + 1
+        for g in nearest_first[(high >= nr) & (wide >= nc)][:NEAR_SHAPES]:
             hit = _carve(state, taken_sum, g, ar, ac, nr, nc)
             if hit is None or abs((2 * hit[1] + nr - 1) / 2.0 - ar) > MAX_DRIFT_ROWS:
                 continue
@@ -299,16 +340,14 @@ def _point_cell(state: PageState, x: float, y: float) -> tuple[int, int]:
     return max(1, min(state.rows, row)), max(1, min(state.cols, col))
 
 
-def place_cells(items: DataFrame, annotations: DataFrame, masks: DataFrame, page_grid: DataFrame, regions: DataFrame,
-                font: float = 11.0) -> DataFrame:
+def place_cells(items: DataFrame, annotations: DataFrame, masks: DataFrame, page_grid: DataFrame, font: float = 11.0) -> DataFrame:
     """Cells, range and box per annotation: a region block (1), run cells (2), or its own position (3).
 
     Placements more than eight rows from the anchor are refused. Annotations
     that come with comment_rows keep those cells and take nothing from the page.
+    The regions follow from the page mask, so the task finds them itself; that
+    saves a second pass over the cells.
     """
-    shape = F.struct("region_no", "row_start", "row_end", "col_start", "col_end")
-    packed = regions.groupBy(*P).agg(F.array_sort(F.collect_list(shape)).alias("regions"))
-    headers = masks.join(packed, P, "left")
     types = dict(annotations.dtypes)
     schema = (f"doc_id {types['doc_id']}, page {types['page']}, item_index {types['item_index']}, annotation_index {types['annotation_index']}, "
               "tier int, range_id string, cell_ids array<string>, x1_percent double, y1_percent double, x2_percent double, y2_percent double")
@@ -342,7 +381,7 @@ def place_cells(items: DataFrame, annotations: DataFrame, masks: DataFrame, page
         return result(e, 3, state.in_rect(*own), own)
 
     events = _events(items, annotations, page_grid, False, font)
-    return run_sequential(events, headers, P, ["o1", "o2"], schema, PageState, step)
+    return run_sequential(events, masks, P, ["o1", "o2"], schema, PageState, step)
 
 
 # ---- comment planning -----------------------------------------------------

@@ -17,7 +17,7 @@ def grade_and_check(items: DataFrame, evaluations: DataFrame, annotations: DataF
     boxed = grading.inject_marking(graded, runs)
     placed = placement.place_cells(boxed, annotations.select(
         *P, "item_index", "annotation_index", "comment", "x_start_percent", "x_end_percent", "y_position_percent"),
-        masks, page_grid, grid.writable_regions(masks))
+        masks, page_grid)
     keys = ["doc_id", "page", "item_index", "annotation_index"]
     none = F.lit(None)
     wire = annotations.select(*keys, "comment").join(placed.select(*keys, F.nullif("range_id", F.lit("")).alias("comment_range")), keys).withColumns({

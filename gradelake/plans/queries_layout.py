@@ -265,17 +265,13 @@ def _(t):
 
 @query("u4_place_cells")
 def _(t):
-    m = masks(t)
-    out = PL.place_cells(marking_items(t), place_input(t), m, t.fx_page_grid, G.writable_regions(m))
+    out = PL.place_cells(marking_items(t), place_input(t), masks(t), t.fx_page_grid)
     return out.withColumn("cell_ids", F.array_join("cell_ids", " "))
 
 
 @query("u5_legacy_cell_ids")
 def _(t):
-    # only the cells of run placement, nothing reserved between annotations
-    anns = place_input(t).withColumn("annotation_index", F.col("item_index") * 100 + F.col("annotation_index"))
-    alone = PL.place_cells(marking_items(t).filter("1 = 0"), anns.withColumn("comment_rows", F.lit(None).cast("array<string>")), masks(t), t.fx_page_grid, _regions(t).filter("1 = 0"))
-    return alone.select(*P, "annotation_index", F.array_join("cell_ids", " ").alias("cell_ids"))
+    return PL.run_cells(place_input(t), masks(t)).withColumn("cell_ids", F.array_join("cell_ids", " "))
 
 
 def comment_input(t):

@@ -226,7 +226,11 @@ def test_u4_place_cells(spark, tables, pages):
 
 def test_u5_runs_without_consumption(spark, tables, pages):
     got = {(r.doc_id, r.page, r.annotation_index): r.cell_ids for r in spark_queries()["u5_legacy_cell_ids"](spark, tables.folder).collect()}
-    assert len(got) == tables.fx_annotations.count()
+    anns = need_of(tables)
+    assert len(got) == len(anns)
+    for a in anns:
+        cells = by_runs(pages.get((a.doc_id, a.page), set()), set(), a.need, a.x_start_percent, a.y_position_percent)
+        assert got[(a.doc_id, a.page, a.annotation_index)] == " ".join(name(r, c) for r, c in cells)
 
 
 def span_cells(token):
