@@ -240,7 +240,7 @@ def run_cells(annotations: DataFrame, masks: DataFrame, font: float = 11.0) -> D
     keys = [*P, "item_index", "annotation_index"]
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", cell_ids array<string>"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    j = annotations.join(masks, P).select(
+    j = annotations.join(masks, P, "left").select(
         *keys, F.coalesce("x_start_percent", F.lit(50.0)).alias("x"), F.coalesce("y_position_percent", F.lit(50.0)).alias("y"),
         cells_needed("comment", font, "cell_size_pts").alias("need"), F.struct(*[c for c in masks.columns if c not in P]).alias("h"))
 
@@ -250,8 +250,9 @@ def run_cells(annotations: DataFrame, masks: DataFrame, font: float = 11.0) -> D
             out = []
             for e in batch.to_pylist():
                 if (e["doc_id"], e["page"]) != page:
-                    page, state = (e["doc_id"], e["page"]), PageState(e["h"])
-                out.append({**{k: e[k] for k in keys}, "cell_ids": _ids(state.by_runs(e["need"], e["x"], e["y"]))})
+                    page, state = (e["doc_id"], e["page"]), PageState(e["h"]) if e["h"]["mask"] else None
+                cells = state.by_runs(e["need"], e["x"], e["y"]) if state else []
+                out.append({**{k: e[k] for k in keys}, "cell_ids": _ids(cells)})
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return j.mapInArrow(place, schema)
@@ -308,6 +309,8 @@ def _carve(state: PageState, taken_sum, rg, ar, ac, nr, nc):
 
 def region_cells(state: PageState, need: int, ar: int, ac: int):
     """Cells of the best block over all region shapes within reach of the anchor, or None."""
+    if not (state.free & ~state.taken).any():
+        return None  # a full page answers at once, however many annotations follow
     taken_sum = np.zeros((state.rows + 1, state.cols + 1), dtype=np.int64)
     taken_sum[1:, 1:] = state.taken.cumsum(axis=0).cumsum(axis=1)
     best = None
@@ -532,7 +535,30 @@ def _comments(annotations, masks, free_masks, plan, check):
 
     ordered = _comment_order(annotations) if "priority" in annotations.columns else annotations.withColumn("prio", F.lit(0))
     headers = comment_headers(annotations, masks, free_masks)
-    return run_sequential(ordered, headers, keys, ["prio", "annotation_index"], schema, CommentState, step)
+    if not plan:
+        return run_sequential(ordered, headers, keys, ["prio", "annotation_index"], schema, CommentState, step)
+    first, rest = _plannable(ordered, masks, keys)
+    done = run_sequential(first, headers, keys, ["prio", "annotation_index"], schema, CommentState, step)
+    missed = rest.select(*keys, "annotation_index", F.array().cast("array<string>").alias("comment_rows"),
+                         F.lit("no valid free cells" if check else "no run").alias("outcome"))
+    return done.unionByName(missed)
+
+
+def _plannable(ordered: DataFrame, masks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Split off the annotations that cannot find a run any more, whatever their text.
+
+    A plan takes a whole run, and whether one is left depends on the sides
+    tried, not on the comment. The three known sides are always all tried, so
+    among those annotations the successes come first and are no more than the
+    page has runs; the same holds among annotations with another side, which
+    accept any run. Later ones fail for certain and skip the sequential step.
+    """
+    known = F.lower(F.coalesce("preferred_side", F.lit("right"))).isin("right", "left", "gap")
+    turns = split_rank(ordered.withColumn("_known", known), [*keys, "_known"], ["prio", "annotation_index"],
+                       [F.col("prio"), block_of("annotation_index")], "_turn")
+    limits = masks.select(*P, F.floor(F.col("rows") * F.col("cols") / F.lit(2.0)).alias("_most"))
+    j = turns.join(limits, P)
+    return j.filter(F.col("_turn") <= F.col("_most")).drop("_known", "_turn", "_most"), j.filter(F.col("_turn") > F.col("_most"))
 
 
 # ---- automatic remark placement -------------------------------------------

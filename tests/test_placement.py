@@ -311,6 +311,30 @@ def test_u6_u7_comments(spark, tables, pages):
             assert kept[(doc, page, a.annotation_index)] == " ".join(tok(*s) for s in got)
 
 
+def test_u6_hot_question_is_cut_exactly(spark):
+    """Far more comments than runs on one small page: same outcome as planning them all in order."""
+    import random
+
+    rng = random.Random(2)
+    grid = spark.createDataFrame([(1, 1, 4, 6, 24.0, 0.0, 0.0, 144.0, 96.0)], "doc_id int, page int, rows int, cols int, cell_size_pts double, left_margin_pts double, top_margin_pts double, page_w_pts double, page_h_pts double")
+    free = {(r, c) for r in range(1, 5) for c in range(1, 7) if (r, c) not in {(1, 3), (2, 5), (4, 2)}}
+    cells = spark.createDataFrame([(1, 1, r, c, (r, c) in free) for r in range(1, 5) for c in range(1, 7)], "doc_id int, page int, row int, col int, writable boolean")
+    rows = [(1, 1, 1, i, "some text", 14.0, rng.choice(["left", "right", "gap", "middle"]), str(rng.randint(1, 3)), ["A2:C2"]) for i in range(300)]
+    anns = spark.createDataFrame(rows, "doc_id int, question_id int, page int, annotation_index int, comment string, comment_font_pts double, preferred_side string, priority string, anchor_rows array<string>")
+    m = G.page_masks(cells, grid)
+    got = {r.annotation_index: r.outcome for r in PL.plan_comments(anns, m, m).collect()}
+    def plan_step(state, e):
+        spans = state.plan(state.plan_free, e["anchor_rows"], e["preferred_side"], len(e["comment"]), 14.0)
+        for r, a, b in spans:
+            state.plan_free[r, a:b + 1] = False
+        return {"annotation_index": e["annotation_index"], "kept": bool(state.validate(spans, e["anchor_rows"], len(e["comment"]), 14.0))}
+
+    whole = PL.run_sequential(PL._comment_order(anns), PL.comment_headers(anns, m, m), ["doc_id", "question_id", "page"], ["prio", "annotation_index"],
+                              "annotation_index int, kept boolean", PL.CommentState, plan_step).collect()
+    assert len(got) == 300 and {r.annotation_index: "kept" if r.kept else "no valid free cells" for r in whole} == got
+    assert 0 < sum(v == "kept" for v in got.values()) < 20
+
+
 def test_u7_given_rows(spark, tables, pages):
     rows = spark_queries()["u7_validate_comments"](spark, tables.folder).collect()
     seen: dict = {}
