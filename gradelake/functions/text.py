@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.coords import _c
 
+# Patterns of fences, page headers and question labels (English and Hindi).
 FENCE_RE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 TRAILING_COMMA_RE = r",\s*([}\]])"
 PAGE_HEADER_RE = r"(?im)^===\s*PAGE\s+([0-9]+)\s*===\s*$"

@@ -9,6 +9,7 @@ from gradelake.functions import coords as X
 from gradelake.functions.glyphs import comment_fits
 from gradelake.operators.grid import GRID_COLUMNS, P, page_masks
 from gradelake.operators.keyed import top_k
+from gradelake.schemas import ANCHOR
 
 # Font bounds, default font, anchor types and what each invariant means.
 FONT_MIN, FONT_MAX, FONT_DEFAULT = 14.0, 16.0, 14.0
@@ -24,7 +25,7 @@ INVARIANTS = {
     "I8": "exponent_caret missing extra.missing_word",
     "I9": "curly_brace bad extra.side",
 }
-ANCHOR_SCHEMA = "struct<type:string,rows:array<string>,extra:map<string,string>>"
+ANCHOR_SCHEMA = ANCHOR
 
 
 def normalize_anchor(kind, rows: Column, extra: Column) -> Column:

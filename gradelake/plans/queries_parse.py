@@ -76,7 +76,8 @@ UNION ALL SELECT event_id, 1, CAST(2 + user_id % 20 AS INT), '', 'fine', 10, 50.
 def _(t):
     raw = F.concat(F.lit('[{"question_id": '), (1 + F.col("user_id") % 20).cast("string"), F.lit(', "status": "'), "event_type", F.lit('", "marks_awarded": '),
                    (F.col("user_id") % 9).cast("string"), F.lit('}, {"question_id": '), (2 + F.col("user_id") % 20).cast("string"), F.lit(', "feedback": "fine", "max_marks": 10, "sta'))
-    return PA.regex_evaluations(t.events.select("event_id", raw.alias("raw")), "raw")
+    out = PA.regex_evaluations(t.events.select("event_id", raw.alias("raw")), "raw")
+    return out.select("event_id", "pos", "question_id", "status", "feedback", "max_marks", "marks_awarded")
 
 
 @query("c19_repair_truncated_array", """

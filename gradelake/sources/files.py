@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelake.schemas import RESPONSE_NAME_RE
+
 # Size limit and file signatures.
 MAX_BYTES = 25 * 1024 * 1024
 PDF_MAGIC, PNG_MAGIC, JPEG_MAGIC = "25504446", "89504E470D0A1A0A", "FFD8FF"
@@ -53,11 +55,11 @@ def images_from_base64(df: DataFrame, col: str) -> DataFrame:
 
 
 def pair_by_stem(responses: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """Pair smart_ocr_response_<stem>.json with <stem>.pdf, else test_<stem>.pdf; others are left out.
+    """Pair each response file with <stem>.pdf, else test_<stem>.pdf; others are left out.
 
     Both inputs have a file ``name``.
     """
-    stem = F.regexp_extract("name", r"^smart_ocr_response_(.+)\.json$", 1)
+    stem = F.regexp_extract("name", RESPONSE_NAME_RE, 1)
     r = responses.withColumn("stem", stem).filter("stem <> ''")
     names = pdfs.select(F.col("name").alias("pdf"))
     wanted = r.select("name", "stem", F.explode(F.array(

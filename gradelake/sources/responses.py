@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelake.operators.grid import GRID_COLUMNS
+from gradelake.schemas import GRID_VERSION, MESSAGE
 
 
 def get(v: str, path: str, kind: str) -> Column:
@@ -90,7 +91,7 @@ def envelopes(docs: DataFrame, items: DataFrame, page_grid: DataFrame, skipped:
     """
     it = items.groupBy("doc_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("question_id", F.to_json("item").alias("j")))), lambda x: x["j"]).alias("items"))
-    meta = page_grid.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", *GRID_COLUMNS, F.lit("v4").alias("grid_version")))).alias("cellGridMeta"))
+    meta = page_grid.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", *GRID_COLUMNS, F.lit(GRID_VERSION).alias("grid_version")))).alias("cellGridMeta"))
     skip = skipped.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("skippedPages"))
     j = docs.join(it, "doc_id", "left").join(meta, "doc_id", "left").join(skip, "doc_id", "left")
     none = F.array().cast("array<int>")
@@ -98,7 +99,7 @@ def envelopes(docs: DataFrame, items: DataFrame, page_grid: DataFrame, skipped:
                               F.lit(check_level).alias("checkLevel")))
     body = F.concat(F.lit('"items":['), F.coalesce(F.array_join("items", ","), F.lit("")), F.lit("]"))
     data = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), body, F.lit("}"))
-    return j.select("doc_id", F.concat(F.lit('{"status":1,"message":"Smart OCR complete.","data":'), data, F.lit("}")).alias("json"))
+    return j.select("doc_id", F.concat(F.lit(f'{{"status":1,"message":"{MESSAGE}","data":'), data, F.lit("}")).alias("json"))
 
 
 def write_responses(envelope: DataFrame, path: str, buckets: int = 64) -> None:

@@ -133,6 +133,36 @@ def test_truncated_arrays(spark):
     assert got == {1: '[{"a": 1}]', 2: '[{"a": 1}]', 3: "junk", 4: '[{"a": {"c": "\\"}"}}]'}
 
 
+def test_broken_replies_keep_their_annotations(spark):
+    text = 'x "studentText": "hi", "annotations": [{"pageIndex": 3, "comment": "c"}, {"page_index": 9, "yPositionPercent": 4.5}, {"pageIndex": oops}] end'
+    df = spark.createDataFrame([(1, text, 10, 4)], "id int, raw string, total int, page_count int")
+    parsed = PA.parse_analysis(df, "raw", "total")
+    rows = PA.normalize_annotations(parsed.select("id", "page_count", "annotations"), "annotations").orderBy("annotation_index").collect()
+    assert [(r.page_index, r.comment, r.y_position_percent, r.is_positive) for r in rows] == [(3, "c", 0.0, True), (3, "", 4.5, True)]
+    grades = '[{"question_id": 4, "status": "ok", "marks_awarded": 2.5, "annotations": [{"page_index": 1, "y_position_percent": 20.5, "x_start_percent": 3, "x_end_percent": 9, "comment": "a \\"b\\"", "is_positive": false}'
+    r = PA.regex_evaluations(spark.createDataFrame([(1, grades)], "id int, raw string"), "raw").collect()[0]
+    assert (r.question_id, r.status, r.marks_awarded, r.max_marks, r.start_y_position_percent) == (4, "ok", 2.5, 0, 50.0)
+    assert [tuple(a) for a in r.annotations] == [(1, 20.5, 3.0, 9.0, 'a "b"', False)]
+
+
+def test_export_formats(spark):
+    from gradelake.operators.placement import export_placements
+
+    full = spark.createDataFrame([("s", "k", 1, 2, 3, 4.0, 5.0, 6.0, 7.0, "t")], "session_id string, key string, page int, x int, y int, pct_x double, pct_y double, pdf_x double, pdf_y double, text string")
+    assert export_placements(full).columns == full.columns
+    assert export_placements(full, "minimal").columns == ["session_id", "key", "page", "x", "y", "pct_x", "pct_y"]
+    assert export_placements(full, "pdf").columns == ["session_id", "key", "page", "pdf_x", "pdf_y", "text"]
+    assert export_placements(full, "normalized").columns == ["session_id", "key", "page", "pct_x", "pct_y", "text"]
+
+
+def test_table_shapes_parse():
+    from pyspark.sql.types import StructType
+
+    from gradelake.schemas import TABLES
+
+    assert all(StructType.fromDDL(ddl).names for ddl in TABLES.values())
+
+
 def test_flat_cells(spark):
     grid = spark.createDataFrame([(1, 1, 1, 2, 12.0, 0.0, 0.0, 24.0, 12.0)], "doc_id int, page int, rows int, cols int, cell_size_pts double, left_margin_pts double, top_margin_pts double, page_w_pts double, page_h_pts double")
     px = spark.range(0, 12).crossJoin(spark.range(0, 24).withColumnRenamed("id", "x")).select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("y"), "x", F.when(F.col("x") < 12, 250).otherwise(13).cast("int").alias("value"))
