@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradelake.functions.coords import _c
+from gradelake.functions.coords import _c, let
 
 # Patterns of fences, page headers and question labels (English and Hindi).
-FENCE_RE = r"(?s)```(?:json)?\s*(.*?)\s*```"
+FENCE = "```"
 TRAILING_COMMA_RE = r",\s*([}\]])"
 PAGE_HEADER_RE = r"(?im)^===\s*PAGE\s+([0-9]+)\s*===\s*$"
 QUESTION_NO_RE = (
@@ -26,11 +26,18 @@ EXPECTED_RES = (
 def strip_fence(text) -> Column:
     """Inner text of the first fenced block, or the trimmed text itself."""
     t = _trim_ws(_c(text))
-    return F.when(F.regexp_like(t, F.lit(FENCE_RE)), _trim_ws(F.regexp_extract(t, FENCE_RE, 1))).otherwise(t)
+
+    def inner(parts: Column) -> Column:
+        # before, inside and after the fence
+        body = F.element_at(parts, 2)
+        plain = F.when(body.startswith("json"), F.substr(body, F.lit(5))).otherwise(body)
+        return F.when(F.size(parts) >= 3, _trim_ws(plain)).otherwise(t)
+
+    return F.when(F.contains(t, F.lit(FENCE)), let(F.split(t, FENCE, 3), inner)).otherwise(t)
 
 
 def _trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def repair_json(text, fix_quotes: bool = True) -> Column:
@@ -45,7 +52,7 @@ def repair_json(text, fix_quotes: bool = True) -> Column:
 
 
 def _count(t: Column, ch: str) -> Column:
-    return F.length(t) - F.length(F.translate(t, ch, ""))
+    return F.length(t) - F.length(F.replace(t, F.lit(ch), F.lit("")))
 
 
 def question_number(text) -> Column:
