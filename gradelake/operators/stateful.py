@@ -26,7 +26,9 @@ def run_sequential(rows: DataFrame, headers: DataFrame, keys: list[str], order:
     r = F.struct(*[F.col(c) for c in rcols])
     left = headers.select(*keys, F.lit(0).alias("_k"), h.alias("_h"))
     right = rows.select(*keys, F.lit(1).alias("_k"), r.alias("_r"))
-    both = left.unionByName(right, allowMissingColumns=True).repartition(*keys)
+    # an explicit number keeps small but compute-heavy shuffles from being merged into one task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.unionByName(right, allowMissingColumns=True).repartition(tasks, *keys)
     stream = both.sortWithinPartitions(*keys, "_k", *[F.col(f"_r.{c}") for c in order])
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
