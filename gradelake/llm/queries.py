@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradelake.llm.exact_dedup import exact_dedup
+from gradelake.llm.packing import pack
+from gradelake.llm.shared import shared_root
+from gradelake.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,3 +39,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)""")
 def _(spark, folder):
     return exact_dedup(documents(spark, folder)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@registered("op5_sharding")
+def _(spark, folder):
+    placed = shard_documents(documents(spark, folder), 40, f"{shared_root(spark)}/llm/slot-map-{uuid.uuid4().hex}")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@registered("op9_packing")
+def _(spark, folder):
+    return pack(documents(spark, folder))
