@@ -13,6 +13,7 @@ from gradelake.llm.exact_dedup import exact_dedup
 from gradelake.llm.packing import pack
 from gradelake.llm.shared import shared_root
 from gradelake.llm.sharding import shard_documents
+from gradelake.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +71,9 @@ def _(spark, folder):
     found = decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@registered("op4_substring_dedup")
+def _(spark, folder):
+    found = substring_dedup(documents(spark, folder))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
