@@ -57,11 +57,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     join back to its rows is an ordinary equi join, whose large partitions Spark splits.
     """
     table = written(recipes(docs), "recipes")
-    ambiguous = ambiguous_fingerprints(docs)
-    doubtful = (table.select("row", F.explode("recipe").alias("fp")).join(ambiguous, "fp", "left_semi")
-                .select("row").distinct().withColumn("doubt", F.lit(True)))
-    marked = (table.join(doubtful, "row", "left")
-              .withColumn("mark", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("")).drop("doubt"))
+    ambiguous = written(ambiguous_fingerprints(docs), "ambiguous")
+    if ambiguous.isEmpty():
+        marked = table.withColumn("mark", F.lit(""))
+    else:
+        doubtful = (table.select("row", F.explode("recipe").alias("fp")).join(ambiguous, "fp", "left_semi")
+                    .select("row").distinct().withColumn("doubt", F.lit(True)))
+        marked = (table.join(doubtful, "row", "left")
+                  .withColumn("mark", F.when(F.col("doubt"), F.col("text_sha256")).otherwise("")).drop("doubt"))
     groups = (marked.groupBy("recipe", "mark")
               .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("last"))
               .filter("n > 1").withColumnsRenamed({"recipe": "g_recipe", "mark": "g_mark"}))
