@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.decontaminate import decontaminate
 from gradelake.llm.exact_dedup import exact_dedup
+from gradelake.llm.language_id import languages
 from gradelake.llm.packing import pack
+from gradelake.llm.quality_rules import quality_scores
 from gradelake.llm.shared import shared_root
 from gradelake.llm.sharding import shard_documents
 from gradelake.llm.substring_dedup import substring_dedup
@@ -77,3 +79,13 @@ def _(spark, folder):
 def _(spark, folder):
     found = substring_dedup(documents(spark, folder))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@registered("op7_quality_rules")
+def _(spark, folder):
+    return quality_scores(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@registered("op10_language_id")
+def _(spark, folder):
+    return languages(documents(spark, folder))
