@@ -16,6 +16,9 @@ from gradelake.llm.quality_rules import quality_scores
 from gradelake.llm.shared import shared_root
 from gradelake.llm.sharding import shard_documents
 from gradelake.llm.substring_dedup import substring_dedup
+from gradelake.llm.token_counts import read_vocabulary, token_counts
+
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +92,8 @@ def _(spark, folder):
 @registered("op10_language_id")
 def _(spark, folder):
     return languages(documents(spark, folder))
+
+
+@registered("op2_token_counts")
+def _(spark, folder):
+    return token_counts(documents(spark, folder), read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
