@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradelake.llm.decontaminate import decontaminate
 from gradelake.llm.exact_dedup import exact_dedup
 from gradelake.llm.language_id import languages
+from gradelake.llm.near_dedup import near_dedup
 from gradelake.llm.packing import pack
 from gradelake.llm.quality_rules import quality_scores
 from gradelake.llm.shared import shared_root
@@ -97,3 +98,8 @@ def _(spark, folder):
 @registered("op2_token_counts")
 def _(spark, folder):
     return token_counts(documents(spark, folder), read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+@registered("op8_near_dedup")
+def _(spark, folder):
+    return near_dedup(documents(spark, folder)).select("doc_id", "class_id", "class_size", "kept")
