@@ -11,7 +11,6 @@ Comparison aligns the two shingle sequences within the band that the threshold a
 from __future__ import annotations
 
 import hashlib
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradelake.llm.shared import shared_root, texts, written
+from gradelake.llm.shared import bucketed, written
 from gradelake.llm.wordtext import words
 
 SHINGLE, SKETCHES, TAKEN = 5, 16, 2
@@ -106,16 +105,6 @@ def aligned(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return len(chain) >= need
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(row, text) bucketed by row, so that the texts of candidates are read in place instead of moved."""
-    spark = docs.sparkSession
-    name = f"llm_near_{uuid.uuid4().hex}"
-    body = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    body.write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
-    return spark.table(name)
-
-
 def sketched(table: DataFrame, size: int, sketches: int, taken: int) -> DataFrame:
     """(row, doc_id, same, sketch): ``same`` is equal for texts with equal words; texts without words have none."""
     kind = table.schema["doc_id"].dataType
@@ -211,7 +200,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
 
     At a similarity of 0.8 one sketch agrees with probability 0.64 or less, all of 16 miss below once in a million.
     """
-    table = stored(docs)
+    table = bucketed(docs)
     seen = written(sketched(table, size, sketches, taken), "sketches")
     groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"))
     groups = written(groups, "groups")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradelake.llm.decontaminate import decontaminate
 from gradelake.llm.exact_dedup import exact_dedup
 from gradelake.llm.language_id import languages
+from gradelake.llm.line_templates import drop_recurring_lines
 from gradelake.llm.near_dedup import near_dedup
 from gradelake.llm.packing import pack
 from gradelake.llm.quality_rules import quality_scores
@@ -103,3 +104,27 @@ def _(spark, folder):
 @registered("op8_near_dedup")
 def _(spark, folder):
     return near_dedup(documents(spark, folder)).select("doc_id", "class_id", "class_size", "kept")
+
+
+_MASK = "array_to_string(list_transform(regexp_extract_all(l, '\\S+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ')"
+
+
+@registered("op6_line_templates", f"""
+WITH l AS (SELECT doc_id, i, unnest.l AS l FROM documents, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'l': x, 'i': i}})) t(unnest), LATERAL (SELECT unnest.i) u(i)),
+m AS (SELECT doc_id, i, l, {_MASK} AS line FROM l),
+e AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS t FROM m),
+c AS (SELECT *, len(t) AS size, t[1:3] AS head FROM e WHERE len(t) >= 3),
+leaf AS (SELECT size, head, count(*) AS total FROM c GROUP BY ALL HAVING count(*) >= 5),
+n AS (SELECT size, head, line, t, total, count(*) AS n FROM c JOIN leaf USING (size, head) GROUP BY ALL),
+p AS (SELECT size, head, line, n, total, t[k] AS token, k FROM n, unnest(range(1, size + 1)) r(k)),
+s AS (SELECT size, head, k, token FROM p WHERE token <> '<*>' GROUP BY size, head, k, token, total HAVING sum(n) >= 5 AND sum(n) >= 0.1 * total),
+g AS (SELECT p.size, p.head, line, string_agg(CASE WHEN s.token IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.k) AS template, avg(CASE WHEN s.token IS NULL THEN 0.0 ELSE 1.0 END) AS share
+  FROM p LEFT JOIN s ON s.size = p.size AND s.head = p.head AND s.k = p.k AND s.token = p.token WHERE n < 5 GROUP BY p.size, p.head, line),
+tm AS (SELECT line, line AS template FROM n WHERE n >= 5 UNION ALL SELECT line, template FROM g WHERE share >= 0.7),
+o AS (SELECT template FROM (SELECT DISTINCT doc_id, template FROM e JOIN tm USING (line)) GROUP BY template HAVING count(*) >= 5),
+r AS (SELECT DISTINCT line FROM tm JOIN o USING (template))
+SELECT doc_id, count(*) AS n_lines, count(r.line) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN r.line IS NULL THEN l END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM m LEFT JOIN r USING (line) GROUP BY doc_id""")
+def _(spark, folder):
+    found = drop_recurring_lines(documents(spark, folder))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

@@ -42,3 +42,18 @@ def ascii_lower(text: Column) -> Column:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), so that no other column of the input can clash with a derived one."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) as a written table bucketed by row number.
+
+    Later steps that bring something back to its document join to this table by ``row``, so that only the small side moves
+    and texts stay where they are. ``row`` tells apart rows that are equal in everything. There are as many buckets as
+    shuffle partitions, so a join never deals the texts anew.
+    """
+    spark = docs.sparkSession
+    name = f"llm_texts_{uuid.uuid4().hex}"
+    buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    body = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    body.write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
+    return spark.table(name)
