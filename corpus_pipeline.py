@@ -1,19 +1,43 @@
-"""A corpus pipeline in stages, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""A corpus pipeline in stages, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Every stage gets what the one before kept. All but the last return rows of ``documents`` with all columns.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradelake.llm import exact_dedup
+from gradelake.llm import decontaminate, exact_dedup, near_dedup, packing, quality_rules
 from gradelake.llm.shared import written
 
 
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble rejects go."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text, the one with the largest id stays."""
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near texts, the document with the smallest id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages in a twentieth of their words or more go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of what is left."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", keep_good_texts), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),
+          ("decontaminate", drop_contaminated), ("pack", pack_batches)]
 
 ORACLE_SQL = None
 

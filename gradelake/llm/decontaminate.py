@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelake.llm.fm_index import FMIndex
-from gradelake.llm.shared import texts, written
+from gradelake.llm.shared import bucketed, numbered, rows_kept, written
 from gradelake.llm.wordtext import word_offsets, words
 
 WINDOW, SHARD_WORDS, BLOCK_BYTES = 13, 1 << 20, 16 << 20
@@ -168,7 +168,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     The benchmark is read in blocks of about ``block_bytes``, chosen by hash, so what a task holds is bounded whatever
     its size; with one block, as usual, no shuffle takes place at all.
     """
-    body = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return judged(numbered(docs), benchmark, size, shard_words, block_bytes).drop("row")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    table = bucketed(docs, whole=True)
+    return rows_kept(table, judged(table.select("row", "doc_id", "text"), benchmark, size).filter("not contaminated"))
+
+
+def judged(body: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``decontaminate`` of numbered rows (row, doc_id, text), with their number."""
     schema = SCHEMA.format(id=dict(body.dtypes)["doc_id"])
     arrow = pa.schema([("row", pa.int64()), ("doc_id", _arrow(body)), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
                        ("word_spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
@@ -183,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
         parts = part if parts is None else parts.unionByName(part)
     found = parts if blocks == 1 else merged(written(parts, "hits"))
     share = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select("doc_id", "n_words", "n_hit", "items", "word_spans", "byte_spans", share.alias("contaminated"))
+    return found.select("row", "doc_id", "n_words", "n_hit", "items", "word_spans", "byte_spans", share.alias("contaminated"))
 
 
 def _arrow(body: DataFrame) -> pa.DataType:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradelake.llm.shared import ascii_lower, texts, written
+from gradelake.llm.shared import ascii_lower, bucketed, numbered, rows_kept, written
 
 LEAST, MOST = 256, 4096
 
@@ -24,23 +24,20 @@ def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_sha256, recipe): the ordered chunk fingerprints of each normalised text.
-
-    ``row`` tells apart rows that are equal in every column.
-    """
-    body = texts(docs).select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("body"))
+def recipes(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text_sha256, recipe): the ordered chunk fingerprints of each normalised text."""
+    body = rows.select("row", "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("body"))
     return body.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("body", 256).alias("text_sha256"),
+        "row", "doc_id", F.sha2("body", 256).alias("text_sha256"),
         F.transform(chunks(F.col("body")), lambda c: F.xxhash64(c)).alias("recipe"))
 
 
-def ambiguous_fingerprints(docs: DataFrame) -> DataFrame:
+def ambiguous_fingerprints(rows: DataFrame) -> DataFrame:
     """Fingerprints that stand for more than one chunk text (as good as never any).
 
     Chunks are deduplicated in the map tasks, by fingerprint and bytes, before they move.
     """
-    body = texts(docs).select(ascii_lower(F.coalesce("text", F.lit(""))).alias("body"))
+    body = rows.select(ascii_lower(F.coalesce("text", F.lit(""))).alias("body"))
     found = body.select(F.explode(chunks(F.col("body"))).alias("chunk")).select(F.xxhash64("chunk").alias("fp"), "chunk")
     return found.distinct().groupBy("fp").count().filter("count > 1").select("fp")
 
@@ -56,8 +53,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     such lists can't be taken for each other. The hot group is counted in the map tasks; the
     join back to its rows is an ordinary equi join, whose large partitions Spark splits.
     """
-    table = written(recipes(docs), "recipes")
-    ambiguous = written(ambiguous_fingerprints(docs), "ambiguous")
+    return judged(numbered(docs)).drop("row")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``exact_dedup`` of numbered rows (row, doc_id, text), with their number."""
+    table = written(recipes(rows), "recipes")
+    ambiguous = written(ambiguous_fingerprints(rows), "ambiguous")
     if ambiguous.isEmpty():
         marked = table.withColumn("mark", F.lit(""))
     else:
@@ -78,13 +80,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text, any one."""
-    stay = exact_dedup(docs).filter("kept").select(_key(F.col("doc_id")).alias("_id"), F.col("text_sha256").alias("_sha"))
-    body = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.withColumns({"_id": _key(F.col("doc_id")), "_sha": body})
-    return keyed.join(stay.distinct(), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
-
-
-def _key(doc_id: Column) -> Column:
-    """The id as a text that is never null, so that plain equality joins it."""
-    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+    """The rows of ``docs`` that stay, with all their columns."""
+    table = bucketed(docs, whole=True)
+    return rows_kept(table, judged(table.select("row", "doc_id", "text")).filter("kept"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradelake.llm.shared import bucketed, written
+from gradelake.llm.shared import bucketed, rows_kept, written
 from gradelake.llm.wordtext import words
 
 SHINGLE, SKETCHES, TAKEN = 5, 16, 2
@@ -200,7 +200,17 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
 
     At a similarity of 0.8 one sketch agrees with probability 0.64 or less, all of 16 miss below once in a million.
     """
-    table = bucketed(docs)
+    return classes(bucketed(docs), size, sketches, taken, least).drop("row")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, taken: int = TAKEN, least: tuple[int, int] = LEAST) -> DataFrame:
+    """The rows of ``docs`` that stay, the first of each class, with all their columns."""
+    table = bucketed(docs, whole=True)
+    return rows_kept(table, classes(table, size, sketches, taken, least).filter("kept"))
+
+
+def classes(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
+    """``near_dedup`` of a ``bucketed`` table, with row numbers."""
     seen = written(sketched(table, size, sketches, taken), "sketches")
     groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"))
     groups = written(groups, "groups")

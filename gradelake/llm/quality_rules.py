@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gradelake.llm.shared import texts, written
 
@@ -23,6 +25,7 @@ STATS = ("bytes_log", "words_log", "lines_log", "word_bytes", "line_words", "upp
          "tail_symbol", "capital_words", "word_spread")
 _SYMBOLS = np.frombuffer(b"#$%&*@^~<>{}[]\\=+_`/", np.uint8)
 SAMPLE = 20_000
+PREFIX = "_stat_"
 
 
 def statistics(text: str | None) -> list[float]:
@@ -50,19 +53,17 @@ def statistics(text: str | None) -> list[float]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, one column per statistic) of every row."""
-    body = texts(docs)
-    head = body.select("doc_id").schema
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = pa.schema([("doc_id", to_arrow_type(head[0].dataType))] + [(s, pa.float64()) for s in STATS])
+    """``docs`` with one column per statistic of its text (names begin with PREFIX), computed where the rows are."""
+    place = docs.columns.index("text")
+    n = len(docs.columns)
+    schema = pa.schema([*to_arrow_schema(docs.schema), *((PREFIX + s, pa.float64()) for s in STATS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), *(pa.array(v) for v in values.T)], schema=schema)
+            values = np.array([statistics(t.as_py()) for t in batch.column(place)], dtype=float).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(schema[k].type) for k in range(n)), *(pa.array(v) for v in values.T)], schema=schema)
 
-    return body.mapInArrow(run, f"doc_id {head[0].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATS))
+    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(PREFIX + s, DoubleType()) for s in STATS)]))
 
 
 #: A rule: comparisons (statistic, above, threshold) that all hold.
@@ -78,7 +79,7 @@ class RuleModel:
         """The score between 0 and 1 as an expression over the statistics."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            holds = reduce(lambda a, b: a & b, [F.col(STATS[s]) > v if above else F.col(STATS[s]) <= v for s, above, v in rule])
+            holds = reduce(lambda a, b: a & b, [F.col(PREFIX + STATS[s]) > v if above else F.col(PREFIX + STATS[s]) <= v for s, above, v in rule])
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
 
@@ -164,8 +165,9 @@ def labelled(stats: DataFrame, labels: DataFrame, learn: Column, sample: int = S
     The bound is what the driver holds: 20,000 rows of 21 numbers. A document with several labels counts by its largest.
     """
     known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = stats.filter(learn).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(sample)
-    got = rows.select(*STATS, F.col("quality").cast("double").alias("quality")).toPandas().to_numpy(dtype=float).reshape(-1, len(STATS) + 1)
+    names = [PREFIX + s for s in STATS]
+    rows = stats.filter(learn).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample)
+    got = rows.select(*names, F.col("quality").cast("double").alias("quality")).toPandas().to_numpy(dtype=float).reshape(-1, len(STATS) + 1)
     return got[:, :-1], got[:, -1]
 
 
@@ -181,8 +183,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     and are scored like any other. Without usable labels every score is 0.5. Repeated rows get equal scores;
     an empty table gives no rows. Only the text is read for a score; other columns play no part.
     """
-    stats = written(measured(docs), "statistics")
+    stats = written(measured(texts(docs)).drop("text"), "statistics")
     model = fit(*labelled(stats, labels, remainder() != 0, sample))
     score = model.column()
     return stats.select("doc_id", (remainder() == 0).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with all their columns. Texts don't move: statistics and
+    score are computed beside them. Learns from all labelled rows, or ``sample`` of them."""
+    stats = measured(texts(docs)).drop("text")
+    model = fit(*labelled(stats, labels, F.lit(True), sample))
+    return measured(docs).filter(model.column() >= threshold).select(*docs.columns)

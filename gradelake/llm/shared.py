@@ -44,8 +44,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def bucketed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) as a written table bucketed by row number.
+def bucketed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(row, doc_id, text), and all columns in ``rest`` if ``whole``, as a written table bucketed by row number.
 
     Later steps that bring something back to its document join to this table by ``row``, so that only the small side moves
     and texts stay where they are. ``row`` tells apart rows that are equal in everything. There are as many buckets as
@@ -54,6 +54,17 @@ def bucketed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     name = f"llm_texts_{uuid.uuid4().hex}"
     buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    body = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rest = [F.struct(*docs.columns).alias("rest")] if whole else []
+    body = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *rest)
     body.write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
     return spark.table(name)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) without writing."""
+    return texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def rows_kept(table: DataFrame, kept: DataFrame) -> DataFrame:
+    """The original rows of a whole ``bucketed`` table whose ``row`` is in ``kept``."""
+    return table.join(kept.select("row").hint("shuffle_hash"), "row").select("rest.*")
