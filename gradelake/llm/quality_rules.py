@@ -52,18 +52,18 @@ def statistics(text: str | None) -> list[float]:
         sum(map(bytes.isupper, words)) / m, float(sizes.std())]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with one column per statistic of its text (names begin with PREFIX), computed where the rows are."""
+def measured(docs: DataFrame, prefix: str = PREFIX) -> DataFrame:
+    """``docs`` with one column per statistic of its text (names begin with ``prefix``), computed where the rows are."""
     place = docs.columns.index("text")
     n = len(docs.columns)
-    schema = pa.schema([*to_arrow_schema(docs.schema), *((PREFIX + s, pa.float64()) for s in STATS)])
+    schema = pa.schema([*to_arrow_schema(docs.schema), *((prefix + s, pa.float64()) for s in STATS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([statistics(t.as_py()) for t in batch.column(place)], dtype=float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(schema[k].type) for k in range(n)), *(pa.array(v) for v in values.T)], schema=schema)
 
-    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(PREFIX + s, DoubleType()) for s in STATS)]))
+    return docs.mapInArrow(run, StructType([*docs.schema, *(StructField(prefix + s, DoubleType()) for s in STATS)]))
 
 
 #: A rule: comparisons (statistic, above, threshold) that all hold.
@@ -75,11 +75,11 @@ class RuleModel:
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def column(self) -> Column:
-        """The score between 0 and 1 as an expression over the statistics."""
+    def column(self, prefix: str = PREFIX) -> Column:
+        """The score between 0 and 1 as an expression over the statistics, whose names begin with ``prefix``."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            holds = reduce(lambda a, b: a & b, [F.col(PREFIX + STATS[s]) > v if above else F.col(PREFIX + STATS[s]) <= v for s, above, v in rule])
+            holds = reduce(lambda a, b: a & b, [F.col(prefix + STATS[s]) > v if above else F.col(prefix + STATS[s]) <= v for s, above, v in rule])
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
 
@@ -137,6 +137,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty:
         if len(rows):
             grow(x, cut, binned, residual, rows, stats, depth, least, (), rules, step)
         margin += 0.5 * 4 * step
+    if not rules:  # too few rows to split
+        return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), ())
     kept = sorted(rules)
     r = np.stack([holds(x, rule) for rule in kept], axis=1).astype(np.float32)
     scale = np.maximum(r.std(axis=0), 0.05)
@@ -195,4 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
     score are computed beside them. Learns from all labelled rows, or ``sample`` of them."""
     stats = measured(texts(docs)).drop("text")
     model = fit(*labelled(stats, labels, F.lit(True), sample))
-    return measured(docs).filter(model.column() >= threshold).select(*docs.columns)
+    prefix = PREFIX
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return measured(docs, prefix).filter(model.column(prefix) >= threshold).select(*docs.columns)
