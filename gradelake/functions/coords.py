@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 CELL_RE = r"^\s*([A-Za-z]+)([0-9]+)\s*$"
 RANGE_RE = r"^\s*([A-Za-z]+)([0-9]+)\s*:\s*([A-Za-z]+)([0-9]+)\s*$"
+#: Stands for any row or column number of ten digits or six letters and more: in no grid, and safe to add to.
+BEYOND = 10**9
 ROW_TOKEN_RE = r"^\s*([A-Za-z]{1,3})([0-9]+)\s*:\s*([A-Za-z]{1,3})([0-9]+)\s*$"
 
 
@@ -40,9 +42,13 @@ def clamp(x, low, high) -> Column:
 
 
 def column_letters(col) -> Column:
-    """Spreadsheet letters of a 1-based column number (one to three letters)."""
+    """Spreadsheet letters of a 1-based column number, as many as it takes."""
     n = _c(col).cast("int")
 
+    def more(acc: Column, _: Column) -> Column:
+        left = acc["n"] - 1
+        return F.when(acc["n"] > 0, F.struct(F.floor(left / F.lit(26.0)).cast("int").alias("n"), F.concat(letter(left % 26), acc["s"]).alias("s"))).otherwise(acc)
+
     def letter(zero_based: Column) -> Column:
         return F.char(zero_based + F.lit(65))
 
@@ -54,18 +60,29 @@ def column_letters(col) -> Column:
         .when(n <= 26, last)
         .when(n <= 702, F.concat(middle, last))
         .when(n <= 18278, F.concat(first, middle, last))
+        .otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(n.alias("n"), F.lit("").alias("s")), more, lambda acc: acc["s"]))
     )
 
 
+def row_number(digits: Column) -> Column:
+    """Row of a digit group; null when empty. Numbers beyond BEYOND are held as BEYOND, which lies outside every grid."""
+    return F.when(F.length(F.ltrim(digits, F.lit("0"))) > 9, BEYOND).otherwise(digits.try_cast("int"))
+
+
 def letters_to_column(letters: Column) -> Column:
-    """Column number of a letter group; null when empty or longer than four letters."""
+    """Column number of a letter group; null when empty. Six letters and more are held as BEYOND, outside every grid."""
     padded = F.lpad(F.upper(letters), 4, "@")  # "@" sits just before "A", so it counts as 0
 
     def digit(i: int) -> Column:
         return F.ascii(F.substring(padded, i, 1)) - 64
 
     number = ((digit(1) * 26 + digit(2)) * 26 + digit(3)) * 26 + digit(4)
-    return F.when(F.length(letters).between(1, 4), number)
+    five = ((((digit5(letters, 1) * 26 + digit5(letters, 2)) * 26 + digit5(letters, 3)) * 26 + digit5(letters, 4)) * 26) + digit5(letters, 5)
+    return F.when(F.length(letters).between(1, 4), number).when(F.length(letters) == 5, five).when(F.length(letters) > 5, BEYOND)
+
+
+def digit5(letters: Column, i: int) -> Column:
+    return F.ascii(F.substring(F.upper(letters), i, 1)) - 64
 
 
 def cell_id(row, col) -> Column:
@@ -74,7 +91,7 @@ def cell_id(row, col) -> Column:
 
 
 def cell_row(cell) -> Column:
-    return F.regexp_extract(_c(cell), CELL_RE, 2).try_cast("int")
+    return row_number(F.regexp_extract(_c(cell), CELL_RE, 2))
 
 
 def cell_col(cell) -> Column:
@@ -99,8 +116,8 @@ def _corners(token: Column, pattern: str) -> Column:
         return F.struct(*[F.regexp_extract(p, pattern, k).alias(f"g{k}") for k in (1, 2, 3, 4)])
 
     return let(let(pair, parts), lambda g: F.struct(
-        g["g2"].try_cast("int").alias("ra"), letters_to_column(g["g1"]).alias("ca"),
-        g["g4"].try_cast("int").alias("rb"), letters_to_column(g["g3"]).alias("cb")))
+        row_number(g["g2"]).alias("ra"), letters_to_column(g["g1"]).alias("ca"),
+        row_number(g["g4"]).alias("rb"), letters_to_column(g["g3"]).alias("cb")))
 
 
 def _parsed(k: Column) -> Column:
@@ -114,12 +131,17 @@ def range_bounds(token) -> Column:
         F.greatest(k["ra"], k["rb"]).alias("r2"), F.greatest(k["ca"], k["cb"]).alias("c2"))))
 
 
-def expand_range(token) -> Column:
-    """array<struct(row, col)> of a range in row-major order; null if unparseable."""
+def expand_range(token, rows=None, cols=None) -> Column:
+    """array<struct(row, col)> of a range in row-major order; null if unparseable. With ``rows`` and ``cols`` only
+    the cells inside that grid, so that a token can't ask for more cells than the grid has."""
     def cells(b: Column) -> Column:
         return F.flatten(F.transform(
-            F.sequence(b["r1"], b["r2"]),
-            lambda r: F.transform(F.sequence(b["c1"], b["c2"]), lambda c: F.struct(r.alias("row"), c.alias("col")))))
+            steps(F.greatest(b["r1"], F.lit(1)) if rows is not None else b["r1"], b["r2"] if rows is None else F.least(b["r2"], _c(rows))),
+            lambda r: F.transform(steps(F.greatest(b["c1"], F.lit(1)) if cols is not None else b["c1"], b["c2"] if cols is None else F.least(b["c2"], _c(cols))),
+                                  lambda c: F.struct(r.alias("row"), c.alias("col")))))
+
+    def steps(a: Column, z: Column) -> Column:
+        return F.when(a <= z, F.sequence(a, z)).otherwise(F.array().cast("array<int>"))
 
     return let(range_bounds(token), lambda b: F.when(b.isNotNull(), cells(b)))
 

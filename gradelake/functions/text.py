@@ -119,13 +119,17 @@ def json_string_field(text, *keys: str) -> Column:
 
 
 def _field_re(key: str) -> str:
-    return rf'(?s)"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    return rf'(?s)"{key}"\s*:\s*"((?:[^"\\]|\\.)*+)"'
 
 
 def _unescape(c: Column) -> Column:
+    """A string as JSON reads it, all escapes included; where JSON can't, the plain ones only."""
+    plain = c
     for old, new in ((r"\n", "\n"), (r"\t", "\t"), (r"\"", '"')):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\n", r"\\\\n"), "\r", r"\\\\r"), "\t", r"\\\\t")
+    read = F.from_json(F.concat(F.lit('{"v":"'), bare, F.lit('"}')), "v string")["v"]
+    return F.when(F.instr(c, "\\") == 0, c).otherwise(F.coalesce(read, plain))
 
 
 def json_number_field(text, *keys: str) -> Column:
@@ -133,3 +137,20 @@ def json_number_field(text, *keys: str) -> Column:
     return F.coalesce(
         *[F.regexp_extract(t, rf'"{k}"\s*:\s*([-0-9.]+)', 1).try_cast("double") for k in keys]
     )
+
+
+def open_string(text, key: str) -> Column:
+    """The first string value of a key, which may lack its end; quotes and line feeds unescaped. Null if there is none."""
+    t = _c(text)
+    start = rf'(?s)"{key}"\s*:\s*"((?:[^"\\]|\\.)*+)'
+    found = F.regexp_extract(t, start, 1)
+    return F.when(F.regexp_like(t, F.lit(start)), F.replace(F.replace(found, F.lit('\\"'), F.lit('"')), F.lit(r"\n"), F.lit("\n")))
+
+
+def number_re(key: str) -> str:
+    return rf'"{key}"\s*:\s*([0-9]+(?:\.[0-9]+)?)'
+
+
+def plain_number(text, key: str) -> Column:
+    """The first unsigned number of a key, null if there is none."""
+    return F.regexp_extract(_c(text), number_re(key), 1).try_cast("double")

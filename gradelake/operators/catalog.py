@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradelake.functions.coords import _c
 from gradelake.functions.text import leading_int
-from gradelake.operators.keyed import block_of, count_per, first_wins, last_wins, split_rank
+from gradelake.operators.keyed import block_of, count_per, first_wins, last_wins, latest, split_rank
 
 # Booklet types and languages the catalogue accepts.
 BOOKLET_TYPES = ("standard", "custom", "custom_with_model", "essay")
@@ -121,40 +121,56 @@ def default_pages_marks(questions: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: where questions without a label stand.
+BLANK_LABEL = "999999"
+
+
 def question_order_key(question_no) -> Column:
     """Sort string of a label: numbers before letters, prefix Q ignored.
 
-    Each token becomes ``0`` and the zero-padded number, or ``1`` and the
+    Each token becomes ``0``, the number of digits and the digits, or ``1`` and the
     lower-case letters, closed by a character that sorts before all of them; so
-    comparing the strings compares the token lists.
+    comparing the strings compares the token lists, however long the numbers are.
     """
     label = F.trim(_c(question_no))
     bare = F.regexp_replace(label, r"(?i)^Q\s*", "")
     tokens = F.regexp_extract_all(bare, F.lit(r"([0-9]+|[a-zA-Z]+)"), 1)
 
+    def digits(t: Column) -> Column:
+        bare = F.ltrim(t, F.lit("0"))
+        return F.concat(F.lit("0"), F.lpad(F.length(bare).cast("string"), 10, "0"), bare)
+
     def part(t: Column) -> Column:
-        shown = F.when(t.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(t, 40, "0"))).otherwise(F.concat(F.lit("1"), F.lower(t)))
+        shown = F.when(t.rlike("^[0-9]"), digits(t)).otherwise(F.concat(F.lit("1"), F.lower(t)))
         return F.concat(shown, F.lit("\u0001"))
 
-    blank = F.concat(F.lit("0" + "999999".zfill(40) + "\u00011"), F.lower(label))
+    blank = F.concat(digits(F.lit(BLANK_LABEL)), F.lit("\u00011"), F.lower(label))
     return F.when(F.size(tokens) > 0, F.array_join(F.transform(tokens, part), "")).otherwise(blank)
 
 
 def logical_order(questions: DataFrame) -> DataFrame:
-    """Number questions by label (Q2 before Q10, 2(a) before 2(b)); ids become q-001..."""
+    """Number questions by label (Q2 before Q10, 2(a) before 2(b)); ids become q-001...
+
+    Blocks are the first digits of the labels, so a model with very many labels has few blocks and
+    none of them holds all of its questions.
+    """
     keyed = questions.withColumn("_key", question_order_key("question_no"))
-    ranked = split_rank(keyed, ["model_id"], ["_key", "pos"], [F.col("_key"), block_of("pos")], "new_pos")
+    ranked = split_rank(keyed, ["model_id"], ["_key", "pos"], [F.substring("_key", 1, 14)], "new_pos")
     return ranked.withColumn("new_id", F.format_string("q-%03d", "new_pos")).drop("_key")
 
 
 def next_question_id(questions: DataFrame) -> DataFrame:
     """Next free q-eng-NNN per model."""
-    n = F.regexp_extract(F.trim("id"), r"(?i)^q-eng-([0-9]+)$", 1).try_cast("int")
     return questions.groupBy("model_id").agg(
-        F.format_string("q-eng-%03d", F.coalesce(F.max(n), F.lit(0)) + 1).alias("next_id")
+        F.format_string("q-eng-%03d", F.coalesce(F.max(question_number()), F.lit(0)) + 1).alias("next_id")
     )
 
 
+def question_number() -> Column:
+    """The number of an id q-eng-NNN, null for any other id."""
+    return F.regexp_extract(F.trim("id"), r"(?i)^q-eng-([0-9]+)$", 1).try_cast("int")
+
+
 def key_text(questions: DataFrame, titles: DataFrame, per_part: int = 256) -> DataFrame:
     """Answer-key text per model, in parts of at most ``per_part`` questions.
 
@@ -299,10 +315,12 @@ def upsert_models(models: DataFrame, incoming: DataFrame) -> DataFrame:
     """Merge processed booklets on (id, owner).
 
     A match replaces title, language, type, path and question count but keeps
-    the creation stamp and the intro page.
+    the creation stamp and the intro page. Of repeated incoming keys the last one counts, as if merged one
+    after another; a model created by the first keeps the first creation stamp.
     """
     on = ["id", "owner_user_id"]
-    new = incoming.select(*on, F.lit(True).alias("_new"), F.col("title").alias("n_title"), F.col("lang").alias("n_lang"),
+    stamp = first_stamp(incoming, on)
+    new = latest(incoming, on).drop("created_seq").join(stamp, on).select(*on, F.lit(True).alias("_new"), F.col("title").alias("n_title"), F.col("lang").alias("n_lang"),
                           booklet_type("booklet_type").alias("n_type"), F.col("booklet_pdf_path").alias("n_path"),
                           F.col("question_count").alias("n_count"), F.col("created_seq").alias("n_created"))
     j = models.withColumn("_old", F.lit(True)).join(new, on, "full")
@@ -319,10 +337,16 @@ def upsert_models(models: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def first_stamp(incoming: DataFrame, on: list[str]) -> DataFrame:
+    """Creation stamp of the first row per key: the one that makes the model."""
+    at = F.col("ord") if "ord" in incoming.columns else F.monotonically_increasing_id()
+    return incoming.withColumn("_at", at).groupBy(*on).agg(F.min_by("created_seq", "_at").alias("created_seq"))
+
+
 def update_keys(keys: DataFrame, models: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New title, language and type (null keeps the old type) for a key and its model."""
+    """New title, language and type (null keeps the old type) for a key and its model; the last of repeated changes counts."""
     on = ["id", "owner_user_id"]
-    c = changes.select(*on, F.col("title").alias("n_title"), F.col("lang").alias("n_lang"), F.col("booklet_type").alias("n_type"))
+    c = latest(changes, on).select(*on, F.col("title").alias("n_title"), F.col("lang").alias("n_lang"), F.col("booklet_type").alias("n_type"))
     hit = keys.select(*on, F.col("booklet_type").alias("_k_type")).join(c, on).withColumn(
         "n_type", F.when(F.col("n_type").isNotNull(), booklet_type("n_type")).otherwise(F.coalesce("_k_type", F.lit("standard")))
     ).drop("_k_type")
@@ -394,11 +418,14 @@ def reorder(questions: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def append_questions(keys: DataFrame, models: DataFrame, questions: DataFrame, incoming: DataFrame):
-    """Append one question per (model_id, owner), creating the model from its key if needed.
+    """Append questions to (model_id, owner), creating the model from its key if needed.
 
-    Returns (models, questions, errors). All questions of a touched model are
+    Several questions of one model follow each other in the order of ``ord`` (or of the table) and get consecutive
+    ids. Returns (models, questions, errors). All questions of a touched model are
     renumbered and its question count is set.
     """
+    if "ord" not in incoming.columns:
+        incoming = incoming.withColumn("ord", F.monotonically_increasing_id())
     on = ["model_id", "owner_user_id"]
     m = models.select(F.col("id").alias("model_id"), "owner_user_id", F.lit(True).alias("_m"))
     k = keys.select(F.col("id").alias("model_id"), "owner_user_id", F.lit(True).alias("_k"), F.col("title").alias("_kt"),
@@ -410,10 +437,12 @@ def append_questions(keys: DataFrame, models: DataFrame, questions: DataFrame, i
     created = good.filter(F.col("_m").isNull()).select(
         F.col("model_id").alias("id"), "owner_user_id", F.col("_kt").alias("title"), F.col("_kl").alias("lang"),
         booklet_type("_kb").alias("booklet_type"), F.lit(None).cast("string").alias("booklet_pdf_path"),
-        F.lit(2).alias("intro_page"))
-    top = questions.groupBy("model_id").agg(F.max("pos").alias("_top")).join(next_question_id(questions), "model_id")
-    added = good.join(top, "model_id", "left").select(
-        "model_id", (F.coalesce("_top", F.lit(0)) + 1).alias("pos"), F.coalesce("next_id", F.lit("q-eng-001")).alias("id"),
+        F.lit(2).alias("intro_page")).distinct()
+    top = questions.groupBy("model_id").agg(F.max("pos").alias("_top"), F.coalesce(F.max(question_number()), F.lit(0)).alias("_n"))
+    nth = split_rank(good, ["model_id"], ["ord"], [block_of("ord")], "_nth")
+    added = nth.join(top, "model_id", "left").select(
+        "model_id", (F.coalesce("_top", F.lit(0)) + F.col("_nth")).alias("pos"),
+        F.format_string("q-eng-%03d", F.coalesce("_n", F.lit(0)) + F.col("_nth")).alias("id"),
         *[F.col(c) for c in questions.columns if c in incoming.columns and c not in ("model_id", "pos", "id")])
     touched = questions.join(good.select("model_id").distinct(), "model_id", "left_semi")
     rest = questions.join(good.select("model_id").distinct(), "model_id", "left_anti")
@@ -428,8 +457,9 @@ def append_questions(keys: DataFrame, models: DataFrame, questions: DataFrame, i
 
 
 def replace_questions(questions: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace whole questions by id; id, position and number order stay."""
+    """Replace whole questions by id; id, position and number order stay. The last of repeated ids counts."""
     body = [c for c in questions.columns if c not in ("model_id", "id", "pos")]
+    incoming = latest(incoming, ["model_id", "id"])
     new = incoming.select("model_id", "id", F.struct(*[F.col(c) for c in body]).alias("_new"))
     replaced = questions.join(new, ["model_id", "id"], "left").select(
         "model_id", "id", "pos",

@@ -9,7 +9,7 @@ from gradelake.functions.coords import round_even
 from gradelake.operators.keyed import last_wins
 
 # Columns a grade may overwrite, and columns without meaning for a question the student never answered.
-GRADING_KEYS = "max_marks marks_awarded status student_answer_summary feedback answer_span marking".split()
+GRADING_KEYS = "max_marks marks_awarded status student_answer_summary feedback annotations answer_span marking".split()
 COORDINATES = "start_page end_page marking_page start_y end_y marking_x marking_y".split()
 LAST = 10**9
 
@@ -58,7 +58,7 @@ def merge_evaluations(items: DataFrame, evals: DataFrame, present: str = "presen
     The last grade of a question wins (``ord``). A grading column overwrites the
     item only when its key was present in the grade, which is not the same as
     not being null: ``present`` is the array of keys. Items whose id is no
-    number stay unmatched; grades without an item are appended without
+    number stay unmatched and keep their id; grades without an item are appended without
     coordinates. ``sort_key`` puts missing and zero ids last.
     """
     keys = [k for k in GRADING_KEYS if k in evals.columns]
@@ -80,7 +80,7 @@ def merge_evaluations(items: DataFrame, evals: DataFrame, present: str = "presen
     rest = [c for c in items.columns if c not in {"doc_id", "question_id", "student_answer", "is_attempted", *keys}]
     # coordinates of appended rows are null already: they only exist on the item side
     return j.select(
-        "doc_id", F.col("_q").alias("question_id"), answer.alias("student_answer"), tried.alias("is_attempted"), *rest,
+        "doc_id", F.coalesce("question_id", F.col("_q").cast(items.schema["question_id"].dataType)).alias("question_id"), answer.alias("student_answer"), tried.alias("is_attempted"), *rest,
         *[merged(k).alias(k) for k in keys], teacher_only.alias("teacher_only"),
         F.when(F.coalesce("_q", F.lit(0)) == 0, LAST).otherwise(F.col("_q")).alias("sort_key"))
 

@@ -19,6 +19,13 @@ def last_wins(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     return _extreme(df, keys, order, F.max_by)
 
 
+def latest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the last by ``ord`` where the table has it, else by its place in the table."""
+    if "ord" in df.columns:
+        return last_wins(df, keys, "ord")
+    return last_wins(df.withColumn("_at", F.monotonically_increasing_id()), keys, "_at").drop("_at")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: str | Column) -> DataFrame:
     return _extreme(df, keys, order, F.min_by)
 

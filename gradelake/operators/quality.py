@@ -221,16 +221,25 @@ def violation_samples(violations: DataFrame, per_doc: int = 200) -> DataFrame:
 def corpus_report(violations: DataFrame, annotations: DataFrame) -> DataFrame:
     """Counts per document and invariant, per invariant, and over everything.
 
-    ``pct`` relates to all annotations; ``passes`` is the promotion gate (under 5 %).
+    ``pct`` relates to the document's own annotations, else to all; ``passes`` is the promotion gate (under 5 %).
+    The overall row is there whatever was found, also for a corpus without violations or annotations.
     """
-    total = annotations.agg(F.count(F.lit(1)).alias("annotations_total"))
-    rolled = violations.rollup("invariant", "doc_id").agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
-    level = F.when(F.col("gid") == 0, "document").when(F.col("gid") == 1, "invariant").otherwise("overall")
-    # one-row total: its size is fixed, so broadcasting it is safe
-    pct = 100.0 * F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), F.col("annotations_total"))
-    return rolled.join(F.broadcast(total)).select(
-        level.alias("level"), "invariant", "doc_id", F.coalesce("n", F.lit(0)).alias("n"), X.round_even(pct, 4).alias("pct"),
-        F.when(F.col("gid") == 3, pct < 5.0).alias("passes"))
+    def pct(n: Column, of: Column) -> Column:
+        return 100.0 * n / F.greatest(F.lit(1), F.coalesce(of, F.lit(0)))
+
+    own = annotations.groupBy("doc_id").agg(F.count(F.lit(1)).alias("of"))
+    each = violations.groupBy("invariant", "doc_id").agg(F.sum("n").alias("n")).join(own, "doc_id", "left")
+    document = each.select(F.lit("document").alias("level"), "invariant", "doc_id", "n", X.round_even(pct(F.col("n"), F.col("of")), 4).alias("pct"), F.lit(None).cast("boolean").alias("passes"))
+    both = annotations.select(F.lit(0).cast("long").alias("n"), F.lit(1).alias("a")).unionByName(violations.select(F.col("n").cast("long"), F.lit(0).alias("a")))
+    total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("of")).withColumn("k", F.lit(1))
+    # one row: its size is fixed, so broadcasting it is safe
+    kinds = violations.groupBy("invariant").agg(F.sum("n").alias("n")).withColumn("k", F.lit(1)).join(F.broadcast(total.select("k", "of")), "k")
+    invariant = kinds.select(F.lit("invariant").alias("level"), "invariant", F.lit(None).cast(annotations.schema["doc_id"].dataType).alias("doc_id"), "n",
+                             X.round_even(pct(F.col("n"), F.col("of")), 4).alias("pct"), F.lit(None).cast("boolean").alias("passes"))
+    all_of = pct(F.col("n"), F.col("of"))
+    overall = total.select(F.lit("overall").alias("level"), F.lit(None).cast("string").alias("invariant"), F.lit(None).cast(annotations.schema["doc_id"].dataType).alias("doc_id"),
+                           "n", X.round_even(all_of, 4).alias("pct"), (all_of < 5.0).alias("passes"))
+    return document.unionByName(invariant).unionByName(overall)
 
 
 # ---- wire shape -----------------------------------------------------------

@@ -88,13 +88,21 @@ def _(t):
 
 
 @query("a4_corpus_report", f"""
-WITH v AS {_V}, g AS (SELECT invariant, doc_id, CAST(sum(n) AS BIGINT) AS n, grouping(invariant) AS gi, grouping(doc_id) AS gd FROM v GROUP BY ROLLUP (invariant, doc_id))
+WITH v AS {_V}, own AS (SELECT doc_id, count(*) AS c FROM fx_annotations GROUP BY 1),
+ g AS (SELECT invariant, doc_id, CAST(sum(n) AS BIGINT) AS n, grouping(invariant) AS gi, grouping(doc_id) AS gd FROM v GROUP BY ROLLUP (invariant, doc_id))
 SELECT CASE WHEN gd = 0 THEN 'document' WHEN gi = 0 THEN 'invariant' ELSE 'overall' END AS level, invariant, doc_id, n,
- round_even(100.0::DOUBLE * n / (SELECT count(*) FROM fx_annotations) * 10000, 0) / 10000 AS pct, CASE WHEN gi = 1 THEN 100.0::DOUBLE * n / (SELECT count(*) FROM fx_annotations) < 5 END AS passes FROM g""")
+ round_even(100.0::DOUBLE * n / CASE WHEN gd = 0 THEN greatest(1, coalesce(c, 0)) ELSE (SELECT count(*) FROM fx_annotations) END * 10000, 0) / 10000 AS pct,
+ CASE WHEN gi = 1 THEN 100.0::DOUBLE * n / (SELECT count(*) FROM fx_annotations) < 5 END AS passes FROM g LEFT JOIN own USING (doc_id)""")
 def _(t):
     return Q.corpus_report(violations(t), t.fx_annotations)
 
 
+@query("a4_corpus_report_clean", """
+SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS invariant, max(CASE WHEN FALSE THEN doc_id END) AS doc_id, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS pct, TRUE AS passes FROM fx_annotations""")
+def _(t):
+    return Q.corpus_report(violations(t).filter("page < 0"), t.fx_annotations)
+
+
 @query("c15_text_width", f"""
 SELECT doc_id, {WIDTH("text")} * 11.0::DOUBLE / 1000.0::DOUBLE AS width FROM documents""")
 def _(t):
