@@ -98,6 +98,12 @@ def canonical_questions(df: DataFrame) -> DataFrame:
     )
 
 
+def newest_first(listed: DataFrame, out: str = "rank") -> DataFrame:
+    """Number the listed models of each owner from the newest on; a large owner is numbered in blocks."""
+    newest = -F.col("created_seq")
+    return split_rank(listed, ["owner_user_id"], [newest, F.col("id")], [block_of(newest)], out)
+
+
 # ---- numbering ------------------------------------------------------------
 
 def renumber(questions: DataFrame, pos: str = "pos") -> DataFrame:

@@ -207,3 +207,30 @@ def verify_boxes(annotations: DataFrame, page_grid: DataFrame, tolerance: float
     for n in names:
         ok = ok & (F.abs(F.col(f"_b.{n}") - F.col(n)) < tolerance)
     return k.select(*[c for c in annotations.columns if c not in ("cell_ids", *names)], ok.alias("box_ok"), off.alias("out_of_range"))
+
+
+def anchor_cells(points: DataFrame, page_grid: DataFrame) -> DataFrame:
+    """``anchor_row`` and ``anchor_col`` of percent points (doc_id, page, x_percent, y_percent).
+
+    Of the cells that hold the point the one with the closest centre, else the cell with the closest centre, and (1, 1)
+    on a page without a grid. Edges are percentages to 3 places; points off the page move to its edge.
+    """
+    def near(at: Column, n: str, margin: str, size: str, length: str) -> Column:
+        def edge(k: Column) -> Column:
+            return X.round_even((F.col(margin) + k * F.col(size)) / F.col(length) * 100.0, 3)
+
+        return F.transform(F.sequence(F.lit(1), F.col(n)), lambda k: F.struct(
+            F.pow((edge(k - 1) + edge(k)) / 2.0 - at, F.lit(2.0)).alias("d"), k.alias("k"), at.between(edge(k - 1), edge(k)).alias("holds")))
+
+    def held(name: str) -> Column:
+        return F.filter(name, lambda c: c["holds"])
+
+    x, y = (F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(c))) for c in ("x_percent", "y_percent"))
+    j = points.join(page_grid.select(*P, *GRID_COLUMNS), P, "left").withColumns({
+        "_x": near(x, "cols", "left_margin_pts", "cell_size_pts", "page_w_pts"), "_y": near(y, "rows", "top_margin_pts", "cell_size_pts", "page_h_pts")})
+    both = (F.size(held("_x")) > 0) & (F.size(held("_y")) > 0)
+
+    def pick(name: str) -> Column:
+        return F.coalesce(F.array_min(F.when(both, held(name)).otherwise(F.col(name)))["k"], F.lit(1))
+
+    return j.select(*points.columns, pick("_y").alias("anchor_row"), pick("_x").alias("anchor_col"))

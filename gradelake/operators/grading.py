@@ -112,14 +112,15 @@ def annotation_page_index(raw, start: str = "start_page", end: str = "end_page",
 def reseed(items: DataFrame, annotations: DataFrame) -> DataFrame:
     """Spread the annotations of the marking page around the marking point.
 
-    Items where any annotation already has cells are left alone. ``annotations``:
+    Items where any annotation already has cells are left alone, and so are annotations of an item that isn't
+    there. ``annotations``:
     doc_id, question_id, annotation_index, page_index, y_position_percent,
     x_start_percent, x_end_percent, has_cells.
     """
     keys = ["doc_id", "question_id"]
     i = items.select(*keys, "start_page", "end_page", "marking_page", "marking_x", "marking_y")
     native = annotations.filter("has_cells").select(*keys).distinct().withColumn("_native", F.lit(True))
-    j = annotations.join(i, keys).join(native, keys, "left").withColumn("_keep", F.col("_native").isNotNull()).drop("_native")
+    j = annotations.join(i, keys, "left").join(native, keys, "left").withColumn("_keep", F.col("_native").isNotNull()).drop("_native")
     j = j.withColumn("page_index", F.when(F.col("_keep"), F.col("page_index")).otherwise(annotation_page_index("page_index")))
     on_page = ~F.col("_keep") & F.col("marking_y").isNotNull() & F.coalesce(F.col("page_index") == F.col("marking_page") - 1, F.lit(False))
     # an item's annotations come from one grading reply, so the window groups are small

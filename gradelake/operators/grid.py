@@ -209,6 +209,21 @@ def writable_regions(masks: DataFrame, min_cells: int = 2, min_dim: int = 2, top
         "range_id", X.rect_range_id("row_start", "col_start", "row_end", "col_end"))
 
 
+def region_means(regions: DataFrame, cells: DataFrame) -> DataFrame:
+    """Mean score and mean ink of each region, to 4 places. Cells meet only the regions of their page, a bounded number.
+
+    Sums are taken in millionths, so the result doesn't depend on the order of rows.
+    """
+    def mean(c: str) -> Column:
+        return X.round_even(F.sum(F.rint(F.col(c) * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6, 4)
+
+    inside = F.col("row").between(F.col("row_start"), F.col("row_end")) & F.col("col").between(F.col("col_start"), F.col("col_end"))
+    bounds = regions.select(*P, "region_no", "row_start", "row_end", "col_start", "col_end")
+    means = cells.select(*P, "row", "col", "score", "ink_ratio").join(bounds, P).filter(inside).groupBy(*P, "region_no").agg(
+        mean("score").alias("mean_score"), mean("ink_ratio").alias("mean_ink_ratio"))
+    return regions.join(means, [*P, "region_no"], "left")
+
+
 def region_cell_ids() -> Column:
     """Cell ids of a region row, derived from its bounds."""
     return F.flatten(F.transform(

@@ -12,8 +12,8 @@ from gradelake.functions.text import normalize_ws, page_body, page_from_block_id
 from gradelake.operators.grid import GRID_COLUMNS, P
 from gradelake.operators.keyed import block_of, first_wins, null_safe_join, split_rank
 
-# Fixed value: the default page limit of a scanned booklet.
-MAX_PAGES = 30
+# Fixed value: the usual page limit of a scanned booklet, for callers that want one.
+BOOKLET_PAGES = 30
 PAGE_BLOCK = 512
 
 
@@ -135,15 +135,15 @@ def expected_questions(ocr_pages: DataFrame) -> DataFrame:
     return ocr_pages.groupBy("doc_id").agg(F.max(expected_in_text("text")).alias("expected"))
 
 
-def transcripts(ocr_pages: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
+def transcripts(ocr_pages: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Whole-document transcripts and rejected documents.
 
-    A booklet over the page limit or with an empty page is rejected before any
-    text is gathered, so a transcript never holds more than ``max_pages`` pages.
+    A booklet with an empty page, or over ``max_pages`` where the caller sets it, is rejected before any
+    text is gathered. Without a limit every whole booklet gets its transcript, which is one row by nature.
     """
     text = F.trim(F.coalesce("text", F.lit("")))
     stats = ocr_pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(text == "", F.col("page"))).alias("empty_page"))
-    reason = F.when(F.col("n") > max_pages, "too_many_pages").when(F.col("empty_page").isNotNull(), "empty_page")
+    reason = F.when(F.lit(max_pages is not None) & (F.col("n") > F.lit(max_pages)), "too_many_pages").when(F.col("empty_page").isNotNull(), "empty_page")
     judged = stats.select("doc_id", reason.alias("reason"), "empty_page")
     good = judged.filter("reason IS NULL").select("doc_id")
     part = F.struct("page", F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), text).alias("t"))

@@ -584,7 +584,8 @@ def auto_place(remarks: DataFrame, boxes: DataFrame | None, strategy: str = "fre
     """Give unplaced remarks of a (session, page) positions in order.
 
     ``remarks``: session_id, page, key, ord, canvas_w, canvas_h (only unplaced
-    ones). Free boxes come first, then grid positions; equal positions count once.
+    ones). Free boxes come first, then grid positions; equal positions count once. Every remark gives a row; one without a
+    position left has none.
     """
     keys = ["session_id", "page"]
     ranked = split_rank(remarks, keys, ["ord"], [block_of("ord")], "turn")
@@ -598,7 +599,16 @@ def auto_place(remarks: DataFrame, boxes: DataFrame | None, strategy: str = "fre
         spots = ordered_union(best, spots, keys)
     else:
         spots = spots.withColumn("turn", (F.col("o") + 1).cast("int"))
-    return ranked.join(spots.select(*keys, "turn", "x", "y"), [*keys, "turn"]).select(*keys, "key", "x", "y")
+    return ranked.join(spots.select(*keys, "turn", "x", "y"), [*keys, "turn"], "left").select(*keys, "key", "x", "y")
+
+
+def page_rejects(remarks: DataFrame, page_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remarks (session_id, page, ...) on pages that exist, and the others with the reason. ``page_counts``: session_id, n_pages."""
+    j = remarks.join(page_counts, "session_id", "left")
+    reason = F.when(F.col("page") < 1, F.concat(F.lit("Page must be ≥ 1, got "), F.col("page"))).when(
+        F.col("page") > F.coalesce("n_pages", F.lit(0)), F.concat(F.lit("Page "), F.col("page"), F.lit(" out of range (1–"), F.coalesce("n_pages", F.lit(0)), F.lit(")")))
+    judged = j.withColumn("reason", reason)
+    return judged.filter("reason IS NULL").select(*remarks.columns), judged.filter("reason IS NOT NULL").select(*remarks.columns, "reason")
 
 
 def ordered_union(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,12 +20,11 @@ def _(t):
 
 @query("s1_newest_models", """
 SELECT id, has, CAST(rn AS INT) AS rn FROM (SELECT k.id, a.id IS NOT NULL AS has, k.owner_user_id,
- row_number() OVER (PARTITION BY k.owner_user_id ORDER BY k.created_seq DESC) AS rn
-FROM fx_keys k LEFT JOIN fx_models a ON a.id = k.id AND a.owner_user_id = k.owner_user_id) t WHERE rn <= 20""")
+ row_number() OVER (PARTITION BY k.owner_user_id ORDER BY k.created_seq DESC, k.id) AS rn
+FROM fx_keys k LEFT JOIN fx_models a ON a.id = k.id AND a.owner_user_id = k.owner_user_id) t""")
 def _(t):
     listed = C.list_models(t.fx_keys, t.fx_models)
-    top = K.top_k(listed, ["owner_user_id"], [F.col("created_seq").desc()], 20, "rn")
-    return top.select("id", F.col("has_booklet").alias("has"), "rn")
+    return C.newest_first(listed, "rn").select("id", F.col("has_booklet").alias("has"), "rn")
 
 
 @query("pf7_for_owner", "SELECT id, title, lang FROM fx_keys WHERE owner_user_id = 7")

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from gradelake.functions import coords as X
 from gradelake.operators import catalog as C
+from gradelake.operators import cells as CE
+from gradelake.operators import grid as G
 from gradelake.operators import grading as GR
 from gradelake.operators import parse as PA
+from gradelake.operators import placement as PL
 from gradelake.plans.queries_catalog import _BT
+from gradelake.plans.queries_cells import _RECTS
 from gradelake.plans.registry import query
 
 
@@ -142,3 +146,39 @@ def _(t):
     token = F.concat(F.lit("A"), (F.col("p_size") % 9).cast("string"), F.lit(":ZZZZZZZ"), (F.col("p_size") % 9 + 2).cast("string"))
     cells = X.expand_range(token, F.lit(6), F.lit(4))
     return t.part.select("p_partkey", F.size(F.filter(cells, lambda c: c["row"] >= F.col("p_size") % 9)).alias("n"))
+
+
+@query("w9_region_means", f"""
+SELECT x.doc_id, x.page, x.region_no, round_even(CAST(sum(CAST(round_even(c.score * 1000000, 0) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 * 10000, 0) / 10000 AS mean_score, round_even(CAST(sum(CAST(round_even(c.ink_ratio * 1000000, 0) AS BIGINT)) AS DOUBLE) / count(*) / 1000000 * 10000, 0) / 10000 AS mean_ink_ratio
+FROM {_RECTS} x JOIN fx_cells c ON c.doc_id = x.doc_id AND c.page = x.page AND c.row BETWEEN x.row_start AND x.row_end AND c.col BETWEEN x.col_start AND x.col_end GROUP BY ALL""")
+def _(t):
+    regions = G.writable_regions(G.page_masks(t.fx_cells, t.fx_page_grid))
+    return G.region_means(regions, t.fx_cells).select("doc_id", "page", "region_no", "mean_score", "mean_ink_ratio")
+
+
+def _near(at: str, n: str, margin: str, length: str) -> str:
+    edge = f"round_even(({margin} + ({{k}}) * cell_size_pts) / {length} * 100.0::DOUBLE * 1000, 0) / 1000"
+    low, high = edge.format(k="k - 1"), edge.format(k="k")
+    return f"list_transform(range(1, {n} + 1), lambda k: {{'d': pow(({low} + {high}) / 2.0::DOUBLE - {at}, 2), 'k': k, 'h': {at} BETWEEN {low} AND {high}}})"
+
+
+@query("j14_nearest_cell", f"""
+WITH p AS (SELECT a.doc_id, a.page, a.annotation_index, least(100.0::DOUBLE, x_start_percent * 1.3::DOUBLE) AS x, least(100.0::DOUBLE, y_position_percent) AS y, g.* EXCLUDE (doc_id, page)
+  FROM fx_annotations a LEFT JOIN fx_page_grid g ON g.doc_id = a.doc_id AND g.page = a.page AND a.page <> 3),
+ n AS (SELECT doc_id, page, annotation_index, {_near('x', 'cols', 'left_margin_pts', 'page_w_pts')} AS xs, {_near('y', 'rows', 'top_margin_pts', 'page_h_pts')} AS ys FROM p),
+ f AS (SELECT *, list_filter(xs, lambda c: c.h) AS hx, list_filter(ys, lambda c: c.h) AS hy FROM n)
+SELECT doc_id, page, annotation_index, CAST(coalesce(CASE WHEN len(hx) > 0 AND len(hy) > 0 THEN list_min(hy).k ELSE list_min(ys).k END, 1) AS INT) AS anchor_row,
+ CAST(coalesce(CASE WHEN len(hx) > 0 AND len(hy) > 0 THEN list_min(hx).k ELSE list_min(xs).k END, 1) AS INT) AS anchor_col FROM f""")
+def _(t):
+    points = t.fx_annotations.select("doc_id", "page", "annotation_index", (F.col("x_start_percent") * 1.3).alias("x_percent"), F.col("y_position_percent").alias("y_percent"))
+    return CE.anchor_cells(points, t.fx_page_grid.filter("page <> 3")).select("doc_id", "page", "annotation_index", "anchor_row", "anchor_col")
+
+
+@query("u10_page_rejects", """
+SELECT event_id, CAST(user_id % 6 - 1 AS INT) AS page, CASE WHEN user_id % 6 - 1 < 1 THEN concat('Page must be ≥ 1, got ', user_id % 6 - 1)
+ WHEN user_id % 3 = 0 THEN concat('Page ', user_id % 6 - 1, ' out of range (1–0)') ELSE concat('Page ', user_id % 6 - 1, ' out of range (1–2)') END AS reason
+FROM events WHERE user_id % 6 - 1 < 1 OR user_id % 3 = 0 OR user_id % 6 - 1 > 2""")
+def _(t):
+    remarks = t.events.select("event_id", F.col("user_id").alias("session_id"), (F.col("user_id") % 6 - 1).cast("int").alias("page"))
+    counts = t.events.filter("user_id % 3 <> 0").select(F.col("user_id").alias("session_id"), F.lit(2).alias("n_pages")).distinct()
+    return PL.page_rejects(remarks, counts)[1].select("event_id", "page", "reason")

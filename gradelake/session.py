@@ -29,13 +29,14 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "gra
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stage tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made, once per application.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder,
+    once per application; on a cluster it is an error, since executors would not see each other's files.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from gradelake.schemas import RESPONSE_NAME_RE
 
-# Size limit and file signatures.
-MAX_BYTES = 25 * 1024 * 1024
+# The usual size limit of an upload (only for callers that ask for one) and file signatures.
+UPLOAD_BYTES = 25 * 1024 * 1024
 PDF_MAGIC, PNG_MAGIC, JPEG_MAGIC = "25504446", "89504E470D0A1A0A", "FFD8FF"
 
 
@@ -16,19 +16,21 @@ def _hex(n: int) -> Column:
     return F.hex(F.substring("content", 1, n))
 
 
-def judge_pdfs(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def judge_pdfs(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split files (path, length, content) into accepted ones and rejects with the first failing rule.
 
+    No size is too large unless the caller sets ``max_bytes``.
+
     Name and length rules come first, so content is looked at for survivors only.
     """
     reason = (
         F.when(~F.lower("path").endswith(".pdf"), "not_pdf").when(F.col("length") == 0, "empty")
-        .when(F.col("length") > max_bytes, "too_large").when(_hex(4) != PDF_MAGIC, "no_pdf_header"))
+        .when(F.lit(max_bytes is not None) & (F.col("length") > F.lit(max_bytes)), "too_large").when(_hex(4) != PDF_MAGIC, "no_pdf_header"))
     j = files.withColumn("reason", reason)
     return j.filter("reason IS NULL").drop("reason"), j.filter("reason IS NOT NULL").select("path", "length", "reason")
 
 
-def scan_pdfs(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+def scan_pdfs(spark: SparkSession, path: str, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected files under a folder. Spark's file source leaves out zero-byte
     files by itself, so those are neither accepted nor listed as rejects."""
     return judge_pdfs(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)

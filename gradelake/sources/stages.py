@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,40 @@ def resume(work: DataFrame, done: DataFrame | None, required: list[str], key: st
 
 
 def run_stage(spark: SparkSession, name: str, work: DataFrame, fn: Callable[[DataFrame], DataFrame], required: list[str], key: str = "doc_id") -> DataFrame:
-    """Run a stage for open documents only and append its output to the stage table.
+    """Run a stage for open documents only; each run writes its own part of the stage table.
 
     The table lives in the cluster's checkpoint folder, so a lost executor or a
-    restarted job continues from it.
+    restarted job continues from it. A document that was computed more than once shows its last complete run, or its last one
+    if none is complete. A table that is there but can't be read is an error.
     """
     path = f"{checkpoint_root(spark)}/stages/{name}"
-    try:
-        done = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
-        done = None
-    fn(resume(work, done, required, key)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    runs = _runs(spark, path)
+    done = _latest(spark, path, required, key) if runs else None
+    todo = resume(work, done, required, key)
+    fn(todo).write.mode("overwrite").parquet(f"{path}/run={max(runs, default=0) + 1}")
+    return _latest(spark, path, required, key)
+
+
+def _runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished runs under ``path``; one that broke off is written again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(conf)
+    if not files.exists(where):
+        return []
+    found = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("run=")]
+    return [int(p.getName()[4:]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def _latest(spark: SparkSession, path: str, required: list[str], key: str) -> DataFrame:
+    runs = [f"{path}/run={n}" for n in _runs(spark, path)]
+    rows = spark.read.option("basePath", path).parquet(*runs)
+    if any(c not in rows.columns for c in required):
+        return rows.drop("run")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in required], F.lit(True))
+    each = rows.groupBy(key, "run").agg(F.bool_and(whole).alias("whole"))
+    last = each.groupBy(key).agg(F.max(F.struct("whole", "run"))["run"].alias("run"))
+    return rows.join(last, [key, "run"], "left_semi").drop("run")
 
 
 def stage_status(rows: DataFrame, ok: Column, elapsed_ms: Column) -> DataFrame:

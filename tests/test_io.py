@@ -6,6 +6,7 @@ import json
 import tempfile
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradelake.sources import files as FI
@@ -85,6 +86,32 @@ def test_stage_runs_only_open_documents(spark):
     ST.run_stage(spark, name, docs, work, ["items"])
     ST.run_stage(spark, name, docs.unionByName(spark.range(9, 10).select(F.col("id").alias("doc_id"))), work, ["items"])
     assert seen == [[1, 2, 3], [3], [3, 9]]
+    found = ST.run_stage(spark, name, docs, lambda df: work(df).withColumn("items", F.lit(2)), ["items"])
+    assert sorted((r.doc_id, r["items"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 2), (9, 1)]  # each document once
+
+
+def test_shared_folder_is_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from gradelake.session import checkpoint_root
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    cluster = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError):
+        checkpoint_root(cluster)
+
+
+def test_unreadable_stage_table_is_an_error(spark):
+    name = folder().name
+    docs = spark.range(1, 3).select(F.col("id").alias("doc_id"))
+    ST.run_stage(spark, name, docs, lambda df: df.withColumn("items", F.lit(1)), ["items"])
+    from gradelake.session import checkpoint_root
+
+    part = next(Path(checkpoint_root(spark).removeprefix("file:") + f"/stages/{name}/run=1").glob("*.parquet"))
+    part.write_bytes(b"no parquet")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        ST.run_stage(spark, name, docs, lambda df: df.withColumn("items", F.lit(1)), ["items"]).collect()
 
 
 def test_streaming_intake_and_rates(spark):
