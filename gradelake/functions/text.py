@@ -25,18 +25,18 @@ EXPECTED_RES = (
 
 def strip_fence(text) -> Column:
     """Inner text of the first fenced block, or the trimmed text itself."""
-    t = _trim_ws(_c(text))
+    t = trim_ws(_c(text))
 
     def inner(parts: Column) -> Column:
         # before, inside and after the fence
         body = F.element_at(parts, 2)
         plain = F.when(body.startswith("json"), F.substr(body, F.lit(5))).otherwise(body)
-        return F.when(F.size(parts) >= 3, _trim_ws(plain)).otherwise(t)
+        return F.when(F.size(parts) >= 3, trim_ws(plain)).otherwise(t)
 
     return F.when(F.contains(t, F.lit(FENCE)), let(F.split(t, FENCE, 3), inner)).otherwise(t)
 
 
-def _trim_ws(c: Column) -> Column:
+def trim_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
 
 
@@ -76,7 +76,7 @@ def page_body(block) -> Column:
     t = _c(block)
     header = F.regexp_substr(t, F.lit(PAGE_HEADER_RE))
     after = F.substr(t, F.instr(t, header) + F.length(header))
-    return _trim_ws(F.when(header.isNull(), t).otherwise(after))
+    return trim_ws(F.when(header.isNull(), t).otherwise(after))
 
 
 def normalize_ws(text) -> Column:
@@ -92,12 +92,12 @@ def strip_p_tags(text) -> Column:
     t = F.regexp_replace(_c(text), r"(?i)</p\s*>", "\n\n")
     t = F.regexp_replace(t, r"(?i)<p\b[^>]*>", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return _trim_ws(t)
+    return trim_ws(t)
 
 
 def diagram_list(raw: Column) -> Column:
     """Trimmed non-blank strings of an array column."""
-    cleaned = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: _trim_ws(x))
+    cleaned = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: trim_ws(x))
     return F.filter(cleaned, lambda x: x.isNotNull() & (x != ""))
 
 

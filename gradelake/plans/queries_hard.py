@@ -182,3 +182,58 @@ def _(t):
     remarks = t.events.select("event_id", F.col("user_id").alias("session_id"), (F.col("user_id") % 6 - 1).cast("int").alias("page"))
     counts = t.events.filter("user_id % 3 <> 0").select(F.col("user_id").alias("session_id"), F.lit(2).alias("n_pages")).distinct()
     return PL.page_rejects(remarks, counts)[1].select("event_id", "page", "reason")
+
+
+_STRIPPED = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _reply(text, key: str):
+    """A fenced JSON reply that holds a text."""
+    return F.concat(F.lit("```json\n"), F.to_json(F.struct(text.alias(key))), F.lit("\n```"))
+
+
+@query("c24_named_text", f"SELECT doc_id, {_STRIPPED} AS answer FROM documents WHERE doc_id % 5 <> 0")
+def _(t):
+    raw = F.when(F.col("doc_id") % 5 == 0, _reply(F.col("text"), "text")).otherwise(_reply(F.col("text"), "answer"))
+    return PA.parse_named_text(t.documents.select("doc_id", raw.alias("raw")), "raw", "answer")[0].select("doc_id", "answer")
+
+
+@query("c24_expanded_answer", f"""
+SELECT conv_id, turn, {_STRIPPED} AS answer, CASE turn % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN role ELSE '' END AS diagrams FROM conversations""")
+def _(t):
+    lists = F.when(F.col("turn") % 3 == 0, F.lit('[" a ", 7, "", "b", null]')).when(F.col("turn") % 3 == 1, F.concat(F.lit('" '), "role", F.lit('"'))).otherwise("{}")
+    body = F.to_json(F.struct(F.col("text").alias("answer")))
+    raw = F.concat(F.substr(body, F.lit(1), F.length(body) - 1), F.lit(', "diagramDescriptions": '), lists, F.lit("}"))
+    good, _ = PA.parse_expanded_answer(t.conversations.select("conv_id", "turn", raw.alias("raw")), "raw")
+    return good.select("conv_id", "turn", "answer", F.array_join("diagrams", "|").alias("diagrams"))
+
+
+@query("c24_page_text", f"SELECT doc_id, {_STRIPPED} AS text FROM documents WHERE doc_id % 4 <> 3 AND {_STRIPPED} <> ''")
+def _(t):
+    whole = _reply(F.col("text"), "text")
+    bare = F.to_json(F.struct("text"))
+    cut = F.substr(bare, F.lit(1), F.length(bare) - 1)  # the closing brace is lost
+    raw = F.when(F.col("doc_id") % 4 == 3, F.lit('{"text": " "}')).when(F.col("doc_id") % 4 == 2, cut).otherwise(whole)
+    return PA.parse_page_text(t.documents.select("doc_id", raw.alias("raw")), "raw")[0].select("doc_id", "text")
+
+
+def _structures(t):
+    one = F.concat(F.lit('{"section_name": " A ", "questions": [{"question_id": '), "event_id", F.lit('}, 5, {"student_answer": "'), "event_type", F.lit('"}]}'))
+    raw = (F.when(F.col("user_id") % 5 == 0, "[]").when(F.col("user_id") % 5 == 1, '{"sections": 3}').when(F.col("user_id") % 5 == 2, '{"sections": [{"questions": []}]}')
+           .when(F.col("user_id") % 5 == 3, F.concat(F.lit('{"sections": ['), one, F.lit(', 7, {"questions": [{"question_id": 1}]}]}'))).otherwise("no json"))
+    return PA.parse_sections(t.events.select("event_id", raw.alias("raw")), "raw", "event_id")
+
+
+@query("c24_sections", """
+SELECT event_id, 0 AS section_no, 'A' AS section_name, 0 AS pos, event_id AS question_id FROM events WHERE user_id % 5 = 3
+UNION ALL SELECT event_id, 0, 'A', 2, NULL FROM events WHERE user_id % 5 = 3
+UNION ALL SELECT event_id, 2, 'अज्ञात अनुभाग', 0, 1 FROM events WHERE user_id % 5 = 3""")
+def _(t):
+    return _structures(t)[0].select("event_id", "section_no", "section_name", "pos", F.expr("try_variant_get(item, '$.question_id', 'bigint')").alias("question_id"))
+
+
+@query("c24_section_rejects", """
+SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'Structure response must be a JSON object.' WHEN 1 THEN 'Structure response missing sections array.'
+ WHEN 2 THEN 'No question-answer blocks detected.' ELSE 'invalid JSON' END AS reason FROM events WHERE user_id % 5 <> 3""")
+def _(t):
+    return _structures(t)[1].select("event_id", "reason")
