@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradelake.functions import coords as X
+from gradelake.functions import glyphs
 from gradelake.operators import catalog as C
 from gradelake.operators import cells as CE
 from gradelake.operators import grid as G
@@ -13,6 +14,7 @@ from gradelake.operators import parse as PA
 from gradelake.operators import placement as PL
 from gradelake.plans.queries_catalog import _BT
 from gradelake.plans.queries_cells import _RECTS
+from gradelake.plans.queries_quality import _FIT, WIDTH
 from gradelake.plans.registry import query
 
 
@@ -237,3 +239,17 @@ SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'Structure response must be a JSON
  WHEN 2 THEN 'No question-answer blocks detected.' ELSE 'invalid JSON' END AS reason FROM events WHERE user_id % 5 <> 3""")
 def _(t):
     return _structures(t)[1].select("event_id", "reason")
+
+
+@query("c15_cells_needed_texts", f"""
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE CAST(greatest(1, ceil({WIDTH("t")} * 11.0::DOUBLE / 1000.0::DOUBLE / 24.0::DOUBLE)) AS INT) END AS cells FROM (SELECT doc_id, trim(text) AS t FROM documents) d""")
+def _(t):
+    return t.documents.select("doc_id", glyphs.cells_needed("text", 11.0, 24.0).alias("cells"))
+
+
+@query("c16_comment_fits_texts", f"""
+SELECT doc_id, comment = '' OR (fnt * 1.4::DOUBLE <= ah AND fit.ok AND fit.lines * (fnt * 1.4::DOUBLE) <= ah) AS fits FROM (SELECT *, {_FIT} AS fit FROM (
+ SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS comment, CAST(14 + doc_id % 3 AS DOUBLE) AS fnt, 24.0::DOUBLE * (4 + doc_id % 60) * 0.95::DOUBLE AS aw, 24.0::DOUBLE * (2 + doc_id % 300) * 0.95::DOUBLE AS ah FROM documents) a) b""")
+def _(t):
+    k = F.col("doc_id")
+    return t.documents.select("doc_id", glyphs.comment_fits("text", (14 + k % 3).cast("double"), 4 + k % 60, 2 + k % 300, F.lit(24.0)).alias("fits"))
