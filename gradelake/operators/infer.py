@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schema: str, attempts: int = 3) -> DataFrame:
+def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schema: str, attempts: int = 3, piece: int = 32) -> DataFrame:
     """Call ``fn`` on every row; a row whose calls all fail becomes an error row.
 
     ``fn`` gets the row as a dict and returns the output columns. The result has
     the keys, the output columns, ``tries`` and ``error`` (null when fine). The
-    job never fails because of a bad row; concurrency is the number of tasks.
+    job never fails because of a bad row; concurrency is the number of tasks. Replies are handed on ``piece`` rows at a
+    time, so a slow function holds few of them in the task.
     """
     types = dict(df.dtypes)
     names = [part.strip().split()[0] for part in out_schema.split(",")]
@@ -31,9 +32,10 @@ def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schem
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pdf.to_dict("records")
-            out = [{**{k: r[k] for k in keys}, **call(r)} for r in rows]
-            yield pd.DataFrame(out, columns=[*keys, *names, "tries", "error"])
+            for at in range(0, len(pdf), piece):
+                rows = pdf.iloc[at: at + piece].to_dict("records")
+                out = [{**{k: r[k] for k in keys}, **call(r)} for r in rows]
+                yield pd.DataFrame(out, columns=[*keys, *names, "tries", "error"])
 
     return df.mapInPandas(run, schema)
 

@@ -48,9 +48,10 @@ def test_merge_keeps_what_the_grade_did_not_mention(spark):
                                   "doc_id int, question_id string, ord int, feedback string, status string, present array<string>")
     rows = GR.merge_evaluations(items, evals).orderBy("sort_key").collect()
     by_id = {r.question_id: r for r in rows}
-    assert by_id[1].status == "ok" and by_id[1].feedback is None  # present but null overwrites
-    assert by_id[7].teacher_only and by_id[7].is_attempted is False and by_id[7].student_answer == ""
+    assert by_id["1"].status == "ok" and by_id["1"].feedback is None  # present but null overwrites
+    assert by_id["7"].teacher_only and by_id["7"].is_attempted is False and by_id["7"].student_answer == ""
     assert len(rows) == 4 and rows[-1].sort_key == rows[-2].sort_key == 10**9
+    assert {r.question_id for r in rows} == {"1", "x", "0", "7"}  # ids stay as they were given
 
 
 def test_zone_merging(spark):
