@@ -25,6 +25,7 @@ from gradelake.llm.shared import bucketed, rows_kept, written
 from gradelake.llm.wordtext import words
 
 SHINGLE, SKETCHES, TAKEN = 5, 16, 2
+CENTRES = 4
 #: Similarity of at least LEAST[0] / LEAST[1].
 LEAST = (4, 5)
 BLOCK = 1 << 16
@@ -162,33 +163,48 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
-    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, sketch)."""
+    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, sketch).
+
+    In each round every bucket has ``CENTRES`` centres, the smallest row first and then others by turns, and its members are
+    compared with those they are not yet connected to. Found links join whole labels, so the graph
+    of a round is only as large as what it newly connects. No pair is compared twice.
+    """
     member = reps.select("row", F.posexplode("sketch")).select("row", F.xxhash64("pos", "col").alias("bucket"))
     shared = member.groupBy("bucket").count().filter("count > 1").select("bucket")
     member = written(member.join(shared, "bucket"), "members")
-    links, tried, label, turn = None, None, None, 0
+    tried, label, turn = None, None, 0
     while True:
         named = member.withColumn("label", F.col("row")) if label is None else member.join(
             label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-        order = F.struct(F.xxhash64("row", F.lit(turn)), "row", "label") if turn else F.struct("row", "label")
-        last = F.struct(F.xxhash64("label", F.lit(turn)), "row", "label")
-        centre = named.groupBy("bucket").agg(F.min(order).alias("one"), F.max(last).alias("two")).select(
-            "bucket", F.explode(F.array(*[F.struct(F.col(f"{c}.row").alias("c"), F.col(f"{c}.label").alias("c_label")) for c in ("one", "two")])).alias("c"))
+        orders = [F.struct((F.col("row") if not turn + k else F.xxhash64("row" if k % 2 else "label", F.lit(CENTRES * turn + k))).alias("order"), "row", "label")
+                  for k in range(CENTRES)]
+        centre = named.groupBy("bucket").agg(*[F.min(o).alias(f"c{k}") for k, o in enumerate(orders)]).select("bucket", F.explode(F.array_distinct(F.array(
+            *[F.struct(F.col(f"c{k}.row").alias("c"), F.col(f"c{k}.label").alias("c_label")) for k in range(CENTRES)]))).alias("c"))
         met = named.join(centre.select("bucket", "c.*"), "bucket").filter("label != c_label")
         pairs = met.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(compared(pairs, table, size, least), "compared")
-        near = found.filter("near").select("a", "b")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        near = written(compared(pairs, table, size, least), "compared").filter("near").select("a", "b")
         if near.isEmpty():
             return label
-        links = near if links is None else links.unionByName(near)
-        label = components(links)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        label = written(joined(near, label), "joined")
         turn += 1
 
 
+def joined(near: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Labels after the links ``near``: each set of labels that they connect takes its least one."""
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    if label is None:
+        return components(near)
+    known = written(label.unionByName(ends.join(label, "node", "left_anti").withColumn("label", F.col("node"))), "known")
+    of_a, of_b = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    edges = near.join(of_a, "a").join(of_b, "b").filter("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    renamed = components(edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return known.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
 def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, taken: int = TAKEN, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept.
 
