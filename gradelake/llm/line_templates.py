@@ -19,42 +19,52 @@ DEPTH, DOCUMENTS, SUPPORT, FIXED, LEAST_TOKENS = 3, 5, 0.1, 0.7, 3
 
 def masked(text: Column) -> Column:
     """Lines of a text, tokens with a digit replaced by the field mark, white space as single blanks. The pattern
-    starts at token starts only, so long tokens cost no more than their length."""
-    fields = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)
-    return F.transform(F.split(fields, "\n", -1), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
+    starts at token starts only, so long tokens cost no more than their length; lines without a digit or odd white
+    space, nearly all, are only looked at."""
+    def line(x: Column) -> Column:
+        fields = F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<!\S)[^\s0-9]*+[0-9]\S*", FIELD)).otherwise(x)
+        odd = x.contains("  ") | x.contains("\t") | x.contains("\r") | x.contains("\x0b") | x.contains("\f") | x.startswith(" ") | x.endswith(" ")
+        return F.when(odd, F.trim(F.regexp_replace(fields, r"\s+", " "))).otherwise(fields)
+
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line)
 
 
 def candidates(table: DataFrame, documents: int, depth: int, least_tokens: int) -> DataFrame:
     """(row, line, leaf): the different masked lines of each document whose leaf is seen often enough to hold a template.
 
-    Leaves are counted as numbers first; lines move once, to be matched with the leaves that are left.
+    Leaves are counted and matched as numbers, with a line's place in its document; only lines of leaves that are left
+    are then read again where their texts lie. All other text never moves.
     """
-    each = table.select("row", F.explode(F.array_distinct(masked(F.col("text")))).alias("line"))
-    tokens = F.split("line", " ")
-    each = each.filter(F.size(tokens) >= least_tokens).withColumn("leaf", F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)))
+    lines = F.array_distinct(masked(F.col("text")))
+    blanks = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit("")))
+    leaf = F.xxhash64(blanks, F.substring_index("line", " ", depth)).alias("leaf")
+    each = table.select("row", F.posexplode(lines).alias("pos", "line")).filter(blanks >= least_tokens - 1).select("row", "pos", leaf)
     often = each.groupBy("leaf").count().filter(F.col("count") >= documents).select("leaf")
-    return each.join(often, "leaf", "left_semi").select("row", "line", "leaf")
+    at = each.join(often, "leaf", "left_semi").groupBy("row").agg(F.collect_list("pos").alias("at"))
+    found = table.join(at.hint("shuffle_hash"), "row").select("row", F.explode(F.filter(lines, lambda _, i: F.array_contains("at", i))).alias("line"))
+    return found.select("row", "line", leaf)
 
 
 def templates(found: DataFrame, documents: int, support: float, fixed: float) -> DataFrame:
     """(line, template): template of each candidate line, as far as it is mostly fixed tokens.
 
     A line that enough documents share is its own template. In any other, a token stays where at least ``documents``
-    lines of the leaf, and the share ``support`` of all its lines, have it at that place.
+    lines of the leaf, and the share ``support`` of all its lines, have it at that place. A place has at most 1 / ``support``
+    such tokens, so those of a leaf go with each of its lines as one short list of numbers.
     """
     counted = written(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "lines")
-    own = counted.filter(F.col("n") >= documents).select("line", F.col("line").alias("template"))
-    placed = counted.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    held = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held"))
-    total = counted.groupBy("leaf").agg(F.sum("n").alias("total"))
-    kept = (held.filter((F.col("held") >= documents) & (F.col("token") != FIELD)).join(total, "leaf")
-            .filter(F.col("held") >= support * F.col("total")).select("leaf", "at", "token", F.lit(True).alias("stays")))
-    rare = placed.filter(F.col("n") < documents).join(kept, ["leaf", "at", "token"], "left")
-    shape = rare.groupBy("leaf", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("stays"), F.col("token")).otherwise(FIELD).alias("token")))),
-                                 lambda s: s["token"]), " ").alias("template"),
-        F.avg(F.when(F.col("stays"), 1.0).otherwise(0.0)).alias("share"))
-    return own.unionByName(shape.filter(F.col("share") >= fixed).select("line", "template"))
+    rare = F.col("n") < documents
+    own = counted.filter(~rare).select("line", F.col("line").alias("template"))
+    total = counted.groupBy("leaf").agg(F.sum("n").alias("total"), F.bool_or(rare).alias("open")).filter("open")
+    placed = counted.join(total, "leaf", "left_semi").select("leaf", "n", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    held = (placed.filter(F.col("token") != FIELD).groupBy("leaf", F.xxhash64("at", "token").alias("token")).agg(F.sum("n").alias("held"))
+            .filter(F.col("held") >= documents))
+    kept = (held.join(total, "leaf").filter(F.col("held") >= support * F.col("total"))
+            .groupBy("leaf").agg(F.collect_list("token").alias("kept")))
+    shown = F.transform(F.split("line", " "), lambda t, i: F.when(F.array_contains("kept", F.xxhash64(i, t)), t))
+    shape = counted.filter(rare).join(kept, "leaf").select("line", shown.alias("shown"))
+    share = F.size(F.filter("shown", lambda t: t.isNotNull())) / F.size("shown")
+    return own.unionByName(shape.filter(share >= fixed).select("line", F.array_join("shown", " ", FIELD).alias("template")))
 
 
 def recurring_lines(table: DataFrame, documents: int, depth: int, support: float, fixed: float, least_tokens: int) -> DataFrame:
@@ -76,8 +86,9 @@ def drop_recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, depth: int
     table = bucketed(docs)
     gone = recurring_lines(table, documents, depth, support, fixed, least_tokens).groupBy("row").agg(F.collect_list("line").alias("gone"))
     both = table.join(gone.hint("shuffle_hash"), "row", "left")
-    lines = F.arrays_zip(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("line"), masked(F.col("text")).alias("mask"))
-    stay = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("gone", x["mask"])))
-    out = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), stay.alias("stay"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"),
-                      F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("kept"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    pairs = F.arrays_zip(lines.alias("line"), masked(F.col("text")).alias("mask"))
+    stay = F.transform(F.filter(pairs, lambda x: ~F.array_contains("gone", x["mask"])), lambda x: x["line"])
+    out = both.select("doc_id", F.size(lines).cast("long").alias("n_lines"), "text", F.when(F.col("gone").isNotNull(), stay).alias("stay"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.col("n_lines") - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"),
+                      F.coalesce(F.array_join("stay", "\n"), "text", F.lit("")).alias("kept"))
