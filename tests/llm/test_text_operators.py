@@ -213,17 +213,16 @@ def test_network_gradients():
         mass = live * weight[None, :, None]
         return float(-(np.log(p[:, np.arange(5), y])[:, :, None] * mass).sum() / mass.sum())
 
-    # states are kept in single precision, so steps are wide and the comparison is coarse
     g = language_id.gradients(w, x, live, y, weight)
     for k in w:
         at = np.unravel_index(int(np.abs(g[k]).argmax()), g[k].shape)
-        kept, step = w[k][at], 1e-2
+        kept, step = w[k][at], 1e-5
         w[k][at] = kept + step
         up = loss()
         w[k][at] = kept - step
         down = loss()
         w[k][at] = kept
-        assert abs((up - down) / (2 * step) - g[k][at]) < 2e-3 + 0.03 * abs(g[k][at]), k
+        assert abs((up - down) / (2 * step) - g[k][at]) < 1e-7 + 1e-4 * abs(g[k][at]), k
 
 
 def test_language_on_held_out_rows(spark, docs, rows):
