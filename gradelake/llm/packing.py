@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, BUCKETS, BLOCKS = 8192, 16, 4096
+from gradelake.llm.shared import written
+
+BUDGET, BUCKETS, BLOCKS = 8192, 16, 1024
 EXACT, FINE = 4096, 256
 
 
@@ -72,6 +74,7 @@ def pack(docs: DataFrame, length: Column | None = None, budget: int = BUDGET, bu
     most buckets x blocks counts says where each block starts, so no task numbers a whole bucket.
     """
     rows = docs.select("doc_id", F.coalesce(word_count(F.col("text")) if length is None else length, F.lit(0)).cast("long").alias("length"))
+    rows = written(rows, "lengths")  # texts are read once
     cells = [tuple(r) for r in histogram(rows).collect()]
     ends = boundaries(cells, buckets)
     longest = {c[0]: c[3] for c in cells}

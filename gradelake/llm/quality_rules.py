@@ -162,14 +162,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``sample`` rows for which ``learn`` holds: those with the least id hash.
+    """Statistics and labels of at most ``sample`` documents for which ``learn`` holds: those with the least id hash.
 
-    The bound is what the driver holds: 20,000 rows of 21 numbers. A document with several labels counts by its largest.
+    The bound is what the driver holds: 20,000 rows of 21 numbers. A hash limit set from the count lets through little more than
+    that, so tasks don't each send a full sample. A document with several labels counts by its largest, one with several rows by its least.
     """
-    known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     names = [PREFIX + s for s in STATS]
-    rows = stats.filter(learn).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(sample)
-    got = rows.select(*names, F.col("quality").cast("double").alias("quality")).toPandas().to_numpy(dtype=float).reshape(-1, len(STATS) + 1)
+    known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
+    rows = stats.filter(learn).join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*names, "quality")).alias("r"))
+    rows = written(rows.select("doc_id", F.xxhash64("doc_id").alias("hash"), "r.*"), "labelled")
+    n = rows.count()
+    share = min(1.0, 1.2 * sample / max(n, 1))
+    near = rows.filter(F.pmod("hash", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod("hash", F.lit(1 << 30)), "doc_id").limit(sample)
+    got = near.select(*names, "quality").toPandas().to_numpy(dtype=float).reshape(-1, len(STATS) + 1)
     return got[:, :-1], got[:, -1]
 
 
