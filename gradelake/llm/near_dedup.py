@@ -3,8 +3,9 @@
 The shingles of a text (five words) get the number of their occurrence, so all are
 different. One of ``SKETCHES`` sketches takes the ``TAKEN`` shingles with the least hash and keeps them in text
 order: texts agree in it when they share these shingles in this order, which follows edit similarity.
-Texts that agree in a sketch meet in a bucket. A bucket never lists its pairs: every member is compared with the bucket's
-centres, and what is still apart is compared again with other centres, until a round finds nothing.
+Texts that agree in a sketch meet in a bucket. Every member is compared with the bucket's centres, in rounds, which joins the large
+classes without listing their pairs. The members of buckets that then still hold several classes are compared by an exact prefix
+filter: of two near texts the rarest shingles of one, by a fixed order, hold one of the rarest shingles of the other.
 Comparison aligns the two shingle sequences within the band that the threshold allows.
 """
 
@@ -29,6 +30,10 @@ CENTRES = 4
 #: Similarity of at least LEAST[0] / LEAST[1].
 LEAST = (4, 5)
 BLOCK = 1 << 16
+#: Counters of shingles. They only set the order of the prefix filter, which is exact in any order.
+SLOTS = 1 << 18
+#: No more rounds of centres once the pairs that buckets hold across labels are this many a member.
+APART = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,15 +172,15 @@ def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int])
 
     In each round every bucket has ``CENTRES`` centres, the smallest row first and then others by turns, and its members are
     compared with those they are not yet connected to. Found links join whole labels, so the graph
-    of a round is only as large as what it newly connects. No pair is compared twice.
+    of a round is only as large as what it newly connects. No pair is compared twice. When a round finds nothing, or little is left
+    apart, ``remaining`` finds every other near pair of the buckets that hold more than one label.
     """
     member = reps.select("row", F.posexplode("sketch")).select("row", F.xxhash64("pos", "col").alias("bucket"))
     shared = member.groupBy("bucket").count().filter("count > 1").select("bucket")
     member = written(member.join(shared, "bucket"), "members")
     tried, label, turn = None, None, 0
     while True:
-        named = member.withColumn("label", F.col("row")) if label is None else member.join(
-            label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        named = labelled(member, label)
         orders = [F.struct((F.col("row") if not turn + k else F.xxhash64("row" if k % 2 else "label", F.lit(CENTRES * turn + k))).alias("order"), "row", "label")
                   for k in range(CENTRES)]
         centre = named.groupBy("bucket").agg(*[F.min(o).alias(f"c{k}") for k, o in enumerate(orders)]).select("bucket", F.explode(F.array_distinct(F.array(
@@ -186,11 +191,82 @@ def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int])
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         near = written(compared(pairs, table, size, least), "compared").filter("near").select("a", "b")
-        if near.isEmpty():
-            return label
         tried = pairs if tried is None else tried.unionByName(pairs)
-        label = written(joined(near, label), "joined")
-        turn += 1
+        found = not near.isEmpty()
+        if found:
+            label = written(joined(near, label), "joined")
+            turn += 1
+        held = labelled(member, label).groupBy("bucket", "label").count().groupBy("bucket").agg(
+            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("alike"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+        held = written(held.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("alike")) / 2).alias("apart")), "held")
+        left = held.agg(F.sum("apart").alias("apart"), F.sum("n").alias("n")).first()
+        if not left["n"]:
+            return label
+        if not found or left["apart"] <= APART * left["n"]:
+            break
+    apart = written(labelled(member, label).join(held.select("bucket"), "bucket", "left_semi").select("row", "label").distinct(), "apart")
+    pairs = written(remaining(apart, table, size, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    near = written(compared(pairs, table, size, least), "compared").filter("near").select("a", "b")
+    return label if near.isEmpty() else written(joined(near, label), "joined")
+
+
+def labelled(member: DataFrame, label: DataFrame | None) -> DataFrame:
+    """``member`` with the label of each row, its own number where it has none."""
+    return member.withColumn("label", F.col("row")) if label is None else member.join(
+        label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+
+
+def slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def remaining(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+    """(a, b): all pairs of rows with different labels that can be near. ``apart``: (row, label).
+
+    With shingles in one order for all texts, texts of n <= m shingles that share at least ``need`` = top (n + m) / (top + bottom)
+    share one of the first n - need + 1 of the one and the first m - need + 1 of the other. ``need`` is least, for the shorter text,
+    at m = n, and for the longer one at n = top m / bottom. At the first shared shingle what follows must still be enough. Rare shingles
+    come first, so a passage of many texts is looked up only where it alone can make two texts near.
+    """
+    top, bottom = least
+    text = table.select("row", "text").join(apart.hint("shuffle_hash"), "row").select("row", "label", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                np.add.at(n, slot(shingles(words(body), size)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+    counted = text.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(SLOTS, np.int64)
+    seen[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, label, body in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(words(body), size)
+                n = len(s)
+                longer, shorter = n + top * n // -bottom + 1, n + 2 * top * n // -(top + bottom) + 1
+                first = s[np.lexsort((s, seen[slot(s)]))[:longer]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(first), pa.array(np.full(longer, row)), pa.array(np.full(longer, label)), pa.array(np.full(longer, n)),
+                    pa.array(np.arange(longer)), pa.array(np.arange(longer) < shorter)], names=["key", "row", "label", "n", "at", "shorter"])
+
+    rare = text.mapInArrow(rarest, "key long, row long, label long, n long, at long, shorter boolean")
+    rare = written(rare, "rarest")
+    # labels meet first, so that the rows of one label never meet each other
+    keys = rare.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
+    rare = written(rare.join(keys, "key", "left_semi"), "shared")
+    one = rare.filter("shorter").select("key", "label").distinct()
+    two = rare.select("key", F.col("label").alias("label_b")).distinct()
+    labels = one.join(two, "key").filter("label != label_b")
+    short = rare.filter("shorter").select("key", "label", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    long = rare.select("key", F.col("label").alias("label_b"), F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    enough = (top + bottom) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= top * (F.col("n_a") + F.col("n_b"))
+    met = labels.join(short, ["key", "label"]).join(long, ["key", "label_b"]).filter((F.col("n_a") <= F.col("n_b")) & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def joined(near: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -214,7 +290,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
     Texts without words, null and empty ones among them, are each a class of their own. A text shorter than a shingle is near to
     equal ones only. Repeated rows are in one class. An empty table gives no rows.
 
-    At a similarity of 0.8 one sketch agrees with probability 0.64 or less, all of 16 miss below once in a million.
+    Every near pair that agrees in a sketch is found. At a similarity of 0.8 one sketch agrees with probability 0.64 or less, all of 16 miss below once in a million.
     """
     return classes(bucketed(docs), size, sketches, taken, least).drop("row")
 

@@ -268,6 +268,16 @@ def test_chains_of_edits_are_one_class(spark):
     assert got == brute_classes(texts) and set(got.values()) == {0, 90}
 
 
+def test_near_pairs_in_a_large_passage_bucket(spark):
+    rng = random.Random(6)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(170)]
+    own = [[f"w{rng.randrange(10**9)}" for _ in range(30)] for _ in range(400)]
+    texts = {i: " ".join(passage + w) for i, w in enumerate(own)}
+    texts |= {1000 + i: " ".join(passage + own[i][:15] + [f"x{rng.randrange(10**9)}" for _ in range(10 + i % 10)]) for i in range(100, 130)}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts) and sum(got[1000 + i] == i for i in range(100, 130)) == 30
+
+
 def test_alignment_is_the_longest_common_chain():
     rng = np.random.default_rng(8)
     for _ in range(300):
