@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import nsmallest
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.llm.shared import texts
@@ -20,6 +22,8 @@ from gradelake.llm.quality_rules import remainder
 
 PIECE, HIDDEN, EMBED, AT_ONCE = 64, 8, 8, 4096
 SAMPLE_DOCS, SAMPLE_PIECES = 3000, 6144
+#: Least documents and pieces of a language that has them, and most pieces of a document.
+LEAST_OF, MOST_OF = 16, 32
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -156,25 +160,32 @@ def train(rows: np.ndarray, lengths: np.ndarray, y: np.ndarray, classes: int, ep
 
 
 def training_pieces(docs: DataFrame, sample_docs: int, sample_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Pieces of about ``sample_docs`` whole documents chosen by id hash, at most ``sample_pieces`` of them, chosen by hash."""
-    usable = docs.filter((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
+    """A bounded sample of pieces, and the languages of all rows there are to learn from.
+
+    Each language has an equal part of ``sample_docs`` and ``sample_pieces``, or ``LEAST_OF`` if that is more. Its documents are chosen
+    by id hash, all if it has fewer, and its pieces by hash, at most ``MOST_OF`` a document. A last piece below 16 bytes
+    counts only where it is the whole text.
+    """
+    usable = docs.filter((remainder() != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    n = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    langs = sorted(n)
     if not n:
         return np.empty((0, PIECE), np.uint8), np.empty(0, int), np.empty(0, int), []
-    share = int(min(1.0, sample_docs / n) * (1 << 30))
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share).dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
+    some, most = max(LEAST_OF, sample_docs // len(langs)), max(LEAST_OF, sample_pieces // len(langs))
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, some / n[lang]) * (1 << 30)))])
+    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, lengths = cut(text.encode("utf-8", "replace"))
-                for at in range(0, len(rows), 1024):
-                    got = [r[:n].tobytes() for r, n in zip(rows[at: at + 1024], lengths[at: at + 1024])]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got, pa.binary())], names=["lang", "piece"])
+                whole = len(rows) if len(rows) == 1 or lengths[-1] >= 16 else len(rows) - 1
+                got = nsmallest(MOST_OF, (r[:n].tobytes() for r, n in zip(rows[:whole], lengths)), key=lambda x: (crc32(x), x))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got, pa.binary())], names=["lang", "piece"])
 
-    pieces = picked.mapInArrow(run, "lang string, piece binary").filter(F.length("piece") >= 16)
-    got = pieces.orderBy(F.xxhash64("piece", "lang"), "piece").limit(sample_pieces).collect()
-    langs = sorted({r["lang"] for r in got})
+    pieces = picked.mapInArrow(run, "lang string, piece binary")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("piece", "lang"), "piece")
+    got = pieces.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).orderBy("lang", "nth").collect()
     rows, lengths = np.zeros((len(got), PIECE), np.uint8), np.zeros(len(got), int)
     for k, r in enumerate(got):
         rows[k, : len(r["piece"])] = np.frombuffer(bytes(r["piece"]), np.uint8)

@@ -231,6 +231,17 @@ def test_language_on_held_out_rows(spark, docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_every_language_is_learnt(spark):
+    rng = random.Random(9)
+    texts = [(i, " ".join(rng.choice(["the", "and", "of", "house"]) for _ in range(200)), "en") for i in range(2000)]
+    texts += [(3000 + i, " ".join(rng.choice(["der", "und", "von", "haus"]) for _ in range(20000)), "de") for i in range(8)]
+    texts += [(4000 + i, f"sõna {i}", "et") for i in range(8)] + [(5000, "", "xx")]
+    rows, lengths, y, langs = language_id.training_pieces(spark.createDataFrame(texts, "doc_id long, text string, lang string"), 60, 300)
+    assert langs == ["de", "en", "et"] and len(rows) == len(lengths) == len(y) <= 300
+    n = np.bincount(y, minlength=3)
+    assert n[0] == n[1] == 100 and 0 < n[2] <= 8
+
+
 # ---- near duplicates
 
 def brute_classes(texts):
