@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from gradelake.llm.decontaminate import decontaminate
 from gradelake.llm.exact_dedup import exact_dedup
+from gradelake.llm.fill_middle import fill_middle, restored
 from gradelake.llm.language_id import languages
 from gradelake.llm.line_templates import drop_recurring_lines
 from gradelake.llm.near_dedup import near_dedup
 from gradelake.llm.packing import pack
+from gradelake.llm.pivot_search import top_k
 from gradelake.llm.quality_rules import quality_scores
 from gradelake.llm.shared import shared_root
 from gradelake.llm.sharding import shard_documents
+from gradelake.llm.spelling_variants import spelling_variants
 from gradelake.llm.substring_dedup import substring_dedup
 from gradelake.llm.token_counts import read_vocabulary, token_counts
 
@@ -128,3 +131,50 @@ FROM m LEFT JOIN r USING (line) GROUP BY doc_id""")
 def _(spark, folder):
     found = drop_recurring_lines(documents(spark, folder))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered("op11_pivot_search", """
+WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM sound q JOIN sound c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5""")
+def _(spark, folder):
+    return top_k(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@registered("op12_spelling_variants", """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS h FROM counted, crc),
+spelt AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n AS k FROM hashed),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM spelt WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) r(i)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, encode(other)) AS other, max(m) AS m FROM near GROUP BY word, n),
+form AS (SELECT word, n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM best),
+chain AS (SELECT word, form AS root FROM form WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM form WHERE form IS NOT NULL))
+SELECT word, n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, word) AS root FROM w LEFT JOIN form USING (word) LEFT JOIN last USING (word)""")
+def _(spark, folder):
+    return spelling_variants(documents(spark, folder))
+
+
+@registered("op13_fill_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+  list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('1:' || doc_id), i, 8))::BIGINT) AS h FROM documents),
+c AS (SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""")
+def _(spark, folder):
+    return fill_middle(documents(spark, folder)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored("output", "form"), 256).alias("restored_sha256"))
