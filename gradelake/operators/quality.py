@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gradelake.functions import coords as X
+from gradelake.functions.dominance import overlap_degrees
 from gradelake.functions.glyphs import comment_fits
 from gradelake.operators.grid import GRID_COLUMNS, P, page_masks
 from gradelake.operators.keyed import top_k
@@ -139,34 +147,72 @@ def score_violations(items: DataFrame) -> DataFrame:
         F.concat(F.col("score_range"), F.lit(" not inside "), F.col("score_box_range")).alias("detail"))
 
 
-def overlap_counts(rects: DataFrame) -> DataFrame:
-    """Exact number of overlapping pairs per page, without listing pairs.
+def overlap_boxes(rects: DataFrame) -> DataFrame:
+    """(doc_id, page, r1, c1, r2, c2, n, overlaps): the different boxes of a page, how often each occurs, and how many other boxes it meets.
 
-    ``rects``: doc_id, page, box. Two boxes are disjoint when one ends before
-    the other starts in rows or in columns, so all pairs minus disjoint pairs
-    follow from counts of box corners. The corners of a page are combined on the
-    map side and are bounded by its grid, however many annotations it has.
+    ``rects``: doc_id, page, box; rows without a box are left out. Equal boxes become one row in the map tasks, so many annotations at
+    one place cost no more than one. The different boxes of a page go to one task, sorted; it reads them as a stream, counts
+    a batch of pages at once by a tree over ranked coordinates, and holds no list of pairs. Ranges off the grid count like all others.
     """
     b = F.col("box")
-    corners = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), b[r].alias("r"), b[c].alias("c"))
-        for k, (r, c) in enumerate((("r1", "c1"), ("r2", "c2"), ("r1", "c2"), ("r2", "c1")))]))
-    counted = rects.filter(b.isNotNull()).select(*P, corners.alias("e")).groupBy(*P, "e").agg(F.count(F.lit(1)).alias("n"))
+    sides = ["r1", "c1", "r2", "c2"]
+    different = rects.filter(b.isNotNull()).groupBy(*P, *[b[x].cast("long").alias(x) for x in sides]).agg(F.count(F.lit(1)).alias("n"))
+    schema = StructType([*different.schema.fields, StructField("overlaps", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        if t.num_rows:
+            found = overlap_degrees(_codes(t), *[t[x].to_numpy() for x in ("r1", "r2", "c1", "c2", "n")])
+            yield from t.append_column("overlaps", pa.array(found)).cast(arrow).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            codes = _codes(pa.Table.from_batches([batch]))
+            last = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if len(codes) and (codes != codes[-1]).any() else 0
+            if last:  # the batch's last page may go on in the next one
+                yield from counted([*held, batch.slice(0, last)])
+                held = [batch.slice(last)]
+            elif held and [held[-1].column(c)[-1] for c in (0, 1)] != [batch.column(c)[0] for c in (0, 1)]:
+                yield from counted(held)
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield from counted(held)
+
+    return different.repartition(*P).sortWithinPartitions(*P).mapInArrow(run, schema)
+
+
+def _codes(t: pa.Table) -> np.ndarray:
+    """A number for each page of a table of (doc_id, page, ...)."""
+    doc, page = (np.asarray(t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices, dtype=np.int64) for c in P)
+    return doc * (page.max(initial=0) + 1) + page
+
+
+def overlap_counts(rects: DataFrame) -> DataFrame:
+    """Exact number of overlapping pairs per page, without listing pairs."""
+    return overlap_boxes(rects).groupBy(*P).agg(F.expr("sum(n * overlaps) div 2").alias("n")).filter("n > 0")
+
 
-    def of_kind(k: int) -> Column:
-        return F.collect_list(F.when(F.col("e.k") == k, F.struct(F.col("e.r").alias("r"), F.col("e.c").alias("c"), "n"))).alias(f"k{k}")
+def annotation_overlaps(rects: DataFrame) -> DataFrame:
+    """Every row of ``rects`` (doc_id, page, box, and columns that name it) with ``overlaps``, the number of other boxes of its page that it meets.
 
-    page = counted.groupBy(*P).agg(*[of_kind(k) for k in range(4)], F.sum(F.when(F.col("e.k") == 0, F.col("n"))).alias("total"))
+    Rows without a box have none. The output is as long as the input, however many pairs there are. The counts come back by (page, box), which spreads
+    a crowded page over as many keys as it has different boxes.
+    """
+    found = overlap_boxes(rects)
+    key = [F.col("_f.doc_id").eqNullSafe(F.col("doc_id")), F.col("_f.page").eqNullSafe(F.col("page"))]
+    side = [F.col(f"_f.{x}") == F.col(f"box.{x}") for x in ("r1", "c1", "r2", "c2")]
+    one = found.select(F.struct("doc_id", "page", "r1", "c1", "r2", "c2").alias("_f"), "overlaps")
+    return rects.join(one, reduce(lambda x, y: x & y, key + side), "left").select(*rects.columns, F.coalesce("overlaps", F.lit(0)).cast("long").alias("overlaps"))
 
-    def pairs(starts: str, ends: str, test) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return F.aggregate(starts, zero, lambda acc, s: acc + F.aggregate(
-            ends, zero, lambda a, e: a + F.when(test(s, e), s["n"] * e["n"]).otherwise(zero)))
 
-    apart = pairs("k0", "k1", lambda s, e: (e["r"] < s["r"]) | (e["c"] < s["c"]))
-    twice = pairs("k2", "k3", lambda s, e: (e["r"] < s["r"]) & (e["c"] > s["c"]))
-    half = (F.col("total") * (F.col("total") - 1) / F.lit(2)).cast("bigint")
-    return page.select(*P, (half - apart + twice).alias("n")).filter("n > 0")
+def colliding_annotations(checked: DataFrame) -> DataFrame:
+    """I7 by annotation: those of ``check_annotations`` whose comment meets others on its page, and how many."""
+    rects = checked.select(*P, "item_index", "annotation_index", "comment_range", "box")
+    return annotation_overlaps(rects).filter("overlaps > 0").drop("box")
 
 
 def overlap_pairs(rects: DataFrame, limit: int = 200) -> DataFrame:
@@ -223,23 +269,41 @@ def corpus_report(violations: DataFrame, annotations: DataFrame) -> DataFrame:
 
     ``pct`` relates to the document's own annotations, else to all; ``passes`` is the promotion gate (under 5 %).
     The overall row is there whatever was found, also for a corpus without violations or annotations.
+
+    Violations and annotations are summed by (document, invariant) once; annotations have no invariant. The three levels are one rollup
+    over these sums, told apart by ``grouping_id``.
     """
-    def pct(n: Column, of: Column) -> Column:
-        return 100.0 * n / F.greatest(F.lit(1), F.coalesce(of, F.lit(0)))
-
-    own = annotations.groupBy("doc_id").agg(F.count(F.lit(1)).alias("of"))
-    each = violations.groupBy("invariant", "doc_id").agg(F.sum("n").alias("n")).join(own, "doc_id", "left")
-    document = each.select(F.lit("document").alias("level"), "invariant", "doc_id", "n", X.round_even(pct(F.col("n"), F.col("of")), 4).alias("pct"), F.lit(None).cast("boolean").alias("passes"))
-    both = annotations.select(F.lit(0).cast("long").alias("n"), F.lit(1).alias("a")).unionByName(violations.select(F.col("n").cast("long"), F.lit(0).alias("a")))
-    total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("a"), F.lit(0)).alias("of")).withColumn("k", F.lit(1))
+    long = F.lit(0).cast("long")
+    facts = violations.select("doc_id", "invariant", F.col("n").cast("long").alias("n"), long.alias("a")).unionByName(
+        annotations.select("doc_id", F.lit(None).cast("string").alias("invariant"), long.alias("n"), (long + 1).alias("a")))
+    each = facts.groupBy("doc_id", "invariant").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    own = each.withColumn("own", F.sum("a").over(Window.partitionBy("doc_id")))  # a row per invariant and document
+    levels = own.filter("invariant IS NOT NULL").rollup("invariant", "doc_id").agg(
+        F.grouping_id().alias("level"), F.sum("n").alias("n"), F.max("own").alias("own")).filter("level < 3")
+    total = each.agg(F.coalesce(F.sum("n"), long).alias("n"), F.coalesce(F.sum("a"), long).alias("every"))
+    overall = total.select(F.lit(None).cast("string").alias("invariant"), F.lit(None).cast(annotations.schema["doc_id"].dataType).alias("doc_id"),
+                           F.lit(3).cast("long").alias("level"), "n", F.lit(None).cast("long").alias("own"), "every")
     # one row: its size is fixed, so broadcasting it is safe
-    kinds = violations.groupBy("invariant").agg(F.sum("n").alias("n")).withColumn("k", F.lit(1)).join(F.broadcast(total.select("k", "of")), "k")
-    invariant = kinds.select(F.lit("invariant").alias("level"), "invariant", F.lit(None).cast(annotations.schema["doc_id"].dataType).alias("doc_id"), "n",
-                             X.round_even(pct(F.col("n"), F.col("of")), 4).alias("pct"), F.lit(None).cast("boolean").alias("passes"))
-    all_of = pct(F.col("n"), F.col("of"))
-    overall = total.select(F.lit("overall").alias("level"), F.lit(None).cast("string").alias("invariant"), F.lit(None).cast(annotations.schema["doc_id"].dataType).alias("doc_id"),
-                           "n", X.round_even(all_of, 4).alias("pct"), (all_of < 5.0).alias("passes"))
-    return document.unionByName(invariant).unionByName(overall)
+    every = F.broadcast(total.select(F.lit(1).alias("k"), "every"))
+    both = levels.withColumn("k", F.lit(1)).join(every, "k").drop("k").unionByName(overall)
+    pct = 100.0 * F.col("n") / F.greatest(F.lit(1), F.when(F.col("level") == 0, F.col("own")).otherwise(F.col("every")))
+    return both.select(F.when(F.col("level") == 0, "document").when(F.col("level") == 1, "invariant").otherwise("overall").alias("level"), "invariant", "doc_id",
+                       "n", X.round_even(pct, 4).alias("pct"), F.when(F.col("level") == 3, pct < 5.0).alias("passes"))
+
+
+def document_reports(violations: DataFrame, items: DataFrame, annotations: DataFrame, samples: int = 5) -> DataFrame:
+    """One row per document: the totals of ``telemetry``, counts by invariant found, and the first ``samples`` violations in checking order.
+
+    ``violations`` is read twice, so hand over a stored table (``stages.stored``). The samples are cut to ``samples`` rows per document before the
+    shuffle, and only those are gathered. Documents without violations have an empty map and no samples.
+    """
+    first = violation_samples(violations, samples).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "sample_no", "invariant", "page", "item_index", "annotation_index", "n", "detail"))).alias("violations_sample"))
+    t = telemetry(violations, items, annotations)
+    counts = F.map_filter(F.map_from_arrays(F.array(*[F.lit(i) for i in INVARIANTS]), F.array(*[F.col(i.lower()) for i in INVARIANTS])), lambda k, v: v > 0)
+    none = F.array().cast(first.schema["violations_sample"].dataType)
+    return t.join(first, "doc_id", "left").select("doc_id", "items_total", "annotations_total", counts.alias("counts"), "violation_rate",
+                                                  F.coalesce("violations_sample", none).alias("violations_sample"))
 
 
 # ---- wire shape -----------------------------------------------------------

@@ -91,6 +91,16 @@ SELECT g.doc_id, g.page AS question_id, g.page - 1 AS item_index, k - 1 AS annot
  CASE WHEN (g.page_id + k) % 4 = 3 THEN 'high' ELSE CAST((g.page_id + k) % 4 AS VARCHAR(4)) END AS priority
 FROM fx_page_grid g @seq(k,1,4)"""
 
+# One annotation per order line on crowded pages (a page per supplier and line number), many off the usual grid.
+_LETTERS = "CASE WHEN {0} <= 26 THEN chr(64 + {0}) ELSE concat(chr(64 + CAST(floor(({0} - 1) / 26.0) AS INT)), chr(65 + ({0} - 1) % 26)) END"
+VIEWS["fx_crowd"] = f"""
+SELECT doc_id, page, item_index, annotation_index, r1, c1, r1 + h AS r2, c1 + w AS c2,
+ concat({_LETTERS.format("c1")}, r1, ':', {_LETTERS.format("(c1 + w)")}, r1 + h) AS comment_range
+FROM (SELECT l_suppkey AS doc_id, CAST(l_linenumber AS INT) AS page, l_orderkey AS item_index,
+  CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount) AS INT) - 1 AS annotation_index,
+  CAST(1 + l_partkey % 90 AS INT) AS r1, CAST(1 + l_orderkey * 7 % 60 AS INT) AS c1, CAST(floor(l_quantity) % 5 AS INT) AS h,
+  CAST(floor(l_extendedprice) % 9 AS INT) AS w FROM lineitem) t"""
+
 VIEWS["fx_ocr_pages"] = """
 SELECT conv_id AS doc_id, CAST(turn AS INT) + 1 AS page, CASE WHEN turn % 7 = 5 THEN 'DUPLICATE' ELSE 'PARAGRAPH' END AS page_type,
  CASE WHEN turn % 4 IN (1, 2) THEN first_value(text) OVER (PARTITION BY conv_id, CAST(floor(turn / 4.0) AS BIGINT) ORDER BY turn) ELSE text END AS text

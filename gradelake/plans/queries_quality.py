@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from gradelake.functions import glyphs
 from gradelake.functions import coords as X
 from gradelake.operators import quality as Q
+from gradelake.operators.grid import page_masks
 from gradelake.plans.queries_cells import COL, ID, RID, ROW
 from gradelake.plans.registry import query
+from gradelake.sources.stages import stored
 
 P = ["doc_id", "page"]
 
@@ -97,10 +99,43 @@ def _(t):
     return Q.corpus_report(violations(t), t.fx_annotations)
 
 
-@query("a4_corpus_report_clean", """
-SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS invariant, max(CASE WHEN FALSE THEN doc_id END) AS doc_id, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS pct, TRUE AS passes FROM fx_annotations""")
+def stored_violations(t):
+    return stored(violations(t), "violations")
+
+
+@query("a4_document_reports", f"""
+WITH v AS {_V}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY invariant = 'I7', item_index NULLS FIRST, annotation_index NULLS FIRST,
+  CASE invariant WHEN 'I4' THEN 0 WHEN 'I5' THEN 2 WHEN 'I1' THEN 4 WHEN 'I2' THEN 5 WHEN 'I6' THEN 6 WHEN 'I3' THEN 8 WHEN 'I8' THEN 9 WHEN 'I9' THEN 10 ELSE 11 END, page) AS no FROM v),
+ s AS (SELECT doc_id, string_agg(concat_ws(' ', invariant, page, item_index, annotation_index), ', ' ORDER BY no) AS sample FROM r WHERE no <= 5 GROUP BY doc_id),
+ c AS (SELECT doc_id, string_agg(concat(invariant, '=', n), ' ' ORDER BY invariant) AS counts FROM (SELECT doc_id, invariant, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY ALL) GROUP BY doc_id)
+SELECT t.doc_id, items_total, annotations_total, coalesce(counts, '') AS counts, violation_rate, coalesce(sample, '') AS sample FROM ({_TEL}) t LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""")
+def _(t):
+    found = Q.document_reports(stored_violations(t), t.fx_items, t.fx_annotations)
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    sample = F.array_join(F.transform("violations_sample", lambda x: F.concat_ws(" ", x["invariant"], x["page"], x["item_index"], x["annotation_index"])), ", ")
+    return found.select("doc_id", "items_total", "annotations_total", counts.alias("counts"), "violation_rate", sample.alias("sample"))
+
+
+@query("v1_colliding_annotations", f"""
+SELECT a.doc_id, a.page, a.item_index, a.annotation_index, a.comment_range, count(*) AS overlaps FROM {_A} a JOIN {_A} b ON b.doc_id = a.doc_id AND b.page = a.page
+ AND a.annotation_index <> b.annotation_index AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY ALL""")
+def _(t):
+    return Q.colliding_annotations(Q.check_annotations(wire_annotations(t), page_masks(t.fx_cells, t.fx_page_grid)))
+
+
+@query("j17_annotation_overlaps", """
+SELECT a.doc_id, a.page, a.annotation_index, count(b.item_index) AS overlaps FROM fx_crowd a LEFT JOIN fx_crowd b ON b.doc_id = a.doc_id AND b.page = a.page
+ AND b.annotation_index <> a.annotation_index AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY ALL""")
+def _(t):
+    rects = t.fx_crowd.select(*P, "annotation_index", X.range_bounds("comment_range").alias("box"))
+    return Q.annotation_overlaps(rects).drop("box")
+
+
+@query("j17_page_overlaps", """
+SELECT a.doc_id, a.page, count(*) AS n FROM fx_crowd a JOIN fx_crowd b ON b.doc_id = a.doc_id AND b.page = a.page
+ AND b.annotation_index > a.annotation_index AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY ALL""")
 def _(t):
-    return Q.corpus_report(violations(t).filter("page < 0"), t.fx_annotations)
+    return Q.overlap_counts(t.fx_crowd.select(*P, X.range_bounds("comment_range").alias("box")))
 
 
 @query("c15_text_width", f"""

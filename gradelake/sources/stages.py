@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -58,6 +59,13 @@ def _latest(spark: SparkSession, path: str, required: list[str], key: str) -> Da
     return rows.join(last, [key, "run"], "left_semi").drop("run")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the checkpoint folder and read it back: what is read several times is computed once, and outlives lost executors."""
+    path = f"{checkpoint_root(df.sparkSession)}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage_status(rows: DataFrame, ok: Column, elapsed_ms: Column) -> DataFrame:
     """Status row per document: ok or error, with the time taken."""
     return rows.select("doc_id", F.when(ok, "ok").otherwise("error").alias("status"), elapsed_ms.alias("elapsed_ms"))
