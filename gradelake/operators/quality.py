@@ -85,8 +85,8 @@ def check_annotations(annotations: DataFrame, masks: DataFrame, shapes: tuple[st
     return j.withColumn("unparsed", F.coalesce(bad, F.lit(False))).withColumn("box", F.when(usable, whole))
 
 
-def annotation_violations(checked: DataFrame) -> DataFrame:
-    """I1, I2, I3, I5, I6, I8 and I9, all from one pass over the checked rows."""
+def annotation_violations(checked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """I1, I2, I3, I5, I6, I8 and I9, all from one pass over the checked rows. Columns named in ``keep`` go along."""
     box, rows, cols = F.col("box"), F.col("rows"), F.col("cols")
     grid = F.col("_grid").isNotNull()
     goes_on = grid & ~F.col("unparsed")
@@ -132,17 +132,17 @@ def annotation_violations(checked: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<check_no:int,invariant:string,detail:string>>")
     found = F.concat(single, F.coalesce(per_token, none))
     return checked.withColumn("_spans", spans).select(
-        "doc_id", "page", "item_index", "annotation_index", F.explode(found).alias("_v")).select(
-        "doc_id", "_v.invariant", "page", "item_index", "annotation_index", F.lit(1).cast("bigint").alias("n"), "_v.check_no", "_v.detail")
+        *keep, "doc_id", "page", "item_index", "annotation_index", F.explode(found).alias("_v")).select(
+        *keep, "doc_id", "_v.invariant", "page", "item_index", "annotation_index", F.lit(1).cast("bigint").alias("n"), "_v.check_no", "_v.detail")
 
 
-def score_violations(items: DataFrame) -> DataFrame:
-    """I4: the score range leaves its box, or one of them does not parse."""
+def score_violations(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """I4: the score range leaves its box, or one of them does not parse. Columns named in ``keep`` go along."""
     given = (F.coalesce("score_range", F.lit("")) != "") & (F.coalesce("score_box_range", F.lit("")) != "")
     j = items.filter(given).withColumn("_s", X.range_bounds("score_range")).withColumn("_b", X.range_bounds("score_box_range"))
     inside = F.coalesce(X.rect_contains(F.col("_b"), F.col("_s")), F.lit(False))
     return j.filter(~inside).select(
-        "doc_id", F.lit("I4").alias("invariant"), F.col("marking_page").alias("page"), "item_index",
+        *keep, "doc_id", F.lit("I4").alias("invariant"), F.col("marking_page").alias("page"), "item_index",
         F.lit(None).cast("int").alias("annotation_index"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("check_no"),
         F.concat(F.col("score_range"), F.lit(" not inside "), F.col("score_box_range")).alias("detail"))
 

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     from gradelake.plans import queries_catalog, queries_cells, queries_grading, queries_layout  # noqa: F401
-    from gradelake.plans import queries_hard, queries_parse, queries_quality, queries_sources  # noqa: F401
+    from gradelake.plans import queries_hard, queries_parse, queries_quality, queries_sources, queries_streams  # noqa: F401
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,23 +23,23 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("doc_id"), F.col("value").alias("raw"))
 
 
-def inner_data(raw: DataFrame) -> DataFrame:
+def inner_data(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse response text (doc_id, raw); accepts the envelope or the inner object."""
     j = raw.withColumn("_v", F.try_parse_json("raw")).withColumn("_d", get("_v", "$.data", "variant"))
-    return j.withColumn("data", F.when(is_object("_d"), F.col("_d")).otherwise(F.col("_v"))).select("doc_id", "data")
+    return j.withColumn("data", F.when(is_object("_d"), F.col("_d")).otherwise(F.col("_v"))).select(*keep, "doc_id", "data")
 
 
-def parse_responses(raw: DataFrame) -> dict[str, DataFrame]:
+def parse_responses(raw: DataFrame, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Flatten responses into items, annotations, page_grid and quarantine tables.
 
     Both annotation forms are read: the cell form (page, comment_rows, anchor)
-    and the percent form (page_index, range_id, cell_ids).
+    and the percent form (page_index, range_id, cell_ids). Columns of ``raw`` named in ``keep`` go along in all tables.
     """
-    d = inner_data(raw)
-    items = d.select("doc_id", F.posexplode(get("data", "$.items", "array<variant>")).alias("item_index", "it"))
+    d = inner_data(raw, keep)
+    items = d.select(*keep, "doc_id", F.posexplode(get("data", "$.items", "array<variant>")).alias("item_index", "it"))
     good_items = items.filter(is_object("it"))
     item = good_items.select(
-        "doc_id", "item_index", get("it", "$.question_id", "string").alias("question_id"), get("it", "$.question", "string").alias("question"),
+        *keep, "doc_id", "item_index", get("it", "$.question_id", "string").alias("question_id"), get("it", "$.question", "string").alias("question"),
         get("it", "$.student_answer", "string").alias("student_answer"), get("it", "$.is_attempted", "boolean").alias("is_attempted"),
         get("it", "$.section_name", "string").alias("section_name"), get("it", "$.max_marks", "double").alias("max_marks"),
         get("it", "$.marks_awarded", "double").alias("marks_awarded"), get("it", "$.status", "string").alias("status"),
@@ -50,11 +50,11 @@ def parse_responses(raw: DataFrame) -> dict[str, DataFrame]:
         get("it", "$.marking_box_page", "int").alias("marking_box_page"),
         *[get("it", f"$.marking_box_{a}_percent", "double").alias(f"box_{a}") for a in ("x1", "y1", "x2", "y2")],
         get("it", "$.marking.score_range", "string").alias("score_range"), get("it", "$.marking.score_box_range", "string").alias("score_box_range"))
-    anns = good_items.select("doc_id", "item_index", F.posexplode(get("it", "$.annotations", "array<variant>")).alias("annotation_index", "a"))
+    anns = good_items.select(*keep, "doc_id", "item_index", F.posexplode(get("it", "$.annotations", "array<variant>")).alias("annotation_index", "a"))
     good_anns = anns.filter(is_object("a"))
     page = F.coalesce(get("a", "$.page", "int"), get("a", "$.page_index", "int") + 1, F.lit(1))
     annotation = good_anns.select(
-        "doc_id", "item_index", "annotation_index", page.alias("page"), get("a", "$.comment", "string").alias("comment"),
+        *keep, "doc_id", "item_index", "annotation_index", page.alias("page"), get("a", "$.comment", "string").alias("comment"),
         get("a", "$.is_positive", "boolean").alias("is_positive"), get("a", "$.comment_font_pts", "string").alias("comment_font_pts"),
         F.coalesce(get("a", "$.comment_range", "string"), get("a", "$.range_id", "string")).alias("comment_range"),
         get("a", "$.comment_rows", "array<string>").alias("comment_rows"), get("a", "$.cell_ids", "array<string>").alias("cell_ids"),
@@ -65,15 +65,15 @@ def parse_responses(raw: DataFrame) -> dict[str, DataFrame]:
                             F.array(get("a", "$.anchor.range", "string")))).alias("rows"),
                  get("a", "$.anchor.extra", "map<string,string>").alias("extra")).alias("anchor"),
         *[get("a", f"$.bbox.{b}", "double").alias(b) for b in ("x1_percent", "y1_percent", "x2_percent", "y2_percent")])
-    metas = d.select("doc_id", F.posexplode(get("data", "$.cellGridMeta", "array<variant>")).alias("pos", "m"))
-    typed = metas.select("doc_id", "pos", "m", get("m", "$.page", "int").alias("page"), *[
+    metas = d.select(*keep, "doc_id", F.posexplode(get("data", "$.cellGridMeta", "array<variant>")).alias("pos", "m"))
+    typed = metas.select(*keep, "doc_id", "pos", "m", get("m", "$.page", "int").alias("page"), *[
         get("m", f"$.{c}", "int" if c in ("rows", "cols") else "double").alias(c) for c in GRID_COLUMNS])
     complete = F.lit(True)
     for c in ["page", *GRID_COLUMNS]:
         complete = complete & F.col(c).isNotNull()
-    bad = [items.filter(~is_object("it")).select("doc_id", F.lit("item").alias("part"), F.col("item_index").alias("pos")),
-           anns.filter(~is_object("a")).select("doc_id", F.lit("annotation").alias("part"), F.col("annotation_index").alias("pos")),
-           typed.filter(~complete).select("doc_id", F.lit("grid").alias("part"), "pos")]
+    bad = [items.filter(~is_object("it")).select(*keep, "doc_id", F.lit("item").alias("part"), F.col("item_index").alias("pos")),
+           anns.filter(~is_object("a")).select(*keep, "doc_id", F.lit("annotation").alias("part"), F.col("annotation_index").alias("pos")),
+           typed.filter(~complete).select(*keep, "doc_id", F.lit("grid").alias("part"), "pos")]
     return {"items": item, "annotations": annotation, "page_grid": typed.filter(complete).drop("pos", "m"),
             "quarantine": bad[0].unionByName(bad[1]).unionByName(bad[2])}
 

@@ -37,15 +37,20 @@ def run_stage(spark: SparkSession, name: str, work: DataFrame, fn: Callable[[Dat
     return _latest(spark, path, required, key)
 
 
-def _runs(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished runs under ``path``; one that broke off is written again."""
+def finished_parts(spark: SparkSession, path: str, kind: str) -> list[tuple[int, str]]:
+    """(number, folder) of the parts ``kind=number`` under ``path`` that were written to the end; one that broke off is not among them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(conf)
     if not files.exists(where):
         return []
-    found = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("run=")]
-    return [int(p.getName()[4:]) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    found = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith(f"{kind}=")]
+    return [(int(p.getName()[len(kind) + 1:]), p.toString()) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def _runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished runs under ``path``; one that broke off is written again."""
+    return [n for n, _ in finished_parts(spark, path, "run")]
 
 
 def _latest(spark: SparkSession, path: str, required: list[str], key: str) -> DataFrame:

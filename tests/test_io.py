@@ -131,31 +131,6 @@ def test_streaming_intake_and_rates(spark):
     assert len(rows) == 5 and {r.rate for r in rows} == {0.5}  # the last window is still open
 
 
-def test_streaming_placements_both_ways(spark, tables):
-    src, table = str(folder()), str(folder())
-    cols = ["session_id", "key", "ord", "action", "page", "x", "y"]
-    log = tables.fx_placements.select(*cols)
-    third = log.agg(F.max("ord")).collect()[0][0] // 3
-    for k in range(4):
-        log.filter((F.col("ord") > third * k - 1) & (F.col("ord") < third * (k + 1))).coalesce(1).write.mode("append").parquet(src)
-    want = {(r.session_id, r.key): (r.ord, r.action) for r in flows.merge_placements(log, log.limit(0)).collect()}
-
-    def read():
-        return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
-
-    q = flows.stream_placements(read()).writeStream.format("memory").queryName("spots").outputMode("update").option(
-        "checkpointLocation", str(folder())).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got: dict = {}
-    for r in spark.table("spots").orderBy("ord").collect():
-        got[(r.session_id, r.key)] = (r.ord, r.action)
-    assert got == want
-    q = read().writeStream.foreachBatch(flows.placements_batch(table)).option("checkpointLocation", str(folder())).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in Path(table).glob("v=*"))
-    assert {(r.session_id, r.key): (r.ord, r.action) for r in spark.read.parquet(f"{table}/v={last}").collect()} == want
-
-
 def test_streaming_dedup(spark):
     src = str(folder())
     rows = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:01:00", "b"), ("2024-01-01 00:02:00", "a")], "received string, content string").select(
