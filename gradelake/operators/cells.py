@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions import coords as X
 from gradelake.functions.text import page_from_block_id
 from gradelake.operators.grid import GRID_COLUMNS, P
+from gradelake.sources.stages import stored
 
 # One letter per block kind.
 KIND_LETTERS = {
@@ -234,3 +237,60 @@ def anchor_cells(points: DataFrame, page_grid: DataFrame) -> DataFrame:
         return F.coalesce(F.array_min(F.when(both, held(name)).otherwise(F.col(name)))["k"], F.lit(1))
 
     return j.select(*points.columns, pick("_y").alias("anchor_row"), pick("_x").alias("anchor_col"))
+
+
+#: Finest bins of ``nearest_cells``: 2 ** LEVELS to a side of the page.
+LEVELS = 6
+
+
+def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """``anchor_row`` and ``anchor_col`` of percent points (doc_id, page, x_percent, y_percent, ...) on any set of rectangles.
+
+    ``cells``: doc_id, page, row, col and x_start_percent, x_end_percent, y_start_percent, y_end_percent; they may overlap, leave gaps and differ in size.
+    Of the cells that hold the point the one with the closest centre, else the cell with the closest centre, and (1, 1) on a page without cells; of equally
+    close ones the first by row and column. Points off the page move to its edge. Cells without all four edges are left out.
+
+    Both searches are equi joins on bins, spread over the bins of a crowded page. A cell lies in at most four bins of the level that fits its size, so a
+    point looks for its holders in one bin per level. The closest centre is looked for in the three by three bins around the point, on ever
+    coarser levels: what is found within one bin's width is settled, and only the rest goes on.
+    """
+    edges = ["x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent"]
+
+    def at(c) -> Column:
+        return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+
+    def bin_of(c, level) -> Column:
+        n = F.pow(F.lit(2.0), level)
+        return F.least(n - 1, F.floor(at(c) / 100.0 * n)).cast("int")
+
+    def away(x: str, y: str) -> Column:
+        return F.pow(F.col("cx") - F.col(x), F.lit(2.0)) + F.pow(F.col("cy") - F.col(y), F.lit(2.0))
+
+    spots = stored(points.select(F.monotonically_increasing_id().alias("_id"), F.struct(*points.columns).alias("_row"), *P,
+                                 at(F.col("x_percent")).alias("_x"), at(F.col("y_percent")).alias("_y")), "spots")
+    whole = cells.dropna(subset=edges).select(*P, "row", "col", *edges, ((F.col(edges[0]) + F.col(edges[1])) / 2.0).alias("cx"), ((F.col(edges[2]) + F.col(edges[3])) / 2.0).alias("cy"))
+    size = F.greatest(at(F.col(edges[1])) - at(F.col(edges[0])), at(F.col(edges[3])) - at(F.col(edges[2])), F.lit(0.0))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(100.0 / F.greatest(size, F.lit(0.001)))).cast("int")))
+    bins = whole.withColumn("level", level).filter((F.col(edges[0]) <= F.col(edges[1])) & (F.col(edges[2]) <= F.col(edges[3])))
+    bins = bins.withColumn("bx", F.explode(F.sequence(bin_of(F.col(edges[0]), F.col("level")), bin_of(F.col(edges[1]), F.col("level"))))).withColumn(
+        "by", F.explode(F.sequence(bin_of(F.col(edges[2]), F.col("level")), bin_of(F.col(edges[3]), F.col("level")))))
+    looks = spots.select("_id", *P, "_x", "_y", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    looks = looks.withColumns({"bx": bin_of(F.col("_x"), F.col("level")), "by": bin_of(F.col("_y"), F.col("level"))})
+    holds = F.col("_x").between(F.col(edges[0]), F.col(edges[1])) & F.col("_y").between(F.col(edges[2]), F.col(edges[3]))
+    best = F.min(F.struct(away("_x", "_y").alias("d"), "row", "col")).alias("best")
+    found = [looks.join(bins, [*P, "level", "bx", "by"]).filter(holds).groupBy("_id").agg(best)]
+    open_ = stored(spots.drop("_row").join(found[0].select("_id"), "_id", "left_anti").join(whole.select(*P).distinct(), P, "left_semi"), "open-spots")
+    for k in range(LEVELS, -1, -1):
+        if open_.isEmpty():
+            break
+        mine = whole.withColumns({"bx": bin_of(F.col("cx"), F.lit(k)), "by": bin_of(F.col("cy"), F.lit(k))})
+        near = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.struct(
+            (bin_of(F.col("_x"), F.lit(k)) + i).alias("bx"), (bin_of(F.col("_y"), F.lit(k)) + j).alias("by"))))))
+        around = open_.withColumn("_n", near).select("_id", *P, "_x", "_y", "_n.bx", "_n.by")
+        tried = stored(open_.join(around.join(mine, [*P, "bx", "by"]).groupBy("_id").agg(best), "_id", "left"), "tried-spots")
+        # a centre beyond the nine bins is farther away than one bin is wide; equally far ones could still come first
+        settled = F.coalesce(F.col("best.d") < (100.0 / 2**k) ** 2, F.lit(False)) if k else F.lit(True)
+        found.append(tried.filter(settled).select("_id", "best"))
+        open_ = tried.filter(~settled).drop("best")
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    return spots.join(every, "_id", "left").select("_row.*", F.coalesce("best.row", F.lit(1)).alias("anchor_row"), F.coalesce("best.col", F.lit(1)).alias("anchor_col"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructType
 
 from gradelake.functions import coords as X
 from gradelake.operators.grid import GRID_COLUMNS, P, RULES, connected_labels
@@ -29,6 +29,40 @@ def rasters_from_pixels(pixels: DataFrame) -> DataFrame:
     return page.select(*P, "height", "width", F.unhex(F.concat_ws("", F.transform("l", lambda r: r["t"]))).alias("data"))
 
 
+#: Weights of red, green and blue in a gray value, in thousandths.
+GRAY = (299, 587, 114)
+
+
+@F.arrow_udf(BinaryType())
+def gray_bytes(data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array) -> pa.Array:
+    """One gray byte per pixel of images stored row by row as gray, BGR or BGRA bytes; what is transparent shows white. Null where the bytes don't fit the size."""
+    def gray(raw: bytes | None, h: int, w: int, n: int) -> bytes | None:
+        if raw is None or h <= 0 or w <= 0 or n not in (1, 3, 4) or len(raw) != h * w * n:
+            return None
+        if n == 1:
+            return raw
+        v = np.frombuffer(raw, np.uint8).reshape(-1, n).astype(np.int32)
+        y = (v[:, 2] * GRAY[0] + v[:, 1] * GRAY[1] + v[:, 0] * GRAY[2] + 500) // 1000
+        if n == 4:
+            y = (y * v[:, 3] + 255 * (255 - v[:, 3]) + 127) // 255
+        return y.astype(np.uint8).tobytes()
+
+    return pa.array([gray(*x) for x in zip(data.to_pylist(), height.to_pylist(), width.to_pylist(), channels.to_pylist())], pa.binary())
+
+
+def rasters_from_images(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Page rasters from rows (doc_id, page, image), ``image`` as Spark's image source gives it, and the rows that are no image.
+
+    One image becomes one row; pixels are never rows. Rejects have doc_id, page, origin and the reason:
+    ``bad_name`` without a document or page, ``no_image`` where the bytes could not be decoded.
+    """
+    gray = gray_bytes("image.data", "image.height", "image.width", "image.nChannels")
+    named = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    made = images.filter(named & (F.col("image.height") > 0)).select(*P, "image.height", "image.width", gray.alias("data"))
+    reason = F.when(~named, "bad_name").when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "no_image")
+    return made, images.select(*P, F.col("image.origin").alias("origin"), reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def _per_page(df: DataFrame, schema: str, fn: Callable[[dict, np.ndarray], dict[str, np.ndarray] | None]) -> DataFrame:
     """Apply fn(row, gray) to each raster; fn gives equally long columns without doc_id and page."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))

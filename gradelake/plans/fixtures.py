@@ -101,6 +101,14 @@ FROM (SELECT l_suppkey AS doc_id, CAST(l_linenumber AS INT) AS page, l_orderkey
   CAST(1 + l_partkey % 90 AS INT) AS r1, CAST(1 + l_orderkey * 7 % 60 AS INT) AS c1, CAST(floor(l_quantity) % 5 AS INT) AS h,
   CAST(floor(l_extendedprice) % 9 AS INT) AS w FROM lineitem) t"""
 
+# Cells of all sizes that overlap and leave gaps, and points on and off them, some on pages without cells.
+VIEWS["fx_loose_cells"] = """
+SELECT doc_id, page, annotation_index + 1 AS row, item_index AS col, CAST(c1 AS DOUBLE) AS x_start_percent, CAST(c2 + CASE WHEN item_index % 50 = 0 THEN 40 ELSE 1 END AS DOUBLE) AS x_end_percent,
+ CAST(r1 AS DOUBLE) AS y_start_percent, CAST(r2 + 1 AS DOUBLE) AS y_end_percent FROM fx_crowd WHERE item_index % 3 <> 0"""
+VIEWS["fx_spots"] = """
+SELECT doc_id, page + CASE WHEN doc_id % 10 = 3 THEN 100 ELSE 0 END AS page, annotation_index, CAST(item_index * 13 % 120 - 10 AS DOUBLE) AS x_percent,
+ CAST((item_index * 7 + r1 * 31) % 111 AS DOUBLE) AS y_percent FROM fx_crowd"""
+
 VIEWS["fx_ocr_pages"] = """
 SELECT conv_id AS doc_id, CAST(turn AS INT) + 1 AS page, CASE WHEN turn % 7 = 5 THEN 'DUPLICATE' ELSE 'PARAGRAPH' END AS page_type,
  CASE WHEN turn % 4 IN (1, 2) THEN first_value(text) OVER (PARTITION BY conv_id, CAST(floor(turn / 4.0) AS BIGINT) ORDER BY turn) ELSE text END AS text

@@ -12,6 +12,7 @@ from gradelake.operators import grid as G
 from gradelake.operators import grading as GR
 from gradelake.operators import parse as PA
 from gradelake.operators import placement as PL
+from gradelake.operators import raster as R
 from gradelake.plans.queries_catalog import _BT
 from gradelake.plans.queries_cells import _RECTS
 from gradelake.plans.queries_quality import _FIT, WIDTH
@@ -176,6 +177,29 @@ def _(t):
     return CE.anchor_cells(points, t.fx_page_grid.filter("page <> 3")).select("doc_id", "page", "annotation_index", "anchor_row", "anchor_col")
 
 
+@query("j14_loose_cells", """
+WITH s AS (SELECT *, least(100.0::DOUBLE, greatest(0.0::DOUBLE, x_percent)) AS x, least(100.0::DOUBLE, greatest(0.0::DOUBLE, y_percent)) AS y FROM fx_spots),
+ d AS (SELECT s.doc_id, s.page, s.annotation_index, c.row, c.col, ((x_start_percent + x_end_percent) / 2 - x) ** 2 + ((y_start_percent + y_end_percent) / 2 - y) ** 2 AS d,
+  x BETWEEN x_start_percent AND x_end_percent AND y BETWEEN y_start_percent AND y_end_percent AS holds FROM s LEFT JOIN fx_loose_cells c ON c.doc_id = s.doc_id AND c.page = s.page)
+SELECT doc_id, page, annotation_index, coalesce(row, 1) AS anchor_row, coalesce(col, 1) AS anchor_col FROM d
+QUALIFY row_number() OVER (PARTITION BY doc_id, page, annotation_index ORDER BY holds DESC, d, row, col) = 1""")
+def _(t):
+    return CE.nearest_cells(t.fx_spots, t.fx_loose_cells).select("doc_id", "page", "annotation_index", "anchor_row", "anchor_col")
+
+
+@query("src2_image_rasters", """
+WITH g AS (SELECT doc_id, page, y, x, value * 3 % 256 AS b, value AS g, 255 - value AS r FROM fx_pixels)
+SELECT doc_id, page, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width,
+ sha256(string_agg(printf('%02X', CAST((299 * r + 587 * g + 114 * b + 500) // 1000 AS INT)), '' ORDER BY y, x)) AS gray_sha256 FROM g GROUP BY 1, 2""")
+def _(t):
+    """Colour images in the image source's layout, made of the pixel table, to gray rasters."""
+    lines = t.fx_pixels.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("p"), F.max("y").alias("y"), F.max("x").alias("x"))
+    text = F.concat_ws("", F.transform("p", lambda p: F.concat(F.lpad(F.hex(p["value"] * 3 % 256), 2, "0"), F.lpad(F.hex(p["value"]), 2, "0"), F.lpad(F.hex(255 - p["value"]), 2, "0"))))
+    image = F.struct(F.lit("").alias("origin"), (F.col("y") + 1).cast("int").alias("height"), (F.col("x") + 1).cast("int").alias("width"), F.lit(3).alias("nChannels"), F.unhex(text).alias("data"))
+    made, _ = R.rasters_from_images(lines.select("doc_id", "page", image.alias("image")))
+    return made.select("doc_id", "page", "height", "width", F.sha2(F.hex("data"), 256).alias("gray_sha256"))
+
+
 @query("u10_page_rejects", """
 SELECT event_id, CAST(user_id % 6 - 1 AS INT) AS page, CASE WHEN user_id % 6 - 1 < 1 THEN concat('Page must be ≥ 1, got ', user_id % 6 - 1)
  WHEN user_id % 3 = 0 THEN concat('Page ', user_id % 6 - 1, ' out of range (1–0)') ELSE concat('Page ', user_id % 6 - 1, ' out of range (1–2)') END AS reason

@@ -51,6 +51,20 @@ def scan_page_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return judge_images(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
+def read_page_images(spark: SparkSession, path: str, name: str = r"([^/]+)/0*(\d+)\.[^./]+$") -> DataFrame:
+    """PNG and JPEG files under a folder, decoded by Spark's image source: doc_id, page, image.
+
+    ``name`` finds document and page in a file's path, by default ``<doc_id>/<page>.png``; files that it doesn't match have null for both. Files that
+    are no image have height -1. Two files of one page are two rows. ``raster.rasters_from_images`` makes page rasters of them.
+    """
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path)
+
+    def part(n: int) -> Column:
+        return F.nullif(F.regexp_extract(F.url_decode(F.col("image.origin")), name, n), F.lit(""))
+
+    return images.select(part(1).alias("doc_id"), part(2).try_cast("int").alias("page"), "image")
+
+
 def images_from_base64(df: DataFrame, col: str) -> DataFrame:
     """Decode a base64 column into content; unreadable text gives null."""
     return df.withColumn("content", F.try_to_binary(F.col(col), F.lit("base64")))
