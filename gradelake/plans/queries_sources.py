@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradelake.operators import grid as G
@@ -9,7 +11,9 @@ from gradelake.operators import infer
 from gradelake.operators import pages as PG
 from gradelake.plans.queries_cells import _RECTS, _RUNS, RID, _regions
 from gradelake.plans.registry import query
+from gradelake.session import checkpoint_root
 from gradelake.sources import files as FI
+from gradelake.sources import manifest as MA
 from gradelake.sources import responses as RE
 from gradelake.sources import stages as ST
 from gradelake.streaming import flows
@@ -140,6 +144,62 @@ def _(t):
     return ST.upgrade_schema(t.fx_models.drop("intro_page"), {"booklet_type": "standard", "intro_page": 2}).select("id", "booklet_type", "intro_page")
 
 
+def part_table(t, name: str) -> MA.PartTable:
+    return MA.PartTable(t.spark, f"{checkpoint_root(t.spark)}/parts/{name}-{uuid.uuid4().hex}")
+
+
+@query("src7_run_parts", """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN 1 WHEN doc_id % 5 <> 0 THEN 2 END AS made, CASE WHEN doc_id % 2 = 0 AND doc_id % 6 <> 0 THEN 1 ELSE 2 END AS in_run FROM documents""")
+def _(t):
+    """Two runs over one manifest: the first does a half and leaves some incomplete, the second what is open; then all parts become one."""
+    docs, table = t.documents.select("doc_id"), part_table(t, "runs")
+
+    def stage(n: int, complete):
+        return lambda open_: open_.select("doc_id", F.when(complete, n).alias("made"), F.lit(n).alias("in_run"))
+
+    MA.run_parts(table, docs.filter("doc_id % 2 = 0"), stage(1, F.col("doc_id") % 6 != 0), ["made"])
+    MA.run_parts(table, docs, stage(2, F.col("doc_id") % 5 != 0), ["made"])
+    table.compact(["doc_id"])
+    return table.read()
+
+
+@query("src8_cached_parts", """
+SELECT sha256(text) AS h, CAST(min(n_chars) AS BIGINT) AS n, CASE WHEN bool_or(lang = 'en') THEN 'first' ELSE 'second' END AS origin FROM documents GROUP BY 1""")
+def _(t):
+    """Contents of one language are computed by a first call and found by the second, which adds the others; a third adds nothing."""
+    src = t.documents.withColumn("h", F.sha2(F.encode("text", "UTF-8"), 256)).withColumn("cache_key", ST.content_key("text", 10.0, 300))
+    table = part_table(t, "cache")
+
+    def work(call: str):
+        return lambda df: df.select("cache_key", "h", F.col("n_chars").alias("n"), F.lit(call).alias("origin"))
+
+    for call, rows in (("first", src.filter("lang = 'en'")), ("second", src)):
+        MA.cached(rows, table, work(call))
+    return MA.cached(src, table, work("third")).select("h", "n", "origin")
+
+
+@query("src9_schema_versions", """
+SELECT id, title, CASE WHEN created_seq % 3 = 0 THEN 'standard' ELSE coalesce(booklet_type, 'standard') END AS booklet_type, CASE WHEN created_seq % 3 = 2 THEN 7 ELSE 2 END AS intro_page FROM fx_models""")
+def _(t):
+    """Models written by three versions of the schema: without booklet type and first page, without first page, with both."""
+    m, table = t.fx_models, part_table(t, "models")
+    table.add(m.filter("created_seq % 3 = 0").select("id", "title"))
+    table.add(m.filter("created_seq % 3 = 1").select("title", "booklet_type", "id"))
+    table.add(m.filter("created_seq % 3 = 2").select("id", "title", "booklet_type", F.lit(7).alias("intro_page")))
+    return table.read({"booklet_type": "standard", "intro_page": 2})
+
+
+@query("u1_enrich_open", """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN round_even(value * 2, 0) / 2 END AS marks, CASE WHEN event_type <> 'error' THEN upper(event_type) END AS label, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS tries,
+ CASE WHEN event_type = 'error' THEN 'ValueError: no reply' END AS error FROM events""")
+def _(t):
+    """Replies of a part of the events are there from an earlier run; the rest is called, four at a time per task."""
+    src, table = t.events.select("event_id", "event_type", "value"), part_table(t, "replies")
+    for rows in (src.filter("event_id % 3 = 0"), src):
+        found = infer.enrich_open(rows, table, _grade, ["event_id"], "marks double, label string", attempts=2, in_flight=4)
+    return found
+
+
 @query("src10_pair_by_stem", """
 SELECT concat('smart_ocr_response_', p_partkey, '.json') AS name, CAST(p_partkey AS VARCHAR) AS stem, CASE WHEN p_size % 3 = 0 THEN concat(p_partkey, '.pdf') ELSE concat('test_', p_partkey, '.pdf') END AS pdf FROM part WHERE p_size % 3 < 2""")
 def _(t):
