@@ -208,6 +208,17 @@ def key_text(questions: DataFrame, titles: DataFrame, per_part: int = 256) -> Da
     )
 
 
+def whole_key_text(questions: DataFrame, titles: DataFrame, per_part: int = 256) -> DataFrame:
+    """One answer-key text per model (model_id, text), as a grading model reads it; for models whose questions fit in one value.
+
+    The parts of ``key_text`` are joined, so a task sorts a model's parts and not its questions. A model without questions has only the heading.
+    """
+    parts = key_text(questions, titles, per_part).groupBy("model_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    bare = F.concat(F.lit("Subject / Paper: "), F.coalesce(F.nullif("title", F.lit("")), F.lit("General")), F.lit("\n"))
+    return titles.select("model_id", "title").join(parts, "model_id", "left").select("model_id", F.coalesce("text", bare).alias("text"))
+
+
 # ---- lookups --------------------------------------------------------------
 
 def list_models(keys: DataFrame, models: DataFrame) -> DataFrame:
@@ -386,6 +397,12 @@ def bulk_patch(questions: DataFrame, items: DataFrame) -> tuple[DataFrame, DataF
     return patched, updated, missing
 
 
+def patch_counts(updated: DataFrame, missing: DataFrame) -> DataFrame:
+    """How many ids of each model a bulk patch updated and did not find: model_id, updated_count, not_found_count."""
+    both = updated.select("model_id", F.lit(1).alias("u"), F.lit(0).alias("m")).unionByName(missing.select("model_id", F.lit(0).alias("u"), F.lit(1).alias("m")))
+    return both.groupBy("model_id").agg(F.sum("u").alias("updated_count"), F.sum("m").alias("not_found_count"))
+
+
 # Reorder outcomes, in the order they are checked.
 REORDER_INVALID = "Invalid questions_json."
 REORDER_DUPLICATE = "Invalid order: duplicate ids."

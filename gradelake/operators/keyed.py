@@ -56,20 +56,16 @@ def split_rank(df: DataFrame, keys: list[str], order: list, blocks: list[Column]
 
     ``blocks`` must be coarser than ``order``: sorting by the blocks never
     contradicts sorting by ``order``. Each (key, block) is numbered on its own;
-    a small table of block sizes per key gives the offset to add.
+    a small table of block sizes per key gives the offset to add. Key and block are one struct, which is equal to
+    another also where both hold nulls, so the offsets join rows that lie by it already: the rows are shuffled once.
     """
-    names = [f"_blk{i}" for i in range(len(blocks))]
-    cut = df.withColumns(dict(zip(names, blocks)))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*keys, *names)
-        .count()
-        .withColumn("_offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
-        .drop("count")
-    )
-    joined = null_safe_join(local, offsets, [*keys, *names], "left")
-    return joined.withColumn(out, (F.col("_local") + F.col("_offset")).cast("int")).drop("_local", "_offset", *names)
+    names = [f"b{i}" for i in range(len(blocks))]
+    cut = df.withColumn("_at", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[b.alias(n) for b, n in zip(blocks, names)]))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_at").orderBy(*order)))
+    before = Window.partitionBy(*[f"_at.k{i}" for i in range(len(keys))]).orderBy(*[f"_at.{n}" for n in names]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("_at").count().select("_at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    joined = local.join(offsets, "_at", "left")
+    return joined.withColumn(out, (F.col("_local") + F.col("_offset")).cast("int")).drop("_local", "_offset", "_at")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

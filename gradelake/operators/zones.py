@@ -108,6 +108,13 @@ def snap_counts(snapped: DataFrame) -> DataFrame:
         F.count_if("snapped").alias("snapped"), F.count(F.lit(1)).alias("annotations"))
 
 
+def zone_counts(pages: DataFrame, zones: DataFrame) -> DataFrame:
+    """Pages and free zones per document (doc_id, page_count, total_zones), pages without zones included. ``pages``: doc_id, page."""
+    n = zones.groupBy(*P).agg(F.count(F.lit(1)).alias("n"))
+    return pages.select(*P).join(n, P, "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("page_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_zones"))
+
+
 def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap: int = 2, max_shift: float = 35.0,
                  scope: str = "item_index") -> DataFrame:
     """Capacity-aware zone choice per (doc, item, page), top to bottom.

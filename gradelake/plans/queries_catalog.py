@@ -334,6 +334,23 @@ def _(t):
     return C.key_text(t.fx_questions, titles, per_part=8)
 
 
+@query("a10_whole_key_text", """
+WITH b AS (SELECT model_id, pos, concat(question_no, '. ', title, CASE WHEN desc_text <> '' THEN concat(chr(10), '   Model booklet (ideal answer): ', desc_text) ELSE '' END,
+ CASE WHEN instruction_name IS NOT NULL THEN concat(chr(10), '   Instructions (examiner marking key — weigh like the booklet text): ', instruction_name) ELSE '' END,
+ chr(10), '   MAX MARKS ALLOWED: ', marks, chr(10)) AS t FROM fx_questions),
+ k AS (SELECT model_id, string_agg(t, chr(10) ORDER BY pos) AS body FROM b GROUP BY model_id)
+SELECT id AS model_id, concat('Subject / Paper: ', title, chr(10), CASE WHEN body IS NULL THEN '' ELSE concat(chr(10), body) END) AS text FROM fx_models LEFT JOIN k ON k.model_id = id""")
+def _(t):
+    return C.whole_key_text(t.fx_questions, t.fx_models.select(F.col("id").alias("model_id"), "title"), per_part=8)
+
+
+@query("a15_patch_counts", f"""
+SELECT p.model_id, count(q.id) AS updated_count, count(*) - count(q.id) AS not_found_count FROM {_PATCH} p LEFT JOIN fx_questions q ON p.model_id = q.model_id AND p.question_id = q.id GROUP BY p.model_id""")
+def _(t):
+    _, updated, missing = C.bulk_patch(t.fx_questions, t.fx_patches)
+    return C.patch_counts(updated, missing)
+
+
 _RAW_Q = """SELECT l_orderkey AS model_id, l_linenumber AS ln, l_partkey AS pk,
  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE concat('q', l_partkey) END AS id, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat(' Q', l_linenumber, ' ') END AS question_no,
  CASE WHEN l_partkey % 7 = 0 THEN '   ' ELSE concat(' ', l_returnflag, ' text ') END AS question_text,

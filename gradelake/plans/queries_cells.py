@@ -321,6 +321,12 @@ def _(t):
     return Z.snap_counts(Z.snap_nearest(_anns(t), Z.page_free_zones(t.fx_coarse)))
 
 
+@query("a15_zone_counts", f"""
+SELECT g.doc_id, count(DISTINCT g.page) AS page_count, count(z.zone_pos) AS total_zones FROM fx_page_grid g LEFT JOIN (SELECT * FROM {_MERGED} m WHERE zone_pos <= 15) z ON z.doc_id = g.doc_id AND z.page = g.page GROUP BY g.doc_id""")
+def _(t):
+    return Z.zone_counts(t.fx_page_grid, Z.page_free_zones(t.fx_coarse))
+
+
 @query("u2_assign_zones")
 def _(t):
     return Z.assign_zones(_anns(t), Z.page_free_zones(t.fx_coarse))

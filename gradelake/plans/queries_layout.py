@@ -162,6 +162,30 @@ def _(t):
     return LA.layout_summary(layout(t), strips(t)).select(*P, "lines", "gaps", "words", "left_strips", "right_strips")
 
 
+def _pct(v: str, of: int) -> str:
+    return f"round_even({v} / {of}::DOUBLE * 100.0::DOUBLE * 100, 0) / 100"
+
+
+@query("a17_coordinate_suggestions", f"""
+WITH s AS (SELECT s.doc_id, s.page, s.zone, s.y_top, s.y_bot, s.height, count(l.y) FILTER (WHERE l.y + {_LH} < s.y_top) AS above, count(l.y) - count(l.y) FILTER (WHERE l.y - {_LH} > s.y_bot) AS below,
+  {_pct('s.y_top', H)} AS top, {_pct('s.y_bot', H)} AS bottom FROM {_STRIPS} s LEFT JOIN fx_lines l ON l.doc_id = s.doc_id AND l.page = s.page GROUP BY s.doc_id, s.page, s.zone, s.y_top, s.y_bot, s.height),
+ m AS (SELECT doc_id, page, string_agg(concat(CAST(round_even((top + bottom) * 500, 0) AS BIGINT), ':', height, ':', above), ' ' ORDER BY y_top) AS margins, CAST(count(*) AS INT) AS n FROM s WHERE zone = 3 GROUP BY ALL),
+ g AS (SELECT doc_id, page, string_agg(concat(above, ':', below, ':', CAST(round_even(top * 100, 0) AS BIGINT), ':', CAST(round_even(bottom * 100, 0) AS BIGINT), ':', height), ' ' ORDER BY above, y_top) AS gaps FROM s WHERE zone = 2 GROUP BY ALL),
+ c AS (SELECT doc_id, page, line, CAST(round_even({_pct('floor((left_end + right_start) / 2.0)', W)} * 100, 0) AS BIGINT) AS x, left_end FROM {_WORDS} w),
+ wl AS (SELECT doc_id, page, line, string_agg(x, ',' ORDER BY x) AS xs FROM c GROUP BY ALL), wg AS (SELECT doc_id, page, string_agg(concat(line, '=', xs), ' ' ORDER BY line) AS words FROM wl GROUP BY ALL)
+SELECT p.doc_id, p.page, coalesce(margins, '') AS margins, coalesce(gaps, '') AS gaps, coalesce(words, '') AS words, 18 AS line_count FROM fx_page_grid p LEFT JOIN m USING (doc_id, page) LEFT JOIN g USING (doc_id, page) LEFT JOIN wg USING (doc_id, page)""")
+def _(t):
+    out = LA.coordinate_suggestions(layout(t), strips(t), t.fx_lines, H)
+
+    def whole(x, times: int):
+        return F.rint(x * times).cast("long")
+
+    margins = F.transform("margin_anchors", lambda a: F.concat_ws(":", whole(a["y_pct"], 1000), a["height_px"], a["after_line"]))
+    gaps = F.transform("gap_anchors", lambda a: F.concat_ws(":", a["after_line"], a["before_line"], whole(a["y_top_pct"], 100), whole(a["y_bot_pct"], 100), a["height_px"]))
+    words = F.transform(F.array_sort(F.map_entries("word_gap_by_line")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda x: whole(x, 100)), ",")))
+    return out.select(*P, F.array_join(margins, " ").alias("margins"), F.array_join(gaps, " ").alias("gaps"), F.array_join(words, " ").alias("words"), "line_count")
+
+
 @query("j23_resolve_remarks", f"""
 SELECT r.doc_id, r.page, r.pos, r.type, CASE r.type WHEN 'score_circle' THEN 0 WHEN 'tick' THEN 1 WHEN 'curly_brace' THEN 2 WHEN 'underline_remark' THEN 3 WHEN 'exponent_insert' THEN 5 ELSE 9 END AS priority,
  least(17, r.line - 1) AS line_idx, CASE WHEN r.type = 'score_circle' THEN NULL ELSE l.y END AS cy_px, CASE WHEN r.type <> 'score_circle' AND r.remark_zone = 'gap' AND p.height >= 36 THEN 'gap' ELSE 'right_margin' END AS zone_used,

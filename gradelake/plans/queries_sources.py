@@ -232,6 +232,19 @@ def _(t):
     return out.select(*P, "rows", F.array_join(F.transform("writable_runs", lambda r: r["range_id"]), " ").alias("runs"))
 
 
+@query("pf20_grid_response", f"""
+WITH r AS (SELECT doc_id, page, string_agg(concat({RID('row', 'start_col', 'row', 'end_col')}, '=', cell_count), ' ' ORDER BY row, start_col) AS runs FROM ({_RUNS} HAVING count(*) >= 2) x GROUP BY ALL),
+ g AS (SELECT doc_id, page, string_agg({RID('row_start', 'col_start', 'row_end', 'col_end')}, ' ' ORDER BY region_no) AS regions FROM {_RECTS} x GROUP BY ALL),
+ c AS (SELECT doc_id, page, count(*) AS n_cells, count(*) FILTER (WHERE writable) AS n_writable, sha256(string_agg(concat(row, ':', col, ':', CASE WHEN writable THEN 1 ELSE 0 END), ' ' ORDER BY row, col)) AS cells FROM fx_cells GROUP BY ALL)
+SELECT p.doc_id, p.page, p.rows, p.page_w_pts, coalesce(runs, '') AS runs, coalesce(regions, '') AS regions, n_cells, n_writable, c.cells FROM fx_page_grid p LEFT JOIN r USING (doc_id, page) LEFT JOIN g USING (doc_id, page) LEFT JOIN c USING (doc_id, page)""")
+def _(t):
+    out = RE.grid_response(t.fx_page_grid, G.writable_runs(t.fx_cells), _regions(t), t.fx_cells, include_cells=True)
+    runs = F.transform("writable_runs", lambda r: F.concat(r["range_id"], F.lit("="), r["cell_count"]))
+    cells = F.transform("cells", lambda c: F.concat_ws(":", c["row"], c["col"], c["writable"].cast("int")))
+    return out.select(*P, "rows", "page_w_pts", F.array_join(runs, " ").alias("runs"), F.array_join(F.transform("writable_regions", lambda r: r["range_id"]), " ").alias("regions"),
+                      F.size("cells").cast("long").alias("n_cells"), F.size(F.filter("cells", lambda c: c["writable"])).cast("long").alias("n_writable"), F.sha2(F.array_join(cells, " "), 256).alias("cells"))
+
+
 @query("a13_layout_payload", f"""
 WITH r AS (SELECT doc_id, page, string_agg(concat('"', {RID('row', 'start_col', 'row', 'end_col')}, '"'), ', ' ORDER BY row, start_col) AS t FROM ({_RUNS} HAVING count(*) >= 2) x GROUP BY ALL),
  g AS (SELECT doc_id, page, string_agg(concat('"', {RID('row_start', 'col_start', 'row_end', 'col_end')}, '"'), ', ' ORDER BY region_no) AS t FROM {_RECTS} x GROUP BY ALL),

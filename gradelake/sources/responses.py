@@ -119,6 +119,23 @@ def grid_payload(page_grid: DataFrame, runs: DataFrame | None = None, regions: D
     return out
 
 
+def grid_response(page_grid: DataFrame, runs: DataFrame, regions: DataFrame, cells: DataFrame,
+                  include_runs: bool = True, include_regions: bool = True, include_cells: bool = False) -> DataFrame:
+    """Page grids with every field of their runs, regions and cells, for readers that need them in one reply.
+
+    A part whose flag is off is neither computed nor named in the result. A page without any has an empty array. Runs go by row and column, regions by
+    number and cells by row and column; arrays are bounded by the page grid.
+    """
+    out = page_grid.select("doc_id", "page", *GRID_COLUMNS)
+    for wanted, part, name, order in ((include_runs, runs, "writable_runs", ["row", "start_col"]), (include_regions, regions, "writable_regions", ["region_no"]),
+                                      (include_cells, cells, "cells", ["row", "col"])):
+        if wanted:
+            fields = [c for c in part.columns if c not in ("doc_id", "page", *order)]
+            packed = part.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(name))
+            out = out.join(packed, ["doc_id", "page"], "left").withColumn(name, F.coalesce(name, F.array().cast(packed.schema[name].dataType)))
+    return out
+
+
 def layout_payload(page_grid: DataFrame, runs: DataFrame, regions: DataFrame, max_chars: int = 16000) -> DataFrame:
     """Compact JSON per page; documents over the budget drop their runs and keep regions only.
 

@@ -31,7 +31,21 @@ def test_split_rank_never_gathers_a_whole_key(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     # rows are numbered per (key, block); only the table of block sizes is ordered per key
     assert len(windows) == 2 and sum("row_number()" in w for w in windows) == 1
-    assert all("_blk0" in w for w in windows if "row_number()" in w)
+    assert all("[_at#" in w for w in windows if "row_number()" in w)
+
+
+def test_split_rank_shuffles_rows_once_and_ranks_nulls(spark):
+    df = spark.createDataFrame([(k, p, "x" * 50) for k in (None, 1, 2) for p in [None, *range(40)]], "k int, pos int, body string").repartition(3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = K.split_rank(df, ["k"], ["pos"], [K.block_of("pos", 16)], "n")
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        rows = [line for line in plan.splitlines() if "Exchange hashpartitioning(_at" in line]
+        assert len(rows) == 3  # the rows once; the counts of blocks, and these again as offsets
+        assert sorted((r["k"] or 0, r["n"], -1 if r["pos"] is None else r["pos"]) for r in got.collect()) == [(k, i + 1, i - 1) for k in (0, 1, 2) for i in range(41)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
 def test_renumber_and_logical_order_hot_model(spark):
