@@ -7,7 +7,6 @@ back through time, on a bounded sample of pieces; tasks get the weights, a few t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import nsmallest
 from zlib import crc32
@@ -24,7 +23,6 @@ PIECE, HIDDEN, EMBED, AT_ONCE = 64, 8, 8, 4096
 SAMPLE_DOCS, SAMPLE_PIECES = 3000, 6144
 #: Least documents and pieces of a language that has them, and most pieces of a document.
 LEAST_OF, MOST_OF = 16, 32
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def cut(data: bytes, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +243,7 @@ def languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_pieces: in
             for at in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(at, 512)
                 body = part.column(2).to_pylist()
-                spoken = [k for k, t in enumerate(body) if w is not None and t and LETTER.search(t)]
+                spoken = [k for k, t in enumerate(body) if w is not None and t and any(map(str.isalpha, t))]
                 p = pooled(w, [body[k].encode("utf-8", "replace") for k in spoken]) if spoken else np.empty((0, 1))
                 lang, score = ["und"] * len(body), [0.0] * len(body)
                 for k, row in zip(spoken, p):

@@ -107,3 +107,12 @@ def test_stages_keep_columns(spark, odd, none, labels, bench, tmp_path):
     assert len(corpus_pipeline.drop_near_copies(spark, odd, str(tmp_path)).collect()) == len(TEXTS) - 2
     left = [r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, odd, str(tmp_path)).collect()]
     assert not {3, 10} & set(left) and len(left) == len(TEXTS) - 3
+
+
+def test_only_letters_have_a_language(spark, odd):
+    """Number signs, letter numbers, combining marks, digits and marks alone are no letters (Unicode category L)."""
+    without = ["½ ② ²", "Ⅳ Ⅻ ⅷ", "\u0301\u0302 \u0940", "١٢٣ ４５", "_ – … €", "🎉"]
+    rows = [(100 + k, t) for k, t in enumerate(without)] + [(200, "½ é"), (201, "ª"), (202, "ʰ"), (203, "字 1")]
+    got = by_id(language_id.languages(odd.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)))
+    assert {got[i][0]["lang_pred"] for i, _ in rows if i < 200} == {"und"}
+    assert all(got[i][0]["lang_pred"] == "en" for i, _ in rows if i >= 200)
