@@ -67,29 +67,26 @@ def carve_score(r0, c0, n_rows, n_cols, anchor_row, anchor_col, grid_cols) -> Co
     return dist + left + right + wide
 
 
-def layout_positions(strategy: str, n, width, height) -> Column:
-    """array<struct(x, y)> of n spots on a canvas: 'column', 'row' or 'grid'."""
-    k, w, h = _c(n).cast("int"), _c(width), _c(height)
-    idx = F.when(k >= 1, F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+def layout_position(strategy: str, i, n, width, height) -> Column:
+    """struct(x, y) of spot ``i`` (from 0) of n on a canvas: 'column', 'row' or 'grid'."""
+    i, k, w, h = _c(i), _c(n).cast("int"), _c(width), _c(height)
 
     def part(size: Column, i: Column, parts: Column) -> Column:
         return (size * (i + 1) / (parts + 1)).cast("int")
 
     if strategy == "column":
-        x = (w * 0.85).cast("int")
-        return F.transform(idx, lambda i: F.struct(x.alias("x"), part(h, i, k).alias("y")))
+        return F.struct((w * 0.85).cast("int").alias("x"), part(h, i, k).alias("y"))
     if strategy == "row":
-        y = (h * 0.08).cast("int")
-        return F.transform(idx, lambda i: F.struct(part(w, i, k).alias("x"), y.alias("y")))
+        return F.struct(part(w, i, k).alias("x"), (h * 0.08).cast("int").alias("y"))
     cols = F.greatest(F.lit(1), F.rint(F.sqrt(k.cast("double"))).cast("int"))
-    rows = F.ceil(k / cols).cast("int")
-    return F.transform(
-        idx,
-        lambda i: F.struct(
-            part(w, i % cols, cols).alias("x"),
-            part(h, F.floor(i / cols).cast("int"), rows).alias("y"),
-        ),
-    )
+    return F.struct(part(w, i % cols, cols).alias("x"), part(h, F.floor(i / cols).cast("int"), F.ceil(k / cols).cast("int")).alias("y"))
+
+
+def layout_positions(strategy: str, n, width, height) -> Column:
+    """array<struct(x, y)> of n spots on a canvas."""
+    k = _c(n).cast("int")
+    idx = F.when(k >= 1, F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda i: layout_position(strategy, i, n, width, height))
 
 
 def word_target(answer_type) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelake.functions.coords import round_even
-from gradelake.operators.keyed import last_wins
+from gradelake.operators.keyed import block_of, last_wins, split_rank
 
 # Columns a grade may overwrite, and columns without meaning for a question the student never answered.
 GRADING_KEYS = "max_marks marks_awarded status student_answer_summary feedback annotations answer_span marking".split()
@@ -148,3 +148,8 @@ def key_for_item(items: DataFrame, questions: DataFrame) -> DataFrame:
     first = q.groupBy("model_id", "question_id").agg(F.min_by(F.struct("id", "title", "marks"), "pos").alias("_k"))
     return items.join(first, ["model_id", "question_id"], "left").select(
         *items.columns, F.col("_k.id").alias("key_id"), F.col("_k.title").alias("key_title"), F.col("_k.marks").alias("key_marks"))
+
+
+def order_items(items: DataFrame, out: str = "n") -> DataFrame:
+    """Number a document's items from 1 by sort key, then question id; numbered in bands of the sort key, so no task sorts a whole document."""
+    return split_rank(items, ["doc_id"], ["sort_key", "question_id"], [block_of("sort_key", 64)], out)

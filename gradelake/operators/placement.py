@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from gradelake.functions import coords as X
 from gradelake.functions.glyphs import cells_needed
-from gradelake.functions.scoring import layout_positions
+from gradelake.functions.scoring import layout_position, layout_positions
 from gradelake.operators.grid import P, largest_rectangles, mask_array
 from gradelake.operators.keyed import block_of, first_wins, split_rank
 from gradelake.operators.stateful import run_sequential
@@ -586,19 +586,21 @@ def auto_place(remarks: DataFrame, boxes: DataFrame | None, strategy: str = "fre
     ``remarks``: session_id, page, key, ord, canvas_w, canvas_h (only unplaced
     ones). Free boxes come first, then grid positions; equal positions count once. Every remark gives a row; one without a
     position left has none.
+
+    ``boxes`` belong to a page of a session if they have ``session_id``, else to that page of every session. Without boxes a remark's spot follows from its turn
+    and the number of remarks, so no list of spots is made.
     """
     keys = ["session_id", "page"]
     ranked = split_rank(remarks, keys, ["ord"], [block_of("ord")], "turn")
     n = remarks.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("canvas_w").alias("canvas_w"), F.max("canvas_h").alias("canvas_h"))
-    base = "grid" if strategy == "free_space" else strategy
-    spots = n.select(*keys, F.posexplode(layout_positions(base, "n", "canvas_w", "canvas_h")).alias("i", "_p")).select(
+    if strategy != "free_space" or boxes is None:
+        spot = layout_position("grid" if strategy == "free_space" else strategy, F.col("turn") - 1, "n", "canvas_w", "canvas_h")
+        return ranked.drop("canvas_w", "canvas_h").join(n, keys).withColumn("_p", spot).select(*keys, "key", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    spots = n.select(*keys, F.posexplode(layout_positions("grid", "n", "canvas_w", "canvas_h")).alias("i", "_p")).select(
         *keys, F.lit(1).alias("src"), F.col("i").cast("double").alias("o"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
-    if strategy == "free_space" and boxes is not None:
-        best = box_positions(n.join(boxes, "page")).select(
-            *keys, F.lit(0).alias("src"), (-F.col("worth")).alias("o"), "x", "y")
-        spots = ordered_union(best, spots, keys)
-    else:
-        spots = spots.withColumn("turn", (F.col("o") + 1).cast("int"))
+    best = box_positions(n.join(boxes, [k for k in keys if k in boxes.columns])).select(
+        *keys, F.lit(0).alias("src"), (-F.col("worth")).alias("o"), "x", "y")
+    spots = ordered_union(best, spots, keys)
     return ranked.join(spots.select(*keys, "turn", "x", "y"), [*keys, "turn"], "left").select(*keys, "key", "x", "y")
 
 

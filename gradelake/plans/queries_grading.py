@@ -9,7 +9,6 @@ from gradelake.functions import similarity
 from gradelake.operators import grading as GR
 from gradelake.operators import grid as G
 from gradelake.operators import pages as PG
-from gradelake.operators.keyed import block_of, split_rank
 from gradelake.plans.queries_cells import _HINTS, _RUNS, COL, PX, PY, RID, hints
 from gradelake.plans.registry import query
 
@@ -215,7 +214,7 @@ def _(t):
 @query("s2_item_order", f"SELECT doc_id, question_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sort_key, question_id) AS INT) AS n FROM {_MERGED} m")
 def _(t):
     m = GR.merge_evaluations(*_merged(t)).select("doc_id", "question_id", "sort_key")
-    return split_rank(m, ["doc_id"], ["sort_key", "question_id"], [block_of("sort_key", 64)], "n").drop("sort_key")
+    return GR.order_items(m).drop("sort_key")
 
 
 _RUNP = f"""(SELECT doc_id, page, row, start_col, cell_count, {PX('start_col - 1')} AS x1, {PX('end_col')} AS x2, {PY('row - 1')} AS y1, {PY('row')} AS y2 FROM ({_RUNS}) r WHERE cell_count >= 3)"""

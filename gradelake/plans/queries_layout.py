@@ -12,7 +12,7 @@ from gradelake.operators import layout as LA
 from gradelake.operators import placement as PL
 from gradelake.operators import raster as RA
 from gradelake.operators import zones as Z
-from gradelake.operators.keyed import split_rank, top_k
+from gradelake.operators.keyed import top_k
 from gradelake.plans.queries_cells import _CELL_AT, _PIX_CELLS, _metrics_sql, _regions
 from gradelake.plans.queries_quality import marking_items
 from gradelake.plans.registry import query
@@ -201,8 +201,7 @@ def _(t):
 @query("s4_remark_order", """
 SELECT doc_id, page, pos, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE type WHEN 'score_circle' THEN 0 WHEN 'tick' THEN 1 WHEN 'curly_brace' THEN 2 WHEN 'underline_remark' THEN 3 WHEN 'exponent_insert' THEN 5 ELSE 9 END, line, pos) AS INT) AS n FROM fx_remarks""")
 def _(t):
-    ranked = LA.remark_rank(t.fx_remarks)
-    return split_rank(ranked, P, ["priority", "line", "pos"], [F.col("priority"), F.col("line")], "n").select(*P, "pos", "n")
+    return LA.order_remarks(t.fx_remarks).select(*P, "pos", "n")
 
 
 @query("pf21_remark_rank", """
@@ -214,8 +213,7 @@ def _(t):
 
 @query("s6_first_strips", f"SELECT doc_id, page, zone, string_agg(concat(y_top, '-', y_bot), ' ' ORDER BY y_top) AS anchors FROM {_STRIPS} s GROUP BY ALL")
 def _(t):
-    items = F.array_sort(F.collect_list(F.struct("y_top", "y_bot")))
-    return strips(t).groupBy(*P, "zone").agg(F.array_join(F.transform(items, lambda s: F.concat_ws("-", s["y_top"], s["y_bot"])), " ").alias("anchors"))
+    return LA.strips_by_zone(strips(t)).select(*P, "zone", F.array_join(F.transform("strips", lambda s: F.concat_ws("-", s["y_top"], s["y_bot"])), " ").alias("anchors"))
 
 
 @query("u8_margin_slots")
