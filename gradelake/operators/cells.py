@@ -239,8 +239,8 @@ def anchor_cells(points: DataFrame, page_grid: DataFrame) -> DataFrame:
     return j.select(*points.columns, pick("_y").alias("anchor_row"), pick("_x").alias("anchor_col"))
 
 
-#: Finest bins of ``nearest_cells``: 2 ** LEVELS to a side of the page.
-LEVELS = 6
+#: Finest bins of ``nearest_cells``: 2 ** LEVELS to a side of the page for cells that may hold a point, 2 ** NEAR for the closest centres.
+LEVELS, NEAR = 6, 4
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     best = F.min(F.struct(away("_x", "_y").alias("d"), "row", "col")).alias("best")
     found = [looks.join(bins, [*P, "level", "bx", "by"]).filter(holds).groupBy("_id").agg(best)]
     open_ = stored(spots.drop("_row").join(found[0].select("_id"), "_id", "left_anti").join(whole.select(*P).distinct(), P, "left_semi"), "open-spots")
-    for k in range(LEVELS, -1, -1):
+    for k in range(NEAR, -1, -1):
         if open_.isEmpty():
             break
         mine = whole.withColumns({"bx": bin_of(F.col("cx"), F.lit(k)), "by": bin_of(F.col("cy"), F.lit(k))})
