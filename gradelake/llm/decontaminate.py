@@ -174,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     table = bucketed(docs, whole=True)
-    return rows_kept(table, judged(table.select("row", "doc_id", "text"), benchmark, size).filter("not contaminated"))
+    return rows_kept(table, judged(table.select("row", "doc_id", "text"), benchmark, size).filter("not contaminated"), docs.columns)
 
 
 def judged(body: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -82,4 +82,4 @@ def judged(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     table = bucketed(docs, whole=True)
-    return rows_kept(table, judged(table.select("row", "doc_id", "text")).filter("kept"))
+    return rows_kept(table, judged(table.select("row", "doc_id", "text")).filter("kept"), docs.columns)

@@ -3,10 +3,12 @@
 The shingles of a text (five words) get the number of their occurrence, so all are
 different. One of ``SKETCHES`` sketches takes the ``TAKEN`` shingles with the least hash and keeps them in text
 order: texts agree in it when they share these shingles in this order, which follows edit similarity.
-Texts that agree in a sketch meet in a bucket. Every member is compared with the bucket's centres, in rounds, which joins the large
-classes without listing their pairs. The members of buckets that then still hold several classes are compared by an exact prefix
-filter: of two near texts the rarest shingles of one, by a fixed order, hold one of the rarest shingles of the other.
-Comparison aligns the two shingle sequences within the band that the threshold allows.
+Texts that agree in a sketch meet in a bucket. In each round a member is compared with one bucket centre, the one it agrees with most
+often, which joins the large classes without listing their pairs; members of buckets that have come to one class leave. The members of
+buckets that then still hold several classes are compared by an exact prefix filter: of two near texts the rarest shingles
+of one, by a fixed order, hold one of the rarest shingles of the other.
+Lengths and small histograms of shingles bound what two texts can have in common, so most pairs that are not near are settled before a
+text moves. Comparison aligns the two shingle sequences within the band that the threshold allows.
 """
 
 from __future__ import annotations
@@ -18,22 +20,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradelake.llm.shared import bucketed, rows_kept, written
+from gradelake.llm.shared import bucketed, by_row, rows_kept, written
 from gradelake.llm.wordtext import words
 
 SHINGLE, SKETCHES, TAKEN = 5, 16, 2
-CENTRES = 4
 #: Similarity of at least LEAST[0] / LEAST[1].
 LEAST = (4, 5)
 BLOCK = 1 << 16
 #: Counters of shingles. They only set the order of the prefix filter, which is exact in any order.
 SLOTS = 1 << 18
-#: No more rounds of centres once the pairs that buckets hold across labels are this many a member.
-APART = 4
+#: Rounds of centres go on while at least one of this many comparisons links.
+WORTH = 4
+#: Bins of a text's histogram: about half its shingles, within these limits. A full bin bounds nothing.
+FEWEST, MOST, FULL = 16, 4096, 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,21 +114,68 @@ def aligned(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return len(chain) >= need
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles fall into each bin, a byte each."""
+    bins = min(max(1 << (len(s) // 2).bit_length(), FEWEST), MOST)
+    at = ((s >> np.uint64(20)) & np.uint64(bins - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=bins), FULL).astype(np.uint8).tobytes()
+
+
+def common_at_most(a: bytes, b: bytes) -> int:
+    """An upper bound of the shingles two texts share, by their histograms. Bins are low bits, so the finer one folds."""
+    x, y = sorted((np.frombuffer(h, np.uint8).astype(np.int64) for h in (a, b)), key=len)
+    x, y = (np.where(h == FULL, 1 << 40, h) for h in (x, y))
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
+def near_lengths(n: Column, m: Column, least: tuple[int, int]) -> Column:
+    """Whether texts of ``n`` and ``m`` shingles can be near at all."""
+    top, bottom = least
+    return (top + bottom) * F.least(n, m) >= top * (n + m)
+
+
 def sketched(table: DataFrame, size: int, sketches: int, taken: int) -> DataFrame:
-    """(row, doc_id, same, sketch): ``same`` is equal for texts with equal words; texts without words have none."""
+    """(row, doc_id, same, sketch, n, bins), the last two the number and histogram of shingles; ``same`` is equal for texts with equal words; texts without words have none."""
     kind = table.schema["doc_id"].dataType
-    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("same", pa.string()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("same", pa.string()), ("sketch", pa.list_(pa.int64())),
+                        ("n", pa.int64()), ("bins", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, out = [], []
+            same, out, n, bins = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = words(text)
+                s = shingles(found, size)
                 same.append(hashlib.blake2b(b" ".join(found), digest_size=16).hexdigest() if found else None)
-                out.append(sketch(shingles(found, size), sketches, taken).view(np.int64) if found else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema[1].type), pa.array(same, pa.string()), pa.array(out, schema[3].type)], schema=schema)
+                out.append(sketch(s, sketches, taken).view(np.int64) if found else None)
+                n.append(len(s))
+                bins.append(histogram(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema[1].type), pa.array(same, pa.string()), pa.array(out, schema[3].type),
+                                              pa.array(n, pa.int64()), pa.array(bins, pa.binary())], schema=schema)
+
+    return table.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>, n long, bins binary")
+
+
+def possible(pairs: DataFrame, signs: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that lengths and histograms don't rule out. ``signs``: (row, n, bins), kept by row, so only the pairs and
+    the histogram of one side move."""
+    a, b = (signs.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in ("a", "b"))
+    both = pairs.join(a, "a").join(b, "b").filter(near_lengths(F.col("n_a"), F.col("n_b"), least)).select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+    top, bottom = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, bins_a, bins_b = (c.to_pylist() for c in batch.columns[2:])
+            stay = [(top + bottom) * common_at_most(x, y) >= top * (n + m) for n, m, x, y in zip(n_a, n_b, bins_a, bins_b)]
+            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
 
-    return table.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>")
+def near_pairs(pairs: DataFrame, table: DataFrame, signs: DataFrame, size: int, least: tuple[int, int]) -> tuple[DataFrame, int]:
+    """(a, b): the near ones of ``pairs``, written, and how many the bounds left to compare."""
+    left = written(possible(pairs, signs, least), "possible")
+    return written(compared(left, table, size, least).filter("near").select("a", "b"), "near"), left.count()
 
 
 def compared(pairs: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
@@ -167,46 +217,49 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
-    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, sketch).
+def linked(reps: DataFrame, table: DataFrame, signs: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
+    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch), ``signs``: (row, n, bins).
 
-    In each round every bucket has ``CENTRES`` centres, the smallest row first and then others by turns, and its members are
-    compared with those they are not yet connected to. Found links join whole labels, so the graph
-    of a round is only as large as what it newly connects. No pair is compared twice. When a round finds nothing, or little is left
-    apart, ``remaining`` finds every other near pair of the buckets that hold more than one label.
+    In each round every bucket that holds several labels has one centre, the smallest row first and then a label by turns. A member
+    meets the centres of its buckets that have another label and a length that fits, and is compared with the one it meets in
+    most buckets: one comparison a member. Found links join whole labels, so the graph of a round is only as large as
+    what it newly connects. No pair is compared twice. When few comparisons link any more, ``remaining`` finds every other near
+    pair of the buckets that hold more than one label.
     """
-    member = reps.select("row", F.posexplode("sketch")).select("row", F.xxhash64("pos", "col").alias("bucket"))
+    member = reps.select("row", "n", F.posexplode("sketch")).select("row", "n", F.xxhash64("pos", "col").alias("bucket"))
     shared = member.groupBy("bucket").count().filter("count > 1").select("bucket")
     member = written(member.join(shared, "bucket"), "members")
+    signs = by_row(signs.join(member.select("row").distinct(), "row", "left_semi"), "signs")
     tried, label, turn = None, None, 0
     while True:
         named = labelled(member, label)
-        orders = [F.struct((F.col("row") if not turn + k else F.xxhash64("row" if k % 2 else "label", F.lit(CENTRES * turn + k))).alias("order"), "row", "label")
-                  for k in range(CENTRES)]
-        centre = named.groupBy("bucket").agg(*[F.min(o).alias(f"c{k}") for k, o in enumerate(orders)]).select("bucket", F.explode(F.array_distinct(F.array(
-            *[F.struct(F.col(f"c{k}.row").alias("c"), F.col(f"c{k}.label").alias("c_label")) for k in range(CENTRES)]))).alias("c"))
-        met = named.join(centre.select("bucket", "c.*"), "bucket").filter("label != c_label")
-        pairs = met.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
+        order = F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.lit(0), F.col("row"), F.col("n"), F.col("label"))
+        centre = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min(order).alias("c")).filter("first != last")
+        centre = written(centre.select("bucket", F.col("c.row").alias("c"), F.col("c.n").alias("c_n"), F.col("c.label").alias("c_label")), "centres")
+        met = (named.join(centre, "bucket").filter((F.col("label") != F.col("c_label")) & near_lengths(F.col("n"), F.col("c_n"), least))
+               .groupBy("row", "c").agg(F.count(F.lit(1)).alias("times")))
+        met = met.select("row", "c", "times", F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b"))
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        near = written(compared(pairs, table, size, least), "compared").filter("near").select("a", "b")
+            met = met.join(tried, ["a", "b"], "left_anti")
+        best = met.groupBy("row").agg(F.max_by(F.struct("a", "b"), F.struct("times", -F.col("c"))).alias("best"))
+        pairs = written(best.select("best.a", "best.b").distinct(), "pairs")
+        near, count = near_pairs(pairs, table, signs, size, least)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = not near.isEmpty()
-        if found:
+        links = near.count()
+        if links:
             label = written(joined(near, label), "joined")
-            turn += 1
-        held = labelled(member, label).groupBy("bucket", "label").count().groupBy("bucket").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("alike"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        held = written(held.select("bucket", "n", ((F.col("n") * F.col("n") - F.col("alike")) / 2).alias("apart")), "held")
-        left = held.agg(F.sum("apart").alias("apart"), F.sum("n").alias("n")).first()
-        if not left["n"]:
-            return label
-        if not found or left["apart"] <= APART * left["n"]:
+        if WORTH * links < count or not count:
             break
-    apart = written(labelled(member, label).join(held.select("bucket"), "bucket", "left_semi").select("row", "label").distinct(), "apart")
-    pairs = written(remaining(apart, table, size, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    near = written(compared(pairs, table, size, least), "compared").filter("near").select("a", "b")
+        turn += 1
+    named = labelled(member, label)
+    held = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select("bucket")
+    apart = written(named.join(held, "bucket", "left_semi").select("row", "label").distinct(), "apart")
+    if apart.isEmpty():
+        return label
+    pairs = remaining(apart, table, size, least)
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    near, _ = near_pairs(written(pairs, "pairs"), table, signs, size, least)
     return label if near.isEmpty() else written(joined(near, label), "joined")
 
 
@@ -245,14 +298,16 @@ def remaining(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, i
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # a batch a piece of the texts: at most as many keys as it holds words
+            found = []
             for row, label, body in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingles(words(body), size)
                 n = len(s)
                 longer, shorter = n + top * n // -bottom + 1, n + 2 * top * n // -(top + bottom) + 1
                 first = s[np.lexsort((s, seen[slot(s)]))[:longer]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(first), pa.array(np.full(longer, row)), pa.array(np.full(longer, label)), pa.array(np.full(longer, n)),
-                    pa.array(np.arange(longer)), pa.array(np.arange(longer) < shorter)], names=["key", "row", "label", "n", "at", "shorter"])
+                found.append((first, np.full(longer, row), np.full(longer, label), np.full(longer, n), np.arange(longer), np.arange(longer) < shorter))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "row", "label", "n", "at", "shorter"])
 
     rare = text.mapInArrow(rarest, "key long, row long, label long, n long, at long, shorter boolean")
     rare = written(rare, "rarest")
@@ -298,15 +353,15 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
 def keep_one(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, taken: int = TAKEN, least: tuple[int, int] = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay, the first of each class, with all their columns."""
     table = bucketed(docs, whole=True)
-    return rows_kept(table, classes(table, size, sketches, taken, least).filter("kept"))
+    return rows_kept(table, classes(table, size, sketches, taken, least).filter("kept"), docs.columns)
 
 
 def classes(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
     """``near_dedup`` of a ``bucketed`` table, with row numbers."""
     seen = written(sketched(table, size, sketches, taken), "sketches")
-    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"))
+    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     groups = written(groups, "groups")
-    label = linked(groups.select(F.col("rep").alias("row"), "sketch"), table, size, least)
+    label = linked(groups.select(F.col("rep").alias("row"), "n", "sketch"), table, seen.select("row", "n", "bins"), size, least)
     named = groups.select("same", "rep")
     named = named.withColumn("label", F.col("rep")) if label is None else named.join(
         label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gradelake.llm.shared import texts, written
+from gradelake.llm.shared import quoted, texts, written
 
 STATS = ("bytes_log", "words_log", "lines_log", "word_bytes", "line_words", "upper_share", "digit_share", "symbol_share", "bar_share",
          "shout_share", "stop_share", "comma_share", "space_share", "wide_share", "new_words", "same_next", "top_word", "new_lines",
@@ -205,4 +205,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
     prefix = PREFIX
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    return measured(docs, prefix).filter(model.column(prefix) >= threshold).select(*docs.columns)
+    return measured(docs, prefix).filter(model.column(prefix) >= threshold).select(*map(quoted, docs.columns))

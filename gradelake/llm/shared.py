@@ -45,7 +45,7 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def bucketed(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(row, doc_id, text), and all columns in ``rest`` if ``whole``, as a written table bucketed by row number.
+    """(row, doc_id, text), and all other columns in ``rest`` if ``whole``, as a written table bucketed by row number.
 
     Later steps that bring something back to its document join to this table by ``row``, so that only the small side moves
     and texts stay where they are. ``row`` tells apart rows that are equal in everything. There are as many buckets as
@@ -54,7 +54,8 @@ def bucketed(docs: DataFrame, whole: bool = False) -> DataFrame:
     spark = docs.sparkSession
     name = f"llm_texts_{uuid.uuid4().hex}"
     buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rest = [F.struct(*docs.columns).alias("rest")] if whole else []
+    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")] if whole else []
+    rest = [F.struct(*others).alias("rest")] if others else []
     body = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *rest)
     body.write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
     return spark.table(name)
@@ -65,6 +66,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
 
-def rows_kept(table: DataFrame, kept: DataFrame) -> DataFrame:
-    """The original rows of a whole ``bucketed`` table whose ``row`` is in ``kept``."""
-    return table.join(kept.select("row").hint("shuffle_hash"), "row").select("rest.*")
+def by_row(df: DataFrame, name: str) -> DataFrame:
+    """A written table bucketed by ``row``, one file a bucket: joins by ``row`` move only their other side."""
+    spark = df.sparkSession
+    name = f"llm_{name}_{uuid.uuid4().hex}"
+    buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, "row").write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
+    return spark.table(name)
+
+
+def quoted(name: str) -> str:
+    """A column name as it is, with dots and quotes in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def rows_kept(table: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The original rows of a whole ``bucketed`` table whose ``row`` is in ``kept``, with ``columns`` in their order."""
+    rows = table.join(kept.select("row").hint("shuffle_hash"), "row")
+    return rows.select(*[F.col(c if c in ("doc_id", "text") else f"rest.{quoted(c)}").alias(c) for c in columns])
