@@ -220,17 +220,36 @@ def components(links: DataFrame) -> DataFrame:
 def linked(reps: DataFrame, table: DataFrame, signs: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
     """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch), ``signs``: (row, n, bins).
 
-    In each round every bucket that holds several labels has one centre, the smallest row first and then a label by turns. A member
-    meets the centres of its buckets that have another label and a length that fits, and is compared with the one it meets in
-    most buckets: one comparison a member. Found links join whole labels, so the graph of a round is only as large as
-    what it newly connects. No pair is compared twice. When few comparisons link any more, ``remaining`` finds every other near
-    pair of the buckets that hold more than one label.
+    Rounds of centres join first the classes that agree in sketches. Rows of buckets that then still hold several labels go on by their
+    rarest shingles: rounds of centres again, with a shingle as the bucket, and then ``remaining`` finds every other near pair.
     """
     member = reps.select("row", "n", F.posexplode("sketch")).select("row", "n", F.xxhash64("pos", "col").alias("bucket"))
     shared = member.groupBy("bucket").count().filter("count > 1").select("bucket")
     member = written(member.join(shared, "bucket"), "members")
     signs = by_row(signs.join(member.select("row").distinct(), "row", "left_semi"), "signs")
-    tried, label, turn = None, None, 0
+    label, tried = starred(member, None, None, table, signs, size, least)
+    named = labelled(member, label)
+    held = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select("bucket")
+    apart = written(named.join(held, "bucket", "left_semi").select("row", "label").distinct(), "apart")
+    if apart.isEmpty():
+        return label
+    rare = rarest_shingles(apart, table, size, least)
+    label, tried = starred(rare.select("row", "n", F.col("key").alias("bucket")), label, tried, table, signs, size, least)
+    pairs = remaining(labelled(rare.drop("label"), label), least).join(tried, ["a", "b"], "left_anti")
+    near, _ = near_pairs(written(pairs, "pairs"), table, signs, size, least)
+    return label if near.isEmpty() else written(joined(near, label), "joined")
+
+
+def starred(member: DataFrame, label: DataFrame | None, tried: DataFrame | None, table: DataFrame, signs: DataFrame, size: int,
+            least: tuple[int, int]) -> tuple[DataFrame | None, DataFrame]:
+    """(label, tried) after rounds of centres over ``member`` (row, n, bucket). ``tried``: the pairs (a, b) compared so far.
+
+    In each round every bucket that holds several labels has one centre, the smallest row first and then a label by turns. A member
+    meets the centres of its buckets that have another label and a length that fits, and is compared with the one it meets in
+    most buckets: one comparison a member. Found links join whole labels, so the graph of a round is only as large as
+    what it newly connects. No pair is compared twice. The rounds end when few comparisons link any more.
+    """
+    turn = 0
     while True:
         named = labelled(member, label)
         order = F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.lit(0), F.col("row"), F.col("n"), F.col("label"))
@@ -249,18 +268,8 @@ def linked(reps: DataFrame, table: DataFrame, signs: DataFrame, size: int, least
         if links:
             label = written(joined(near, label), "joined")
         if WORTH * links < count or not count:
-            break
+            return label, tried
         turn += 1
-    named = labelled(member, label)
-    held = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select("bucket")
-    apart = written(named.join(held, "bucket", "left_semi").select("row", "label").distinct(), "apart")
-    if apart.isEmpty():
-        return label
-    pairs = remaining(apart, table, size, least)
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    near, _ = near_pairs(written(pairs, "pairs"), table, signs, size, least)
-    return label if near.isEmpty() else written(joined(near, label), "joined")
 
 
 def labelled(member: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -273,8 +282,8 @@ def slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
-def remaining(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """(a, b): all pairs of rows with different labels that can be near. ``apart``: (row, label).
+def rarest_shingles(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+    """(key, row, label, n, at, shorter): the shingles by which rows with different labels can be near. ``apart``: (row, label).
 
     With shingles in one order for all texts, texts of n <= m shingles that share at least ``need`` = top (n + m) / (top + bottom)
     share one of the first n - need + 1 of the one and the first m - need + 1 of the other. ``need`` is least, for the shorter text,
@@ -313,7 +322,15 @@ def remaining(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, i
     rare = written(rare, "rarest")
     # labels meet first, so that the rows of one label never meet each other
     keys = rare.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
-    rare = written(rare.join(keys, "key", "left_semi"), "shared")
+    return written(rare.join(keys, "key", "left_semi"), "shared")
+
+
+def remaining(rare: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b): all pairs of rows with different labels that can be near by their rarest shingles."""
+    top, bottom = least
+    rare = written(rare, "named")
+    keys = rare.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
+    rare = rare.join(keys, "key", "left_semi")
     one = rare.filter("shorter").select("key", "label").distinct()
     two = rare.select("key", F.col("label").alias("label_b")).distinct()
     labels = one.join(two, "key").filter("label != label_b")
