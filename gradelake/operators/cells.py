@@ -19,12 +19,12 @@ KIND_LETTERS = {
 
 
 def block_cells(tokens: DataFrame, page_grid: DataFrame, col: str = "token", keep: list[str] | None = None) -> DataFrame:
-    """Explode row tokens to in-grid (row, col) cells; bad tokens give none."""
+    """Explode row tokens to in-grid (row, col) cells; bad tokens give none. Joins with the cells are merged, however small the tokens are."""
     keep = keep if keep is not None else [c for c in tokens.columns if c not in ("row", "col", col)]
     t = tokens.join(page_grid.select(*P, "rows", "cols"), P)
     # inline() is a step of its own in the plan, so each token is parsed once
     parsed = t.select(*keep, F.inline(F.array(X.clipped_token(col, "rows", "cols"))))
-    return parsed.filter("row IS NOT NULL").select(*keep, "row", F.explode(F.sequence("c1", "c2")).alias("col"))
+    return parsed.filter("row IS NOT NULL").select(*keep, "row", F.explode(F.sequence("c1", "c2")).alias("col")).hint("merge")
 
 
 def block_page(block_id="block_id") -> Column:

@@ -131,7 +131,7 @@ def grid_response(page_grid: DataFrame, runs: DataFrame, regions: DataFrame, cel
                                       (include_cells, cells, "cells", ["row", "col"])):
         if wanted:
             fields = [c for c in part.columns if c not in ("doc_id", "page", *order)]
-            packed = part.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(name))
+            packed = part.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*order, *fields))).alias(name)).hint("merge")
             out = out.join(packed, ["doc_id", "page"], "left").withColumn(name, F.coalesce(name, F.array().cast(packed.schema[name].dataType)))
     return out
 
