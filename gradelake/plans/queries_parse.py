@@ -104,9 +104,16 @@ def _(t):
     return PA.parse_cover_marks(t.events.select("event_id", raw.alias("raw")), "raw")
 
 
-@query("c26_question_number", r"""
-SELECT doc_id, CASE WHEN n BETWEEN 1 AND 500 THEN n END AS n FROM (SELECT doc_id, TRY_CAST(regexp_extract(regexp_extract(t, '(?im)(?:\b(?:que(?:stion)?|q)\s*[:.\-]?\s*[0-9]{1,3}\b|^\s*\([0-9]{1,3}\)\s*[:.\-])'), '([0-9]{1,3})', 1) AS INT) AS n FROM (
- SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('Question: ', doc_id % 900, ' ', text) WHEN 1 THEN concat('(', doc_id % 90, '): ', text) WHEN 2 THEN concat('q', doc_id % 1000, ' ', text) ELSE text END AS t FROM documents) x) y""")
+# The operator's rule spelled out: word characters, white space and line ends of Unicode, English and Hindi labels; no text has no label.
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+_SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+_LABEL = (rf"(?i)(?:(?:\A|[^{_WORD}])(?:que(?:stion)?|q|प्रश्न){_SPACE}[:.\-]?{_SPACE}[0-9]{{1,3}}(?:[^{_WORD}]|\z)"
+          rf"|(?:\A|[\n\r\x{{85}}\x{{2028}}\x{{2029}}]){_SPACE}\([0-9]{{1,3}}\){_SPACE}[:.\-])")
+
+
+@query("c26_question_number", rf"""
+SELECT doc_id, CASE WHEN n BETWEEN 1 AND 500 THEN n END AS n FROM (SELECT doc_id, TRY_CAST(regexp_extract(regexp_extract(t, '{_LABEL}'), '([0-9]{{1,3}})', 1) AS INT) AS n FROM (
+ SELECT doc_id, CASE WHEN text IS NOT NULL THEN CASE doc_id % 4 WHEN 0 THEN concat('Question: ', doc_id % 900, ' ', text) WHEN 1 THEN concat('(', doc_id % 90, '): ', text) WHEN 2 THEN concat('q', doc_id % 1000, ' ', text) ELSE text END END AS t FROM documents) x) y""")
 def _(t):
     t.documents
     j = t.spark.sql("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('Question: ', doc_id % 900, ' ', text) WHEN 1 THEN concat('(', doc_id % 90, '): ', text)
