@@ -130,13 +130,15 @@ def _(t):
     return C.logical_order(t.fx_questions.withColumn("question_no", label)).select("model_id", "id", "new_pos")
 
 
-_DIGITS = "(SELECT n, n AS n1, (n - 1) // 26 AS n2, ((n - 1) // 26 - 1) // 26 AS n3, (((n - 1) // 26 - 1) // 26 - 1) // 26 AS n4, ((((n - 1) // 26 - 1) // 26 - 1) // 26 - 1) // 26 AS n5 FROM (SELECT p_partkey * 4801 + 18270 AS n FROM part) p)"
+# as many letters as any long takes; six letters and more are beyond every grid, held as 10 ** 9
+_DIGITS = f"(SELECT n, n AS n1, {', '.join(f'(n{k - 1} - 1) // 26 AS n{k}' for k in range(2, 15))} FROM (SELECT p_partkey * 4801 + 18270 AS n FROM part) p)"
 _LETTER = "CASE WHEN {0} > 0 THEN chr(CAST(65 + ({0} - 1) % 26 AS INT)) ELSE '' END"
-_LONG = " || ".join(_LETTER.format(f"n{k}") for k in (5, 4, 3, 2, 1))
+_LONG = " || ".join(_LETTER.format(f"n{k}") for k in range(14, 0, -1))
+_COLUMN = "CAST(CASE WHEN n6 > 0 THEN 1000000000 ELSE n END AS INT)"
 
 
 @query("c1_long_columns", f"""
-SELECT n, {_LONG} AS letters, CAST(n AS INT) AS back, 2 AS r1, 1000000000 AS r2, CAST(n AS INT) AS c2 FROM {_DIGITS} d""")
+SELECT n, {_LONG} AS letters, {_COLUMN} AS back, 2 AS r1, 1000000000 AS r2, {_COLUMN} AS c2 FROM {_DIGITS} d""")
 def _(t):
     j = t.part.select((F.col("p_partkey") * 4801 + 18270).alias("n")).withColumn("letters", X.column_letters("n"))
     b = X.range_bounds(F.concat("letters", F.lit("99999999999:B2")))
