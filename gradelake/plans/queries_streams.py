@@ -21,12 +21,16 @@ def folder(t, name: str) -> str:
 
 
 def replayed(t, rows: DataFrame, pieces: int, *spread: str, last: DataFrame | None = None) -> DataFrame:
-    """The rows as a stream of ``pieces`` micro-batches, dealt by the hash of ``spread``: in no order. The rows of ``last`` come after all."""
+    """The rows as a stream of ``pieces`` micro-batches, dealt by the hash of ``spread``: in no order. The rows of ``last`` come after all.
+
+    A micro-batch is many files, so neither their writing nor their reading falls to a few tasks.
+    """
     path = folder(t, "source")
-    rows.repartition(pieces, *spread).write.parquet(path)
+    rows.repartition(pieces * int(t.spark.conf.get("spark.sql.shuffle.partitions")), *spread).write.parquet(path)
+    files = len(t.spark.read.schema(rows.schema).parquet(path).inputFiles())
     if last is not None:
         last.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // pieces))).parquet(path)
 
 
 def drained(t, stream: DataFrame) -> DataFrame:
