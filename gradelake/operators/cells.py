@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from gradelake.functions import coords as X
 from gradelake.functions.text import page_from_block_id
@@ -241,6 +246,9 @@ def anchor_cells(points: DataFrame, page_grid: DataFrame) -> DataFrame:
 
 #: Finest bins of ``nearest_cells``: 2 ** LEVELS to a side of the page for cells that may hold a point, 2 ** NEAR for the closest centres.
 LEVELS, NEAR = 6, 4
+#: A page with more cells or points than these is crowded: its points and cells are spread over bins.
+PAGE_CELLS, PAGE_POINTS = 4096, 1_000_000
+EDGES = ["x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent"]
 
 
 def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -250,26 +258,114 @@ def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     Of the cells that hold the point the one with the closest centre, else the cell with the closest centre, and (1, 1) on a page without cells; of equally
     close ones the first by row and column. Points off the page move to its edge. Cells without all four edges are left out.
 
-    Both searches are equi joins on bins, spread over the bins of a crowded page. A cell lies in at most four bins of the level that fits its size, so a
+    Points and cells are stored once and shuffled once, by page: a task keeps the cells of one page and reads its points as a stream. Crowded pages
+    (see ``PAGE_CELLS`` and ``PAGE_POINTS``) are spread over bins instead.
+    """
+    spots = stored(points.select(F.struct(*points.columns).alias("_row"), *P, _on_page(F.col("x_percent")).alias("_x"), _on_page(F.col("y_percent")).alias("_y")), "spots")
+    whole = stored(cells.dropna(subset=[*P, *EDGES]).select(*P, "row", "col", *EDGES), "loose-cells")
+    crowded = stored(_pages_above(whole, PAGE_CELLS).unionByName(_pages_above(spots, PAGE_POINTS)).distinct(), "crowded-pages")
+    if crowded.isEmpty():
+        found = _nearest_by_page(spots, whole)
+    else:
+        few = [df.join(crowded, P, "left_anti") for df in (spots, whole)]
+        many = [df.join(crowded, P, "left_semi") for df in (spots, whole)]
+        found = _nearest_by_page(*few).unionByName(_nearest_by_bins(*many))
+    return found.select("_row.*", F.coalesce("best_row", F.lit(1)).alias("anchor_row"), F.coalesce("best_col", F.lit(1)).alias("anchor_col"))
+
+
+def _on_page(c) -> Column:
+    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
+
+
+def _pages_above(df: DataFrame, most: int) -> DataFrame:
+    return df.dropna(subset=P).groupBy(*P).count().filter(F.col("count") > most).select(*P)
+
+
+def _nearest_by_page(spots: DataFrame, whole: DataFrame) -> DataFrame:
+    """(_row, best_row, best_col) of spots; the cells of a page come first in its stream, ordered by row and column."""
+    far = F.lit(float("inf"))
+    a, b, c, d = (F.col(e) for e in EDGES)
+    sides = [F.nanvl(e.cast("double"), far).alias(e_) for e, e_ in zip((a, b, c, d), EDGES)]
+    first = whole.select(*P, F.lit(0).alias("_k"), "row", "col", *sides, F.nanvl((a + b) / 2.0, far).alias("_x"), F.nanvl((c + d) / 2.0, far).alias("_y"))
+    # an explicit number keeps small but compute-heavy shuffles from being merged into one task
+    tasks = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = first.unionByName(spots.select(*P, F.lit(1).alias("_k"), "_x", "_y", "_row"), allowMissingColumns=True)
+    stream = both.repartition(tasks, *P).sortWithinPartitions(*P, "_k", "row", "col")
+    schema = StructType([spots.schema["_row"], *[StructField(f"best_{c}", whole.schema[c].dataType) for c in ("row", "col")]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = np.flatnonzero(batch["_k"].to_numpy())
+            best = {"row": [], "col": []}
+            for lo, hi in _page_parts(batch):
+                now = (batch["doc_id"][lo].as_py(), batch["page"][lo].as_py())
+                if now != page:
+                    page, held = now, []
+                cut = hi - int(np.searchsorted(points, hi) - np.searchsorted(points, lo))  # cells from lo, points from there
+                if cut > lo:
+                    held.append(batch.slice(lo, cut - lo))
+                if hi > cut:
+                    held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if len(held) > 1 else held
+                    for name, values in zip(best, _closest(held, batch["_x"].to_numpy()[cut:hi], batch["_y"].to_numpy()[cut:hi], arrow)):
+                        best[name].append(values)
+            if len(points):
+                rows = [pa.concat_arrays(best[name]) for name in best]
+                yield pa.RecordBatch.from_arrays([batch["_row"].take(pa.array(points)).cast(arrow.field(0).type), *rows], schema=arrow)
+
+    return stream.mapInArrow(run, schema)
+
+
+def _page_parts(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """First row and end of each page in a batch that is sorted by page."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[0] = True
+    for name in P:
+        codes = np.asarray(batch[name].dictionary_encode(null_encoding="encode").indices)
+        new[1:] |= codes[1:] != codes[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return list(zip(starts, [*starts[1:], batch.num_rows]))
+
+
+def _closest(held: list[pa.RecordBatch], x: np.ndarray, y: np.ndarray, arrow: pa.Schema, block: int = 1 << 20) -> list[pa.Array]:
+    """Row and column of the best cell for each point of a page; nulls where the page has no cells."""
+    if not held:
+        return [pa.nulls(len(x), arrow.field(k).type) for k in (1, 2)]
+    cells = held[0]
+    x1, x2, y1, y2, cx, cy = (cells[c].to_numpy()[None, :] for c in (*EDGES, "_x", "_y"))
+    best, step = np.empty(len(x), dtype=np.int64), max(1, block // cells.num_rows)
+    for lo in range(0, len(x), step):
+        px, py = x[lo:lo + step, None], y[lo:lo + step, None]
+        # squares beyond all numbers stay behind the others, and before those of cells that do not hold the point
+        with np.errstate(over="ignore"):
+            away = np.minimum((cx - px) ** 2 + (cy - py) ** 2, 1e300)
+        holds = (x1 <= px) & (px <= x2) & (y1 <= py) & (py <= y2)
+        away[holds.any(axis=1)[:, None] & ~holds] = np.inf
+        best[lo:lo + step] = away.argmin(axis=1)  # the first of equals
+    return [cells[c].take(pa.array(best)).cast(arrow.field(k).type) for k, c in ((1, "row"), (2, "col"))]
+
+
+def _nearest_by_bins(spots: DataFrame, whole: DataFrame) -> DataFrame:
+    """(_row, best_row, best_col) of spots by equi joins on bins, which spread a crowded page.
+
+    A cell lies in at most four bins of the level that fits its size, so a
     point looks for its holders in one bin per level. The closest centre is looked for in the three by three bins around the point, on ever
     coarser levels: what is found within one bin's width is settled, and only the rest goes on.
     """
-    edges = ["x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent"]
-
-    def at(c) -> Column:
-        return F.least(F.lit(100.0), F.greatest(F.lit(0.0), c))
-
     def bin_of(c, level) -> Column:
         n = F.pow(F.lit(2.0), level)
-        return F.least(n - 1, F.floor(at(c) / 100.0 * n)).cast("int")
+        return F.least(n - 1, F.floor(_on_page(c) / 100.0 * n)).cast("int")
 
     def away(x: str, y: str) -> Column:
         return F.pow(F.col("cx") - F.col(x), F.lit(2.0)) + F.pow(F.col("cy") - F.col(y), F.lit(2.0))
 
-    spots = stored(points.select(F.monotonically_increasing_id().alias("_id"), F.struct(*points.columns).alias("_row"), *P,
-                                 at(F.col("x_percent")).alias("_x"), at(F.col("y_percent")).alias("_y")), "spots")
-    whole = cells.dropna(subset=edges).select(*P, "row", "col", *edges, ((F.col(edges[0]) + F.col(edges[1])) / 2.0).alias("cx"), ((F.col(edges[2]) + F.col(edges[3])) / 2.0).alias("cy"))
-    size = F.greatest(at(F.col(edges[1])) - at(F.col(edges[0])), at(F.col(edges[3])) - at(F.col(edges[2])), F.lit(0.0))
+    edges = EDGES
+    spots = stored(spots.withColumn("_id", F.monotonically_increasing_id()), "crowded-spots")
+    whole = whole.withColumns({"cx": (F.col(edges[0]) + F.col(edges[1])) / 2.0, "cy": (F.col(edges[2]) + F.col(edges[3])) / 2.0})
+    size = F.greatest(_on_page(F.col(edges[1])) - _on_page(F.col(edges[0])), _on_page(F.col(edges[3])) - _on_page(F.col(edges[2])), F.lit(0.0))
     level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(100.0 / F.greatest(size, F.lit(0.001)))).cast("int")))
     bins = whole.withColumn("level", level).filter((F.col(edges[0]) <= F.col(edges[1])) & (F.col(edges[2]) <= F.col(edges[3])))
     bins = bins.withColumn("bx", F.explode(F.sequence(bin_of(F.col(edges[0]), F.col("level")), bin_of(F.col(edges[1]), F.col("level"))))).withColumn(
@@ -293,4 +389,4 @@ def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
         found.append(tried.filter(settled).select("_id", "best"))
         open_ = tried.filter(~settled).drop("best")
     every = reduce(lambda a, b: a.unionByName(b), found)
-    return spots.join(every, "_id", "left").select("_row.*", F.coalesce("best.row", F.lit(1)).alias("anchor_row"), F.coalesce("best.col", F.lit(1)).alias("anchor_col"))
+    return spots.join(every, "_id", "left").select("_row", F.col("best.row").alias("best_row"), F.col("best.col").alias("best_col"))

@@ -100,3 +100,27 @@ def test_nearest_cells_has_no_cross_join(spark):
     plan = CE.nearest_cells(spark.createDataFrame([("d", 1, 0, 5.0, 5.0, 7, "x")], SPOT), spark.createDataFrame([("d", 1, 1, 1, 0.0, 1.0, 0.0, 1.0)], CELL))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_nearest_cells_on_crowded_pages(spark, monkeypatch):
+    """Pages spread over bins and pages in one stream give the same, together in one table."""
+    rng = random.Random(12)
+    cells = [("d", page, k // 10, k % 10, x, x + rng.choice([0, 1, 30]), y, y + rng.choice([0, 1, 30]))
+             for page, many in ((1, 90), (2, 20), (3, 0)) for k in range(many) for x, y in [(rng.randint(0, 99), rng.randint(0, 99))]]
+    cells = [(*c[:4], *map(float, c[4:])) for c in cells] + [(None, 1, 5, 5, 0.0, 100.0, 0.0, 100.0)]
+    spots = [("d", rng.randint(1, 3), n, float(rng.randint(-5, 110)), float(rng.randint(-5, 110)), 7, "x") for n in range(300)] + [(None, 1, 900, 5.0, 5.0, 7, "x")]
+    monkeypatch.setattr(CE, "PAGE_CELLS", 50)
+    for most in (1_000_000, 110):  # then page 2 or 3 may be crowded by its points
+        monkeypatch.setattr(CE, "PAGE_POINTS", most)
+        got = CE.nearest_cells(spark.createDataFrame(spots, SPOT).repartition(3), spark.createDataFrame(cells, CELL).repartition(3)).collect()
+        assert len(got) == len(spots)
+        for r in got:
+            assert (r["anchor_row"], r["anchor_col"]) == (closest(cells, r["doc_id"], r["page"], r["x_percent"], r["y_percent"]) if r["doc_id"] else (1, 1)), r
+
+
+def test_nearest_cells_moves_a_point_once(spark):
+    spots = spark.range(300).selectExpr("id % 3 AS doc_id", "1 AS page", "double(id % 100) AS x_percent", "double(id % 90) AS y_percent")
+    cells = spark.range(60).selectExpr("id % 3 AS doc_id", "1 AS page", "int(id) AS row", "1 AS col", "double(id) AS x_start_percent", "id + 5D AS x_end_percent",
+                                       "double(id) AS y_start_percent", "id + 5D AS y_end_percent")
+    plan = CE.nearest_cells(spots, cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and "Join" not in plan
