@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradelake.functions import coords as X
+from gradelake.functions import dominance
 from gradelake.functions.dominance import overlap_degrees
 from gradelake.operators import quality as Q
 
@@ -115,3 +116,23 @@ def test_report_reads_the_violations_once(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     final = text.split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") >= 1
+
+
+def test_rects_are_parsed_once(spark):
+    """The rows are read twice; whatever makes their boxes runs once."""
+    tokens = spark.range(20).selectExpr("id % 2 AS doc_id", "1 AS page", "id AS annotation_index", "concat('A', 1 + id, ':C', 2 + id) AS t")
+    found = Q.annotation_overlaps(tokens.select("doc_id", "page", "annotation_index", X.range_bounds("t").alias("box")))
+    assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["overlaps"] for r in found.collect()} == {0}
+
+
+def test_small_and_large_groups_are_counted_alike(monkeypatch):
+    rng = random.Random(5)
+    group = np.array([0] * 30 + [1] * 3 + [2] * 60 + [0] * 5, dtype=np.int64)
+    r1, c1, r2, c2 = np.array(boxes(rng, len(group), 15, 5), dtype=np.int64).T
+    often = np.array([rng.randint(1, 3) for _ in group], dtype=np.int64)
+    every = []
+    for small in (0, 40, 256):
+        monkeypatch.setattr(dominance, "SMALL", small)
+        every.append(overlap_degrees(group, r1, r2, c1, c2, often).tolist())
+    assert every[0] == every[1] == every[2]
