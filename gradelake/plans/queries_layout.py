@@ -271,9 +271,7 @@ def masks(t):
 
 
 def free_masks(t):
-    occupied = CE.block_cells(t.fx_blocks, t.fx_page_grid, keep=P)
-    free = CE.free_cells(t.fx_cells, occupied).withColumn("writable", F.lit(True))
-    return G.page_masks(free, t.fx_page_grid)
+    return G.page_masks(t.fx_cells, t.fx_page_grid, taken=CE.block_cells(t.fx_blocks, t.fx_page_grid, keep=P))
 
 
 def place_input(t):
