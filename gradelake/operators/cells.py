@@ -14,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 
 from gradelake.functions import coords as X
 from gradelake.functions.text import page_from_block_id
-from gradelake.operators.grid import GRID_COLUMNS, P
+from gradelake.operators.grid import GRID_COLUMNS, P, page_parts
 from gradelake.sources.stages import stored
 
 # One letter per block kind.
@@ -301,7 +301,7 @@ def _nearest_by_page(spots: DataFrame, whole: DataFrame) -> DataFrame:
                 continue
             points = np.flatnonzero(batch["_k"].to_numpy())
             best = {"row": [], "col": []}
-            for lo, hi in _page_parts(batch):
+            for lo, hi in page_parts(batch):
                 now = (batch["doc_id"][lo].as_py(), batch["page"][lo].as_py())
                 if now != page:
                     page, held = now, []
@@ -319,17 +319,6 @@ def _nearest_by_page(spots: DataFrame, whole: DataFrame) -> DataFrame:
     return stream.mapInArrow(run, schema)
 
 
-def _page_parts(batch: pa.RecordBatch) -> list[tuple[int, int]]:
-    """First row and end of each page in a batch that is sorted by page."""
-    new = np.zeros(batch.num_rows, dtype=bool)
-    new[0] = True
-    for name in P:
-        codes = np.asarray(batch[name].dictionary_encode(null_encoding="encode").indices)
-        new[1:] |= codes[1:] != codes[:-1]
-    starts = np.flatnonzero(new).tolist()
-    return list(zip(starts, [*starts[1:], batch.num_rows]))
-
-
 def _closest(held: list[pa.RecordBatch], x: np.ndarray, y: np.ndarray, arrow: pa.Schema, block: int = 1 << 20) -> list[pa.Array]:
     """Row and column of the best cell for each point of a page; nulls where the page has no cells."""
     if not held:

@@ -13,20 +13,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from gradelake.functions import coords as X
 from gradelake.operators.grid import GRID_COLUMNS, P, RULES, connected_labels
 
 
 def rasters_from_pixels(pixels: DataFrame) -> DataFrame:
-    """Pack a pixel table into one raster per page (for tests and small pages)."""
-    line = pixels.groupBy(*P, "y").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("v"))
-    text = F.concat_ws("", F.transform("v", lambda p: F.lpad(F.hex(p["value"]), 2, "0")))
-    rows = line.select(*P, "y", F.size("v").alias("w"), text.alias("t"))
-    page = rows.groupBy(*P).agg(
-        F.count(F.lit(1)).cast("int").alias("height"), F.max("w").alias("width"), F.array_sort(F.collect_list(F.struct("y", "t"))).alias("l"))
-    return page.select(*P, "height", "width", F.unhex(F.concat_ws("", F.transform("l", lambda r: r["t"]))).alias("data"))
+    """Pack a pixel table into one raster per page (for tests and small pages); y and x start from 0, values lie in 0..255.
+
+    The pixels of a page are gathered once, as numbers that sort by y, x and value. Height and width are the number of
+    pixel rows and the most pixels of a row.
+    """
+    place = F.shiftleft(F.col("y").cast("long"), 40) + F.shiftleft(F.col("x").cast("long"), 8) + F.col("value")
+    page = pixels.groupBy(*P).agg(F.collect_list(place).alias("l"))
+    return page.withColumn("_r", _raster("l")).select(*P, "_r.height", "_r.width", "_r.data")
+
+
+@F.arrow_udf(StructType([StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("data", BinaryType())]))
+def _raster(places: pa.Array) -> pa.Array:
+    ends = np.asarray(places.offsets)
+    every = places.values.to_numpy()
+    height, width, data = [], [], []
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        place = np.sort(every[lo:hi])
+        first = np.flatnonzero(np.diff(place >> 40, prepend=-1))
+        height.append(len(first))
+        width.append(int(np.diff(first, append=hi - lo).max(initial=0)))
+        data.append((place & 255).astype(np.uint8).tobytes())
+    return pa.StructArray.from_arrays([pa.array(height, pa.int32()), pa.array(width, pa.int32()), pa.array(data, pa.binary())], ["height", "width", "data"])
 
 
 #: Weights of red, green and blue in a gray value, in thousandths.
@@ -63,20 +78,32 @@ def rasters_from_images(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made, images.select(*P, F.col("image.origin").alias("origin"), reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-def _per_page(df: DataFrame, schema: str, fn: Callable[[dict, np.ndarray], dict[str, np.ndarray] | None]) -> DataFrame:
-    """Apply fn(row, gray) to each raster; fn gives equally long columns without doc_id and page."""
+def _per_page(df: DataFrame, schema: str, fn: Callable[[dict, np.ndarray], dict[str, np.ndarray] | None], most: int = 50_000) -> DataFrame:
+    """Apply fn(row, gray) to each raster; fn gives equally long columns without doc_id and page. Pages are handed on ``most`` rows at a time."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    def handed(pages: list[tuple], parts: list[dict[str, np.ndarray]], sizes: list[int]) -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.arange(len(pages)), sizes))
+        keys = {k: pa.array([p[i] for p in pages], type=arrow.field(k).type).take(at) for i, k in enumerate(P)}
+        return pa.RecordBatch.from_arrays(
+            [keys[f.name] if f.name in keys else pa.array(np.concatenate([p[f.name] for p in parts]), type=f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages, parts, sizes = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 gray = np.frombuffer(row["data"], dtype=np.uint8).reshape(row["height"], row["width"])
                 cols = fn(row, gray)
                 if cols is None:
                     continue
-                n = len(next(iter(cols.values())))
-                cols = {"doc_id": np.full(n, row["doc_id"]), "page": np.full(n, row["page"]), **cols}
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+                pages.append((row["doc_id"], row["page"]))
+                parts.append(cols)
+                sizes.append(len(next(iter(cols.values()))))
+                if sum(sizes) >= most:
+                    yield handed(pages, parts, sizes)
+                    pages, parts, sizes = [], [], []
+        if pages:
+            yield handed(pages, parts, sizes)
 
     return df.mapInArrow(run, schema)
 

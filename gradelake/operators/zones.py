@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gradelake.functions import coords as X
-from gradelake.operators.grid import P
+from gradelake.operators.grid import P, page_parts
 from gradelake.operators.keyed import split_rank, top_k
+from gradelake.operators.stateful import run_sequential
+from gradelake.sources.stages import stored
 
 ZONE_FIELDS = ["x_start_percent", "x_end_percent", "y_start_percent", "y_end_percent", "score", "row0", "col0"]
 
@@ -129,27 +136,29 @@ def assign_zones(annotations: DataFrame, zones: DataFrame, gap: float = 8.0, cap
     cols = ["annotation_index", "y_position_percent"]
     slim = annotations.select(*keys, *cols).withColumn("_y", F.coalesce("y_position_percent", F.lit(50.0)))
     ranked = split_rank(slim, keys, ["_y", "annotation_index"], [F.floor(F.col("_y") * 10.0)], "_turn")
-    bundle = zones_by_page(zones).withColumn("_room", F.size("zones") * cap)
-    first = ranked.join(bundle, P).filter(F.col("_turn") <= F.col("_room"))
+    # read twice; merged, since a file of a few megabytes unpacks to far more
+    bundle = stored(zones_by_page(zones).withColumn("_room", F.size("zones") * cap), "zones").hint("merge")
+    first = ranked.join(bundle.select(*P, "_room"), P).filter(F.col("_turn") <= F.col("_room"))
     types = dict(annotations.dtypes)
-    names = [*keys, "annotation_index", "z_y", "z_x1", "z_x2", "z_score"]
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "annotation_index"]) + ", z_y double, z_x1 double, z_x2 double, z_score double"
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_turn")
-        zs = sorted(pdf["zones"].iloc[0], key=lambda z: (z["y_start_percent"], z["zone_pos"]))
-        used, ys, out = [0] * len(zs), [], []
-        for row in pdf.itertuples(index=False):
-            k = choose_zone(zs, used, ys, row.y, gap, cap, max_shift)
-            used[k] += 1
-            ys.append(zs[k]["y"])
-            z = zs[k]
-            out.append((*(getattr(row, c) for c in keys), row.annotation_index, round(z["y"], 2), z["x_start_percent"],
-                        z["x_end_percent"], round(z["score"], 4)))
-        return pd.DataFrame(out, columns=names)
-
-    turns = first.select(*keys, "annotation_index", F.col("_y").alias("y"), "zones", "_turn")
-    placed = turns.groupBy(*keys).applyInPandas(place, schema)
+    def start(h: dict) -> tuple[list, list, list]:
+        zs = sorted(h["zones"], key=lambda z: (z["y_start_percent"], z["zone_pos"]))
+        return zs, [0] * len(zs), []
+
+    def place(state: tuple[list, list, list], row: dict) -> dict:
+        zs, used, ys = state
+        k = choose_zone(zs, used, ys, row["y"], gap, cap, max_shift)
+        used[k] += 1
+        z = zs[k]
+        ys.append(z["y"])
+        return {**{c: row[c] for c in [*keys, "annotation_index"]}, "z_y": round(z["y"], 2), "z_x1": z["x_start_percent"], "z_x2": z["x_end_percent"],
+                "z_score": round(z["score"], 4)}
+
+    turns = first.select(*keys, "annotation_index", F.col("_y").alias("y"), "_turn")
+    # zones come once for each group, ahead of its rows
+    headers = slim.select(*keys).distinct().join(bundle.select(*P, "zones"), P).select(*keys, "zones")
+    placed = run_sequential(turns, headers, keys, ["_turn"], schema, start, place)
     hit = F.col("z_y").isNotNull()
     return annotations.join(placed, [*keys, "annotation_index"], "left").withColumns({
         "y_position_percent": F.coalesce("z_y", "y_position_percent"),
@@ -190,20 +199,43 @@ def diverse_points(candidates: DataFrame, n: int = 10, spacing: float = 12.0, ma
               "y_start_percent double, y_end_percent double, score double")
     half_h, half_w = 50.0 / sample_rows, 50.0 / sample_cols
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = []
-        for row in pdf.sort_values(["proximity", "pos"]).itertuples(index=False):
-            if all(((row.y_pct - t.y_pct) ** 2 + (row.x_pct - t.x_pct) ** 2) ** 0.5 >= spacing for t in taken):
-                taken.append(row)
-                if len(taken) >= n:
-                    break
-        out = [(t.doc_id, t.page, i, round(max(0.0, t.x_pct - half_w), 2), round(min(100.0, t.x_pct + half_w), 2),
-                round(max(0.0, t.y_pct - half_h), 2), round(min(100.0, t.y_pct + half_h), 2), round(1.0 - t.proximity, 4))
-               for i, t in enumerate(taken, start=1)]
-        return pd.DataFrame(out, columns=["doc_id", "page", "pick", "x_start_percent", "x_end_percent", "y_start_percent",
-                                          "y_end_percent", "score"])
-
-    return candidates.filter(F.col("proximity") <= max_prox).groupBy(*P).applyInPandas(pick, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def clear(taken: list[tuple], y: np.ndarray, x: np.ndarray, near: np.ndarray) -> None:
+        """Take the first points that keep their distance from all taken ones."""
+        free = np.ones(len(y), dtype=bool)
+        for ty, tx, _ in taken:
+            free &= np.sqrt((y - ty) ** 2 + (x - tx) ** 2) >= spacing
+        while len(taken) < n and free.any():
+            k = int(free.argmax())
+            taken.append((float(y[k]), float(x[k]), float(near[k])))
+            free &= np.sqrt((y - y[k]) ** 2 + (x - x[k]) ** 2) >= spacing
+            free[k] = False  # also without spacing
+
+    def shaped(done: list[tuple]) -> pa.RecordBatch:
+        out = [(doc, page, i, round(max(0.0, x - half_w), 2), round(min(100.0, x + half_w), 2), round(max(0.0, y - half_h), 2),
+                round(min(100.0, y + half_h), 2), round(1.0 - near, 4))
+               for (doc, page), taken in done for i, (y, x, near) in enumerate(taken, start=1)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []  # the last page may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y, x, near = (batch[c].to_numpy(zero_copy_only=False) for c in ("y_pct", "x_pct", "proximity"))
+            for lo, hi in page_parts(batch):
+                at = (batch["doc_id"][lo].as_py(), batch["page"][lo].as_py())
+                if not done or done[-1][0] != at:
+                    done.append((at, []))
+                clear(done[-1][1], y[lo:hi], x[lo:hi], near[lo:hi])
+            yield shaped(done[:-1])
+            done = done[-1:]
+        yield shaped(done)
+
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = candidates.filter(F.col("proximity") <= max_prox).select(*P, "proximity", "pos", "y_pct", "x_pct").repartition(tasks, *P)
+    return near.sortWithinPartitions(*P, "proximity", F.col("pos").asc_nulls_last()).mapInArrow(pick, schema)
 
 
 def otsu(pixel_hist: DataFrame) -> DataFrame:
