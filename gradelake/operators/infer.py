@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gradelake.operators.keyed import last_wins
 from gradelake.sources.manifest import PartTable
@@ -20,7 +22,7 @@ def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schem
            in_flight: int = 1, wait: float = 0.0, longest_wait: float = 30.0) -> DataFrame:
     """Call ``fn`` on every row; a row whose calls all fail becomes an error row.
 
-    ``fn`` gets the row as a dict and returns the output columns. The result has
+    ``fn`` gets the row as a dict, None for null, and returns the output columns. The result has
     the keys, the output columns, ``tries`` and ``error`` (null when fine). The
     job never fails because of a bad row.
 
@@ -34,6 +36,7 @@ def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schem
     types = dict(df.dtypes)
     names = [part.strip().split()[0] for part in out_schema.split(",")]
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + f", {out_schema}, tries int, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def call(row: dict) -> dict:
         error, pause = None, wait
@@ -48,12 +51,12 @@ def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schem
                 pause = min(2 * pause, longest_wait)
         return {**{k: row[k] for k in keys}, **{k: None for k in names}, "tries": attempts, "error": error}
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for pdf in batches:
-            for at in range(0, len(pdf), piece):
-                yield from pdf.iloc[at: at + piece].to_dict("records")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, piece):
+                yield from batch.slice(at, piece).to_pylist()
 
-    def replies(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    def replies(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         if in_flight == 1:
             yield from map(call, rows(batches))
             return
@@ -70,12 +73,12 @@ def enrich(df: DataFrame, fn: Callable[[dict], dict], keys: list[str], out_schem
                 for open_call in going:
                     open_call.cancel()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = replies(batches)
         while out := list(islice(source, piece)):
-            yield pd.DataFrame(out, columns=[*keys, *names, "tries", "error"])
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def enrich_open(df: DataFrame, table: PartTable, fn: Callable[[dict], dict], keys: list[str], out_schema: str, **how) -> DataFrame:

@@ -56,3 +56,17 @@ def test_rasters_are_packed_in_one_step(spark):
     assert got == {page: (*sizes[page], bytes(v for line in lines for v in line)) for page, lines in values.items()}
     ink = RA.raster_ink(packed).groupBy("doc_id", "page").count().collect()  # pages of different length in one batch
     assert {(r["doc_id"], r["page"]) for r in ink} <= set(sizes)
+
+
+def test_calls_see_plain_values_and_no_frames(spark):
+    from gradelake.operators import infer
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i, None if i % 2 else "x") for i in range(100)], "id long, n long, t string")
+
+    def kinds(row):
+        return {"n": type(row["n"]).__name__, "t": type(row["t"]).__name__, "twice": row["n"] and 2 * row["n"]}
+
+    out = infer.enrich(df, kinds, ["id"], "n string, t string, twice double", piece=7, in_flight=3)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["n"], r["t"], r["twice"], r["error"]) for r in out.collect()}
+    assert got == {i: ("NoneType" if i % 3 == 0 else "int", "NoneType" if i % 2 else "str", None if i % 3 == 0 else 2.0 * i, None) for i in range(100)}
