@@ -3,40 +3,41 @@
 The shingles of a text (five words) get the number of their occurrence, so all are
 different. One of ``SKETCHES`` sketches takes the ``TAKEN`` shingles with the least hash and keeps them in text
 order: texts agree in it when they share these shingles in this order, which follows edit similarity.
-Texts that agree in a sketch meet in a bucket. In each round a member is compared with one bucket centre, the one it agrees with most
-often, which joins the large classes without listing their pairs; members of buckets that have come to one class leave. The members of
-buckets that then still hold several classes are compared by an exact prefix filter: of two near texts the rarest shingles
-of one, by a fixed order, hold one of the rarest shingles of the other.
-Lengths and small histograms of shingles bound what two texts can have in common, so most pairs that are not near are settled before a
-text moves. Comparison aligns the two shingle sequences within the band that the threshold allows.
+Texts that agree in a sketch meet in a bucket. Four shingles a sketch keep apart most texts that share only passages.
+A shingle that no other text of any bucket has is shared with none: texts with too many of them leave, and what is left of a text bounds its pairs.
+Two of a bucket are a pair only if their lengths and these bounds fit and their signatures, one bit of each of ``BITS`` minimum hashes, differ in few bits;
+so texts that share a passage alone are told apart where they meet, before a text moves. In each round every bucket has one centre, first the text
+with the least of its own, which is near to the most others, and a member is compared with some of the centres it meets, which joins the large classes without listing their pairs; buckets that
+have come to one class leave. Of buckets that then still hold several classes, all pairs of rows of different classes are compared.
+Comparison aligns the two shingle sequences within the band that the threshold allows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gradelake.llm.shared import bucketed, by_row, rows_kept, written
 from gradelake.llm.wordtext import words
 
-SHINGLE, SKETCHES, TAKEN = 5, 16, 2
+SHINGLE, SKETCHES, TAKEN = 5, 31, 4
+#: Texts of up to SHORT shingles have sketches of fewer shingles: of few, four that agree are rare even in near texts.
+SHORT, SHORT_SKETCHES, SHORT_TAKEN = 64, 16, 2
 #: Similarity of at least LEAST[0] / LEAST[1].
 LEAST = (4, 5)
-BLOCK = 1 << 16
-#: Counters of shingles. They only set the order of the prefix filter, which is exact in any order.
-SLOTS = 1 << 18
-#: Rounds of centres go on while at least one of this many comparisons links.
-WORTH = 4
-#: Bins of a text's histogram: about half its shingles, within these limits. A full bin bounds nothing.
-FEWEST, MOST, FULL = 16, 4096, 255
+BLOCK = 1 << 13
+BITS = 128
+#: Rounds of centres go on while at least one of WORTH comparisons links; a member is compared with up to TRIES centres a round.
+WORTH, TRIES = 16, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,24 +70,33 @@ def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return s
 
 
-def sketch(s: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
-    """The sketches of a labelled shingle sequence. Long ones are read in blocks; only least hashes are held."""
-    seeds = SEEDS[:sketches, None]
+def sketch(s: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN, first: int = 0) -> np.ndarray:
+    """Sketches number ``first`` and on of a labelled shingle sequence. Long ones are read in blocks; only least hashes are held."""
+    seeds = SEEDS[first: first + sketches, None]
     best_h, best_at = np.empty((sketches, 0), np.uint64), np.empty((sketches, 0), np.int64)
     for at in range(0, len(s), BLOCK):
-        h = mixed(s[None, at: at + BLOCK] ^ seeds)
+        h = s[None, at: at + BLOCK] * (seeds | np.uint64(1))  # shingles are mixed, so their products are in random order
         k = min(taken, h.shape[1])
         place = np.argpartition(h, k - 1, axis=1)[:, :k]
         best_h = np.concatenate([best_h, np.take_along_axis(h, place, 1)], axis=1)
         best_at = np.concatenate([best_at, place + at], axis=1)
-    order = np.argsort(best_h, axis=1)[:, :taken]
-    place = np.sort(np.take_along_axis(best_at, order, 1), axis=1)
-    out = SEEDS[:sketches].copy()
+    if best_h.shape[1] > taken:
+        best_at = np.take_along_axis(best_at, np.argsort(best_h, axis=1)[:, :taken], 1)
+    place = np.sort(best_at, axis=1)
+    out = seeds[:, 0].copy()
     for k in range(place.shape[1]):
         out = mixed(out * _ODD + s[place[:, k]])
     return out
 
 
+def buckets(s: np.ndarray, sketches: int, taken: int, least: tuple[int, int]) -> np.ndarray:
+    """The sketches by which a text meets others. Of two near texts either both are long, or neither is longer than a near one of ``SHORT`` can be."""
+    top, bottom = least
+    short = top * len(s) <= bottom * SHORT
+    few = [sketch(s, SHORT_SKETCHES, SHORT_TAKEN, sketches)] if short else []
+    return np.concatenate([*few, *([sketch(s, sketches, taken)] if len(s) > SHORT else [])])
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     """Whether the sequences align in enough shingles: common / (all - common) >= least.
 
@@ -114,74 +124,62 @@ def aligned(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return len(chain) >= need
 
 
-def histogram(s: np.ndarray) -> bytes:
-    """How many shingles fall into each bin, a byte each."""
-    bins = min(max(1 << (len(s) // 2).bit_length(), FEWEST), MOST)
-    at = ((s >> np.uint64(20)) & np.uint64(bins - 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=bins), FULL).astype(np.uint8).tobytes()
-
-
-def common_at_most(a: bytes, b: bytes) -> int:
-    """An upper bound of the shingles two texts share, by their histograms. Bins are low bits, so the finer one folds."""
-    x, y = sorted((np.frombuffer(h, np.uint8).astype(np.int64) for h in (a, b)), key=len)
-    x, y = (np.where(h == FULL, 1 << 40, h) for h in (x, y))
-    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+def signature(s: np.ndarray) -> np.ndarray:
+    """One bit of each of ``BITS`` minimum hashes, in two numbers. A bit of two texts differs with probability (1 - J) / 2, J the share of common shingles."""
+    seeds = SEEDS[-BITS:, None] | np.uint64(1)
+    least = np.full(BITS, ~np.uint64(0))
+    for at in range(0, len(s), BLOCK):
+        least = np.minimum(least, (s[None, at: at + BLOCK] * seeds).min(axis=1))
+    return np.packbits(mixed(least) >> np.uint64(63) == 1).view(np.int64)
 
 
-def near_lengths(n: Column, m: Column, least: tuple[int, int]) -> Column:
-    """Whether texts of ``n`` and ``m`` shingles can be near at all."""
+def alike(other: str, least: tuple[int, int]) -> Column:
+    """Whether the row (n, can, bits_1, bits_2) and the one whose columns begin with ``other`` can be near: by length, by the shingles they can share, and by their
+    signatures, which differ in more bits than this with a probability below one in a million where texts are near."""
+    p = (1 - least[0] / least[1]) / 2
+    limit = math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+    apart = [F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in ("bits_1", "bits_2")]
     top, bottom = least
-    return (top + bottom) * F.least(n, m) >= top * (n + m)
+    enough = (top + bottom) * F.least(F.col("can"), F.col(other + "can")) >= top * (F.col("n") + F.col(other + "n"))
+    return enough & (apart[0] + apart[1] <= limit)
 
 
-def sketched(table: DataFrame, size: int, sketches: int, taken: int) -> DataFrame:
-    """(row, doc_id, same, sketch, n, bins), the last two the number and histogram of shingles; ``same`` is equal for texts with equal words; texts without words have none."""
+def sketched(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
+    """(row, doc_id, same, sketch, n, bits_1, bits_2), the last three the number of shingles and the signature; ``same`` is equal for texts with equal
+    words; texts without words have none."""
     kind = table.schema["doc_id"].dataType
     schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("same", pa.string()), ("sketch", pa.list_(pa.int64())),
-                        ("n", pa.int64()), ("bins", pa.binary())])
+                        ("n", pa.int64()), ("bits_1", pa.int64()), ("bits_2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, out, n, bins = [], [], [], []
+            same, out, n, bits = [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = words(text)
                 s = shingles(found, size)
                 same.append(hashlib.blake2b(b" ".join(found), digest_size=16).hexdigest() if found else None)
-                out.append(sketch(s, sketches, taken).view(np.int64) if found else None)
+                out.append(buckets(s, sketches, taken, least).view(np.int64) if found else None)
                 n.append(len(s))
-                bins.append(histogram(s))
+                bits.append(signature(s))
+            one, two = np.array(bits, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema[1].type), pa.array(same, pa.string()), pa.array(out, schema[3].type),
-                                              pa.array(n, pa.int64()), pa.array(bins, pa.binary())], schema=schema)
-
-    return table.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>, n long, bins binary")
-
-
-def possible(pairs: DataFrame, signs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that lengths and histograms don't rule out. ``signs``: (row, n, bins), kept by row, so only the pairs and
-    the histogram of one side move."""
-    a, b = (signs.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bins").alias(f"bins_{k}")) for k in ("a", "b"))
-    both = pairs.join(a, "a").join(b, "b").filter(near_lengths(F.col("n_a"), F.col("n_b"), least)).select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
-    top, bottom = least
+                                              pa.array(n, pa.int64()), pa.array(one), pa.array(two)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b, bins_a, bins_b = (c.to_pylist() for c in batch.columns[2:])
-            stay = [(top + bottom) * common_at_most(x, y) >= top * (n + m) for n, m, x, y in zip(n_a, n_b, bins_a, bins_b)]
-            yield batch.select(["a", "b"]).filter(pa.array(stay, pa.bool_()))
+    return table.select("row", "doc_id", "text").mapInArrow(
+        run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>, n long, bits_1 long, bits_2 long")
 
-    return both.mapInArrow(run, "a long, b long")
 
-
-def near_pairs(pairs: DataFrame, table: DataFrame, signs: DataFrame, size: int, least: tuple[int, int]) -> tuple[DataFrame, int]:
-    """(a, b): the near ones of ``pairs``, written, and how many the bounds left to compare."""
-    left = written(possible(pairs, signs, least), "possible")
-    return written(compared(left, table, size, least).filter("near").select("a", "b"), "near"), left.count()
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written, and its number of rows, counted on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
 
 
 def compared(pairs: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose texts are near. The members' texts go to their centre's text, once per pair; the join splits
     the members of a large centre over tasks."""
-    centres = written(table.select("row", "text").join(pairs.select(F.col("a").alias("row")).distinct().hint("shuffle_hash"), "row"), "centres")
+    centres = table.select("row", "text").join(pairs.select(F.col("a").alias("row")).distinct().hint("shuffle_hash"), "row")
     of = pairs.groupBy(F.col("b").alias("row")).agg(F.collect_list("a").alias("centres"))
     members = (table.select("row", "text").join(of.hint("shuffle_hash"), "row")
                .select(F.explode("centres").alias("a"), F.col("row").alias("b"), F.col("text").alias("text_b")))
@@ -211,63 +209,82 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = now.join(near, "node").select("node", "label", F.least("label", "near").alias("down"))
         own = now.select(F.col("node").alias("down"), F.col("label").alias("own"))
-        after = written(step.join(own, "down").select("node", F.col("label").alias("was"), F.least("down", "own").alias("label")), "labels")
-        now = after.select("node", "label")
-        if after.filter("label != was").isEmpty():
+        after = step.join(own, "down").select("node", F.col("label").alias("was"), F.least("down", "own").alias("label"))
+        seen = Observation()
+        now = written(after.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("n")).select("node", "label"), "labels")
+        if not seen.get["n"]:
             return now
 
 
-def linked(reps: DataFrame, table: DataFrame, signs: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
-    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch), ``signs``: (row, n, bins).
+def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
+    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch, bits_1, bits_2).
 
-    Rounds of centres join first the classes that agree in sketches. Rows of buckets that then still hold several labels go on by their
-    rarest shingles: rounds of centres again, with a shingle as the bucket, and then ``remaining`` finds every other near pair.
+    Only rows that meet another one go on, with their texts. Rounds of centres join the large classes; then all pairs that buckets
+    still hold with different labels are compared, so every near pair that agrees in a sketch and in its signature ends in one class.
     """
-    member = reps.select("row", "n", F.posexplode("sketch")).select("row", "n", F.xxhash64("pos", "col").alias("bucket"))
-    shared = member.groupBy("bucket").count().filter("count > 1").select("bucket")
-    member = written(member.join(shared, "bucket"), "members")
-    signs = by_row(signs.join(member.select("row").distinct(), "row", "left_semi"), "signs")
-    label, tried = starred(member, None, None, table, signs, size, least)
-    named = labelled(member, label)
-    held = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select("bucket")
-    apart = written(named.join(held, "bucket", "left_semi").select("row", "label").distinct(), "apart")
-    if apart.isEmpty():
+    member = reps.select("row", F.explode("sketch").alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    member, count = counted(member.join(shared, "bucket"), "members")
+    if not count:
+        return None
+    rows = shareable(table.select("row", "text").join(member.select("row").distinct().hint("shuffle_hash"), "row"), reps.drop("sketch"), size, least)
+    table = by_row(table.select("row", "text").join(rows.select("row").hint("shuffle_hash"), "row"), "meeting")
+    member = written(member.join(rows, "row"), "members")
+    label, tried = starred(member, table, size, least)
+    pairs = remaining(written(labelled(member, label), "named"), least)
+    pairs, count = counted(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not count:
         return label
-    rare = rarest_shingles(apart, table, size, least)
-    label, tried = starred(rare.select("row", "n", F.col("key").alias("bucket")), label, tried, table, signs, size, least)
-    pairs = remaining(labelled(rare.drop("label"), label), least).join(tried, ["a", "b"], "left_anti")
-    near, _ = near_pairs(written(pairs, "pairs"), table, signs, size, least)
-    return label if near.isEmpty() else written(joined(near, label), "joined")
+    near, links = counted(compared(pairs, table, size, least).filter("near").select("a", "b"), "near")
+    return joined(near, label) if links else label
 
 
-def starred(member: DataFrame, label: DataFrame | None, tried: DataFrame | None, table: DataFrame, signs: DataFrame, size: int,
-            least: tuple[int, int]) -> tuple[DataFrame | None, DataFrame]:
-    """(label, tried) after rounds of centres over ``member`` (row, n, bucket). ``tried``: the pairs (a, b) compared so far.
+def shareable(texts: DataFrame, reps: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
+    """The rows of ``reps`` that can be near to another of ``texts`` (row, text), written, with ``can``: how many of their shingles another text has too."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, body in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingles(words(body), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), row))], names=["shingle", "row"])
+
+    held = texts.mapInArrow(run, "shingle long, row long").groupBy("shingle").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("k"))
+    own = held.filter("k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("own"))
+    top, bottom = least
+    met = texts.select("row").join(reps, "row").join(own, "row", "left").withColumn("can", F.col("n") - F.coalesce("own", F.lit(0)))
+    return written(met.filter(bottom * F.col("can") >= top * F.col("n")).drop("own"), "shareable")
 
-    In each round every bucket that holds several labels has one centre, the smallest row first and then a label by turns. A member
-    meets the centres of its buckets that have another label and a length that fits, and is compared with the one it meets in
-    most buckets: one comparison a member. Found links join whole labels, so the graph of a round is only as large as
+
+def starred(member: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> tuple[DataFrame | None, DataFrame]:
+    """(label, tried) after rounds of centres over ``member`` (row, bucket, n, bits_1, bits_2, can). ``tried``: the pairs (a, b) compared.
+
+    In each round every bucket that holds several labels has one centre, the row with the largest share of shingles that others have, and then other rows by turns. A member
+    meets the centres of its buckets that have another label and can be near, and is compared with those it meets in
+    most buckets, ``TRIES`` at most. Found links join whole labels, so the graph of a round is only as large as
     what it newly connects. No pair is compared twice. The rounds end when few comparisons link any more.
     """
-    turn = 0
+    label, tried, turn = None, None, 0
+    of = ("row", "n", "bits_1", "bits_2", "can", "label")
     while True:
         named = labelled(member, label)
-        order = F.struct(F.xxhash64("label", F.lit(turn)) if turn else F.lit(0), F.col("row"), F.col("n"), F.col("label"))
+        first = [F.xxhash64("label", F.lit(turn)), F.xxhash64("row", F.lit(turn))] if turn else [-F.col("can") / F.col("n")]
+        order = F.struct(*(c.alias(f"by_{k}") for k, c in enumerate(first)), *of)
         centre = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min(order).alias("c")).filter("first != last")
-        centre = written(centre.select("bucket", F.col("c.row").alias("c"), F.col("c.n").alias("c_n"), F.col("c.label").alias("c_label")), "centres")
-        met = (named.join(centre, "bucket").filter((F.col("label") != F.col("c_label")) & near_lengths(F.col("n"), F.col("c_n"), least))
-               .groupBy("row", "c").agg(F.count(F.lit(1)).alias("times")))
-        met = met.select("row", "c", "times", F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b"))
+        centre = centre.select("bucket", *(F.col(f"c.{c}").alias(f"c_{c}") for c in of))
+        met = (named.join(centre, "bucket").filter((F.col("label") != F.col("c_label")) & alike("c_", least))
+               .groupBy("row", F.col("c_row").alias("c")).agg(F.count(F.lit(1)).alias("times")))
+        met = met.select("row", "times", F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b"))
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        best = met.groupBy("row").agg(F.max_by(F.struct("a", "b"), F.struct("times", -F.col("c"))).alias("best"))
-        pairs = written(best.select("best.a", "best.b").distinct(), "pairs")
-        near, count = near_pairs(pairs, table, signs, size, least)
+        # a member has as many centres as sketches at most
+        best = met.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("times"), "a", "b"))), 1, TRIES).alias("best"))
+        pairs, count = counted(best.select(F.explode("best").alias("best")).select("best.a", "best.b").distinct(), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = near.count()
+        if not count:
+            return label, tried
+        near, links = counted(compared(pairs, table, size, least).filter("near").select("a", "b"), "near")
         if links:
-            label = written(joined(near, label), "joined")
-        if WORTH * links < count or not count:
+            label = joined(near, label)
+        if WORTH * links < count:
             return label, tried
         turn += 1
 
@@ -278,79 +295,25 @@ def labelled(member: DataFrame, label: DataFrame | None) -> DataFrame:
         label.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
 
 
-def slot(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
-def rarest_shingles(apart: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame:
-    """(key, row, label, n, at, shorter): the shingles by which rows with different labels can be near. ``apart``: (row, label).
-
-    With shingles in one order for all texts, texts of n <= m shingles that share at least ``need`` = top (n + m) / (top + bottom)
-    share one of the first n - need + 1 of the one and the first m - need + 1 of the other. ``need`` is least, for the shorter text,
-    at m = n, and for the longer one at n = top m / bottom. At the first shared shingle what follows must still be enough. Rare shingles
-    come first, so a passage of many texts is looked up only where it alone can make two texts near.
-    """
-    top, bottom = least
-    text = table.select("row", "text").join(apart.hint("shuffle_hash"), "row").select("row", "label", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                np.add.at(n, slot(shingles(words(body), size)), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
-
-    counted = text.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros(SLOTS, np.int64)
-    seen[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # a batch a piece of the texts: at most as many keys as it holds words
-            found = []
-            for row, label, body in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(words(body), size)
-                n = len(s)
-                longer, shorter = n + top * n // -bottom + 1, n + 2 * top * n // -(top + bottom) + 1
-                first = s[np.lexsort((s, seen[slot(s)]))[:longer]].view(np.int64)
-                found.append((first, np.full(longer, row), np.full(longer, label), np.full(longer, n), np.arange(longer), np.arange(longer) < shorter))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "row", "label", "n", "at", "shorter"])
-
-    rare = text.mapInArrow(rarest, "key long, row long, label long, n long, at long, shorter boolean")
-    rare = written(rare, "rarest")
-    # labels meet first, so that the rows of one label never meet each other
-    keys = rare.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
-    return written(rare.join(keys, "key", "left_semi"), "shared")
-
-
-def remaining(rare: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(a, b): all pairs of rows with different labels that can be near by their rarest shingles."""
-    top, bottom = least
-    rare = written(rare, "named")
-    keys = rare.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most").select("key")
-    rare = rare.join(keys, "key", "left_semi")
-    one = rare.filter("shorter").select("key", "label").distinct()
-    two = rare.select("key", F.col("label").alias("label_b")).distinct()
-    labels = one.join(two, "key").filter("label != label_b")
-    short = rare.filter("shorter").select("key", "label", F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    long = rare.select("key", F.col("label").alias("label_b"), F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    enough = (top + bottom) * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= top * (F.col("n_a") + F.col("n_b"))
-    met = labels.join(short, ["key", "label"]).join(long, ["key", "label_b"]).filter((F.col("n_a") <= F.col("n_b")) & enough)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def remaining(named: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b): all pairs of rows of one bucket that have different labels and can be near. ``named``: (row, bucket, n, bits_1, bits_2, can, label)."""
+    held = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select("bucket")
+    one = named.join(held, "bucket", "left_semi")
+    two = one.select(*(F.col(c).alias(c if c == "bucket" else f"b_{c}") for c in one.columns))
+    met = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("label") < F.col("b_label")) & alike("b_", least))
+    return met.select(F.least("row", "b_row").alias("a"), F.greatest("row", "b_row").alias("b")).distinct()
 
 
 def joined(near: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Labels after the links ``near``: each set of labels that they connect takes its least one."""
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    """Labels after the links ``near``, written: each set of labels that they connect takes its least one."""
     if label is None:
         return components(near)
-    known = written(label.unionByName(ends.join(label, "node", "left_anti").withColumn("label", F.col("node"))), "known")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    known = label.unionByName(ends.join(label, "node", "left_anti").withColumn("label", F.col("node")))
     of_a, of_b = (known.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
     edges = near.join(of_a, "a").join(of_b, "b").filter("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     renamed = components(edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return known.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(known.join(renamed, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "joined")
 
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, taken: int = TAKEN, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -362,7 +325,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
     Texts without words, null and empty ones among them, are each a class of their own. A text shorter than a shingle is near to
     equal ones only. Repeated rows are in one class. An empty table gives no rows.
 
-    Every near pair that agrees in a sketch is found. At a similarity of 0.8 one sketch agrees with probability 0.64 or less, all of 16 miss below once in a million.
+    Every near pair that agrees in a sketch is found. At a similarity of 0.8 a sketch of a long text agrees with probability 0.41 or less, all of 31 miss below once in a million.
     """
     return classes(bucketed(docs), size, sketches, taken, least).drop("row")
 
@@ -375,10 +338,10 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, tak
 
 def classes(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
     """``near_dedup`` of a ``bucketed`` table, with row numbers."""
-    seen = written(sketched(table, size, sketches, taken), "sketches")
-    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+    seen = written(sketched(table, size, sketches, taken, least), "sketches")
+    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "n", "bits_1", "bits_2")))
     groups = written(groups, "groups")
-    label = linked(groups.select(F.col("rep").alias("row"), "n", "sketch"), table, seen.select("row", "n", "bins"), size, least)
+    label = linked(groups.select(F.col("rep").alias("row"), "n", "sketch", "bits_1", "bits_2"), table, size, least)
     named = groups.select("same", "rep")
     named = named.withColumn("label", F.col("rep")) if label is None else named.join(
         label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
