@@ -7,7 +7,7 @@ that matter. Scoring is one Spark expression over the statistics, so no model le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -116,6 +116,11 @@ def grow(x: np.ndarray, cut: list[np.ndarray], binned: np.ndarray, target: np.nd
         grow(x, cut, binned, target, rows[above == side], stats, depth - 1, least, (*path, (s, side, float(cut[s][k]))), rules, step)
 
 
+def over_rows(z: np.ndarray, of: Callable[[int, np.ndarray], np.ndarray], rows: int = 512) -> np.ndarray:
+    """The sum of ``of`` over blocks of rows, each in double precision; the whole matrix is never copied."""
+    return sum(of(at, z[at: at + rows].astype(float)) for at in range(0, len(z), rows))
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty: float = 1e-3, rounds: int = 400, seed: int = 7) -> RuleModel:
     """Rules of boosted trees on random halves of rows and statistics, then logistic weights with an L1 penalty.
 
@@ -140,25 +145,34 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, penalty:
     if not rules:  # too few rows to split
         return RuleModel(float(np.log(y.mean() / (1 - y.mean()))), ())
     kept = sorted(rules)
-    r = np.stack([holds(x, rule) for rule in kept], axis=1).astype(np.float32)
-    scale = np.maximum(r.std(axis=0), 0.05)
-    z = (r - r.mean(axis=0)) / scale
+    # one matrix of single precision, filled and scaled in place: the driver holds no second one
+    z = np.empty((len(y), len(kept)), np.float32)
+    for k, rule in enumerate(kept):
+        z[:, k] = holds(x, rule)
+    mean = z.mean(axis=0)
+    scale = np.maximum(np.concatenate([part.std(axis=0) for part in np.array_split(z, -(-len(kept) // 64), axis=1)]), np.float32(0.05))
+    z -= mean
+    z /= scale
     w, v, b, vb, t = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 0.0, 0.0, 1.0
     top = np.ones(z.shape[1])
     for _ in range(20):  # largest curvature, for the step size
-        top = z.T @ (z @ top)
+        top = over_rows(z, lambda at, part: part.T @ (part @ top))
         top /= np.linalg.norm(top)
-    pace = 4 * len(y) / float(np.linalg.norm(z @ top) ** 2 + len(y))
+    pace = 4 * len(y) / float(over_rows(z, lambda at, part: np.sum((part @ top) ** 2)) + len(y))
     for _ in range(rounds):  # accelerated proximal gradient
-        error = 1 / (1 + np.exp(-(z @ v + vb))) - y
-        new = v - pace * (z.T @ error) / len(y)
+        def slope(at: int, part: np.ndarray) -> np.ndarray:
+            error = 1 / (1 + np.exp(-(part @ v + vb))) - y[at: at + len(part)]
+            return np.append(part.T @ error, error.sum())
+
+        total = over_rows(z, slope)
+        new = v - pace * total[:-1] / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - pace * penalty, 0)
-        new_b, new_t = vb - pace * error.mean(), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        new_b, new_t = vb - pace * total[-1] / len(y), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / new_t * (new - w), new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new, new_b, new_t
     weight = w / scale
     used = [(kept[k], float(weight[k])) for k in np.flatnonzero(w)]
-    return RuleModel(float(b - (weight * r.mean(axis=0)).sum()), tuple(used))
+    return RuleModel(float(b - (weight * mean).sum()), tuple(used))
 
 
 def labelled(stats: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
