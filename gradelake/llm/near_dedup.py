@@ -18,6 +18,7 @@ import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gradelake.llm.shared import bucketed, by_row, rows_kept, written
+from gradelake.llm.shared import by_row, numbered, rows_kept, written
 from gradelake.llm.wordtext import words
 
 SHINGLE, SKETCHES, TAKEN = 5, 31, 4
@@ -35,10 +36,13 @@ SHORT, SHORT_SKETCHES, SHORT_TAKEN = 64, 16, 2
 #: Similarity of at least LEAST[0] / LEAST[1].
 LEAST = (4, 5)
 BLOCK = 1 << 13
+#: Texts whose words are hashed as one sequence.
+TOGETHER = 64
 BITS = 128
 #: Rounds of centres go on while at least one of WORTH comparisons links; a member is compared with up to TRIES centres a round.
 WORTH, TRIES = 16, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+MOST = ~np.uint64(0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,38 +54,65 @@ def mixed(x: np.ndarray) -> np.ndarray:
 SEEDS = mixed(np.arange(1, 1025, dtype=np.uint64) * _ODD)
 
 
-def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """One number per run of ``size`` words, labelled with its occurrence; a shorter text is one shingle."""
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    w = mixed(np.fromiter(map(crc32, found), np.uint64, len(found)) + _ODD)
-    size = min(size, len(found))
-    n = len(w) - size + 1
+def windows(w: np.ndarray, size: int) -> np.ndarray:
+    """One number per run of ``size`` of the numbers ``w``."""
+    n = max(0, len(w) - size + 1)
     s = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         s = mixed(s + w[k: k + n] * SEEDS[k])
-    order = np.argsort(s, kind="stable")
-    ordered = s[order]
-    again = np.concatenate([[False], ordered[1:] == ordered[:-1]])
-    if again.any():
-        at = np.arange(n)
-        nth = at - np.maximum.accumulate(np.where(again, 0, at))
-        s[order] = np.where(again, mixed(ordered + nth.astype(np.uint64) * _ODD), ordered)
     return s
 
 
+def labelled_again(s: np.ndarray) -> np.ndarray:
+    """``s`` with repeated numbers changed by their occurrence, so that all are different."""
+    ordered = np.sort(s)
+    again = np.concatenate([[False], ordered[1:] == ordered[:-1]])
+    if not again.any():
+        return s
+    order, at = np.argsort(s, kind="stable"), np.arange(len(s))
+    nth = at - np.maximum.accumulate(np.where(again, 0, at))
+    out = np.empty_like(s)
+    out[order] = np.where(again, mixed(ordered + nth.astype(np.uint64) * _ODD), ordered)
+    return out
+
+
+def shingled(texts: list[list[bytes]], size: int) -> Iterator[np.ndarray]:
+    """``shingles`` of each text. Their words are hashed as one sequence, since most of the time for a short one is that of the calls."""
+    w = mixed(np.fromiter(map(crc32, chain.from_iterable(texts)), np.uint64, sum(map(len, texts))) + _ODD)
+    s, at = windows(w, size), 0
+    for found in texts:
+        n = len(found)
+        # windows that reach into the next text are in no slice; a shorter text is one window of its own
+        yield labelled_again(s[at: at + n - size + 1]) if n >= size else windows(w[at: at + n], n)[:n]
+        at += n
+
+
+def shingles(found: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """One number per run of ``size`` words, labelled with its occurrence; a shorter text is one shingle."""
+    return next(shingled([found], size))
+
+
+def read(texts: list[str | None], size: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words and shingles of each text, of ``TOGETHER`` texts at a time."""
+    for at in range(0, len(texts), TOGETHER):
+        found = [words(text) for text in texts[at: at + TOGETHER]]
+        yield from zip(found, shingled(found, size))
+
+
 def sketch(s: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN, first: int = 0) -> np.ndarray:
     """Sketches number ``first`` and on of a labelled shingle sequence. Long ones are read in blocks; only least hashes are held."""
-    seeds = SEEDS[first: first + sketches, None]
-    best_h, best_at = np.empty((sketches, 0), np.uint64), np.empty((sketches, 0), np.int64)
+    seeds, every = SEEDS[first: first + sketches, None], np.arange(sketches)
+    held_h, held_at = [], []
     for at in range(0, len(s), BLOCK):
         h = s[None, at: at + BLOCK] * (seeds | np.uint64(1))  # shingles are mixed, so their products are in random order
-        k = min(taken, h.shape[1])
-        place = np.argpartition(h, k - 1, axis=1)[:, :k]
-        best_h = np.concatenate([best_h, np.take_along_axis(h, place, 1)], axis=1)
-        best_at = np.concatenate([best_at, place + at], axis=1)
-    if best_h.shape[1] > taken:
-        best_at = np.take_along_axis(best_at, np.argsort(best_h, axis=1)[:, :taken], 1)
+        for _ in range(min(taken, h.shape[1])):  # a few searches for the least take half the time of a partition
+            place = h.argmin(axis=1)
+            held_h.append(h[every, place])
+            held_at.append(place + at)
+            h[every, place] = MOST
+    best_at = np.stack(held_at, axis=1)
+    if best_at.shape[1] > taken:
+        best_at = np.take_along_axis(best_at, np.argsort(np.stack(held_h, axis=1), axis=1)[:, :taken], 1)
     place = np.sort(best_at, axis=1)
     out = seeds[:, 0].copy()
     for k in range(place.shape[1]):
@@ -127,7 +158,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
 def signature(s: np.ndarray) -> np.ndarray:
     """One bit of each of ``BITS`` minimum hashes, in two numbers. A bit of two texts differs with probability (1 - J) / 2, J the share of common shingles."""
     seeds = SEEDS[-BITS:, None] | np.uint64(1)
-    least = np.full(BITS, ~np.uint64(0))
+    least = np.full(BITS, MOST)
     for at in range(0, len(s), BLOCK):
         least = np.minimum(least, (s[None, at: at + BLOCK] * seeds).min(axis=1))
     return np.packbits(mixed(least) >> np.uint64(63) == 1).view(np.int64)
@@ -145,28 +176,32 @@ def alike(other: str, least: tuple[int, int]) -> Column:
 
 
 def sketched(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
-    """(row, doc_id, same, sketch, n, bits_1, bits_2), the last three the number of shingles and the signature; ``same`` is equal for texts with equal
-    words; texts without words have none."""
+    """(row, doc_id, same, sketch, n), the last one the number of shingles; ``same`` is equal for texts with equal words; texts without words have none."""
     kind = table.schema["doc_id"].dataType
-    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("same", pa.string()), ("sketch", pa.list_(pa.int64())),
-                        ("n", pa.int64()), ("bits_1", pa.int64()), ("bits_2", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(kind)), ("same", pa.string()), ("sketch", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, out, n, bits = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                found = words(text)
-                s = shingles(found, size)
+            same, out, n = [], [], []
+            for found, s in read(batch.column(2).to_pylist(), size):
                 same.append(hashlib.blake2b(b" ".join(found), digest_size=16).hexdigest() if found else None)
                 out.append(buckets(s, sketches, taken, least).view(np.int64) if found else None)
                 n.append(len(s))
-                bits.append(signature(s))
-            one, two = np.array(bits, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(schema[1].type), pa.array(same, pa.string()), pa.array(out, schema[3].type),
-                                              pa.array(n, pa.int64()), pa.array(one), pa.array(two)], schema=schema)
+                                              pa.array(n, pa.int64())], schema=schema)
+
+    return table.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>, n long")
+
+
+def signed(table: DataFrame, size: int) -> DataFrame:
+    """(row, n, can, bits_1, bits_2) of (row, text, n, can), the last two the signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [signature(s) for _, s in read(batch.column(1).to_pylist(), size)]
+            one, two = np.array(bits, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3)), pa.array(one), pa.array(two)], names=["row", "n", "can", "bits_1", "bits_2"])
 
-    return table.select("row", "doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {kind.simpleString()}, same string, sketch array<long>, n long, bits_1 long, bits_2 long")
+    return table.select("row", "text", "n", "can").mapInArrow(run, "row long, n long, can long, bits_1 long, bits_2 long")
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -190,10 +225,10 @@ def compared(pairs: DataFrame, table: DataFrame, size: int, least: tuple[int, in
         for batch in batches:
             near = []
             a = batch.column(0).to_pylist()
-            for k in range(batch.num_rows):
+            for k, (_, s) in enumerate(read(batch.column(3).to_pylist(), size)):
                 if a[k] != last:
                     last, known = a[k], shingles(words(batch.column(2)[k].as_py()), size)
-                near.append(aligned(known, shingles(words(batch.column(3)[k].as_py()), size), least))
+                near.append(aligned(known, s, least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     return both.mapInArrow(run, "a long, b long, near boolean")
@@ -217,7 +252,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int]) -> DataFrame | None:
-    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch, bits_1, bits_2).
+    """(node, label) of representatives that are near to another one, or None. ``reps``: (row, n, sketch).
 
     Only rows that meet another one go on, with their texts. Rounds of centres join the large classes; then all pairs that buckets
     still hold with different labels are compared, so every near pair that agrees in a sketch and in its signature ends in one class.
@@ -228,8 +263,8 @@ def linked(reps: DataFrame, table: DataFrame, size: int, least: tuple[int, int])
     if not count:
         return None
     rows = shareable(table.select("row", "text").join(member.select("row").distinct().hint("shuffle_hash"), "row"), reps.drop("sketch"), size, least)
-    table = by_row(table.select("row", "text").join(rows.select("row").hint("shuffle_hash"), "row"), "meeting")
-    member = written(member.join(rows, "row"), "members")
+    table = by_row(table.select("row", "text").join(rows.hint("shuffle_hash"), "row"), "meeting")
+    member = written(member.join(written(signed(table, size), "signed"), "row"), "members")
     label, tried = starred(member, table, size, least)
     pairs = remaining(written(labelled(member, label), "named"), least)
     pairs, count = counted(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -243,9 +278,9 @@ def shareable(texts: DataFrame, reps: DataFrame, size: int, least: tuple[int, in
     """The rows of ``reps`` that can be near to another of ``texts`` (row, text), written, with ``can``: how many of their shingles another text has too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, body in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingles(words(body), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), row))], names=["shingle", "row"])
+            found = [s for _, s in read(batch.column(1).to_pylist(), size)]
+            row = np.repeat(batch.column(0).to_numpy(), [len(s) for s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(row)], names=["shingle", "row"])
 
     held = texts.mapInArrow(run, "shingle long, row long").groupBy("shingle").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("k"))
     own = held.filter("k = 1").groupBy("row").agg(F.count(F.lit(1)).alias("own"))
@@ -327,21 +362,21 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, t
 
     Every near pair that agrees in a sketch is found. At a similarity of 0.8 a sketch of a long text agrees with probability 0.41 or less, all of 31 miss below once in a million.
     """
-    return classes(bucketed(docs), size, sketches, taken, least).drop("row")
+    return classes(by_row(numbered(docs), "texts"), size, sketches, taken, least).drop("row")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, sketches: int = SKETCHES, taken: int = TAKEN, least: tuple[int, int] = LEAST) -> DataFrame:
     """The rows of ``docs`` that stay, the first of each class, with all their columns."""
-    table = bucketed(docs, whole=True)
+    table = by_row(numbered(docs, whole=True), "texts")
     return rows_kept(table, classes(table, size, sketches, taken, least).filter("kept"), docs.columns)
 
 
 def classes(table: DataFrame, size: int, sketches: int, taken: int, least: tuple[int, int]) -> DataFrame:
-    """``near_dedup`` of a ``bucketed`` table, with row numbers."""
+    """``near_dedup`` of a ``by_row`` table, with row numbers."""
     seen = written(sketched(table, size, sketches, taken, least), "sketches")
-    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), *(F.first(c).alias(c) for c in ("sketch", "n", "bits_1", "bits_2")))
+    groups = seen.filter("same is not null").groupBy("same").agg(F.min("row").alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     groups = written(groups, "groups")
-    label = linked(groups.select(F.col("rep").alias("row"), "n", "sketch", "bits_1", "bits_2"), table, size, least)
+    label = linked(groups.select(F.col("rep").alias("row"), "n", "sketch"), table, size, least)
     named = groups.select("same", "rep")
     named = named.withColumn("label", F.col("rep")) if label is None else named.join(
         label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

@@ -54,16 +54,16 @@ def bucketed(docs: DataFrame, whole: bool = False) -> DataFrame:
     spark = docs.sparkSession
     name = f"llm_texts_{uuid.uuid4().hex}"
     buckets = max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")] if whole else []
-    rest = [F.struct(*others).alias("rest")] if others else []
-    body = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *rest)
+    body = numbered(docs, whole)
     body.write.option("path", f"{shared_root(spark)}/llm/{name}").bucketBy(buckets, "row").saveAsTable(name)
     return spark.table(name)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) without writing."""
-    return texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+def numbered(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(row, doc_id, text), and all other columns in ``rest`` if ``whole``, without writing."""
+    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")] if whole else []
+    rest = [F.struct(*others).alias("rest")] if others else []
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", *rest)
 
 
 def by_row(df: DataFrame, name: str) -> DataFrame:
